@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, url_rules
 
 QUERIES = {
+    "op5_url_filters": url_rules.op5_url_filters,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 SQL = {
+    "op5_url_filters": url_rules.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
