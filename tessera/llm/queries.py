@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, url_rules
+from . import exact_dedup, secret_ledger, sharding, url_rules
 
 QUERIES = {
+    "op8_secret_scans": secret_ledger.op8_secret_scans,
     "op5_url_filters": url_rules.op5_url_filters,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 SQL = {
+    "op8_secret_scans": secret_ledger.OP8_SQL,
     "op5_url_filters": url_rules.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
