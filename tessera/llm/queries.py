@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_ledger, sharding, url_rules
+from . import exact_dedup, quality_rules, secret_ledger, sharding, url_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_secret_scans": secret_ledger.op8_secret_scans,
     "op5_url_filters": url_rules.op5_url_filters,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op8_secret_scans": secret_ledger.OP8_SQL,
     "op5_url_filters": url_rules.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
