@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, secret_ledger, sharding, url_rules
+from . import dominance_packing, exact_dedup, quality_rules, secret_ledger, sharding, url_rules
 
 QUERIES = {
+    "op3_best_fit_packing": dominance_packing.op3_best_fit_packing,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_secret_scans": secret_ledger.op8_secret_scans,
     "op5_url_filters": url_rules.op5_url_filters,
