@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import binary_packing, dominance_packing, exact_dedup, language_id, partenum_join, quality_rules, secret_ledger, sharding, url_rules
+from . import binary_packing, dominance_packing, exact_dedup, language_id, partenum_join, quality_rules, secret_ledger, sentence_pieces, sharding, url_rules
 
 QUERIES = {
+    "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op2_packed_token_ids": binary_packing.op2_packed_token_ids,
     "op9_ngram_jaccard_join": partenum_join.op9_ngram_jaccard_join,
     "op7_language_id": language_id.op7_language_id,
