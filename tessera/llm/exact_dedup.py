@@ -56,30 +56,25 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, length, copies): equal rows are one row with their number."""
+def with_digest(docs: DataFrame) -> DataFrame:
+    """docs with the digest of the normalised text and the original's length in code points."""
     text = whole("text")
-    return (
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.unhex(F.sha2(F.regexp_replace(text, f"{SPACE}+", "").cast("binary"), 256)).alias("digest"),
-            F.length(text).cast("long").alias("length"),
-        )
-        .groupBy("doc_id", "digest", "length")
-        .agg(F.count("*").alias("copies"))
-    )
+    digest = F.unhex(F.sha2(F.regexp_replace(text, f"{SPACE}+", "").cast("binary"), 256))
+    return docs.withColumns({"digest": digest, "length": F.length(text).cast("long")})
 
 
-def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+def decide(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """Deduplicate docs among themselves and against the index, then append what is new.
 
-    Returns a row per row of docs: doc_id, keep_id, group_size (rows of this batch with that
-    text), kept, text_sha256. A text with a third of all rows is salted: groups are first
-    reduced per (digest, salt), and the reduced rows go back to the salts they came from, so
-    that no task gets a whole group.
+    Returns a row per distinct (doc_id, digest, length) with copies (equal rows), keep_id,
+    group_size (rows of this batch with that text) and keeps (one of the copies stays). A text
+    with a third of all rows is salted: groups are first reduced per (digest, salt), and the
+    reduced rows go back to the salts they came from, so that no task gets a whole group.
     """
     spark = docs.sparkSession
-    rows = cut(digests(docs)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, partitions(spark)))))
+    named = with_digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = cut(named.groupBy("doc_id", "digest", "length").agg(F.count("*").alias("copies")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, partitions(spark)))))
     best = F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
     salted = rows.groupBy("digest", "salt").agg(F.min(best).alias("best"), F.sum("copies").alias("n"))
     groups = cut(
@@ -95,16 +90,39 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
         (F.col("batch") == batch).alias("own"), F.explode("salts").alias("salt"),
     )
     one = F.col("own") & F.col("doc_id").eqNullSafe(F.col("indexed_id")) & (F.col("length") == -F.col("shorter"))
-    return (
-        rows.join(found, ["digest", "salt"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(
-            "doc_id", F.col("indexed_id").alias("keep_id"), "group_size",
-            (one & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-        )
+    return rows.join(found, ["digest", "salt"]).select(
+        "doc_id", "digest", "length", "copies", F.col("indexed_id").alias("keep_id"), "group_size", one.alias("keeps")
     )
 
 
+def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    decided = decide(docs, index, batch).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return decided.select("doc_id", "keep_id", "group_size", (F.col("keeps") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Rows that nothing repeats pass an anti-join with those that go; of equal rows that stay,
+    one is taken.
+    """
+    decided = cut(decide(docs, index, batch))
+    rows = with_digest(docs)
+    key = ["doc_id", "digest", "length"]
+
+    def meet(right: DataFrame, how: str) -> DataFrame:
+        right = right.select(*key).hint("shuffle_hash")
+        same = rows["doc_id"].cast("long").eqNullSafe(right["doc_id"]) & (rows["digest"] == right["digest"]) & (rows["length"] == right["length"])
+        return rows.join(right, same, how)
+
+    left = meet(decided.where("NOT keeps OR copies > 1"), "left_anti")
+    again = decided.where("keeps AND copies > 1")
+    if not again.isEmpty():
+        left = left.unionByName(meet(again, "left_semi").dropDuplicates(key))
+    return left.drop("digest", "length")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch over a new, empty index."""
     index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")

@@ -81,7 +81,7 @@ def centroids(v: np.ndarray, k: int = CENTROIDS, rounds: int = 8) -> np.ndarray:
 def _batches(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 1 << 20, rows: int = 256):
     """Slices of the frames with a bounded number of rows and, but for single long texts, characters."""
     for frame in frames:
-        sizes = frame[column].str.len().to_numpy()
+        sizes = frame[column].str.len().fillna(0).to_numpy()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and (total + n > chars or i - start >= rows):
@@ -157,11 +157,12 @@ def fit(training: DataFrame) -> dict:
     }
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred, score and rejected; only the column text is an input."""
+def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+    """docs, without the text unless it is to be kept, with lang_pred, score and rejected; only
+    the column text is an input."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if keep_text or c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,8 +179,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 rejected[own] = score[own] < m["limits"][at[own], np.searchsorted(BANDS, counts.sum(axis=1))]
             yield part[rest].assign(lang_pred=names[at], score=score, rejected=rejected)
 
-    marked = docs.withColumn("_letter", has_letter(F.col("text"))).withColumn("text", F.when(F.col("_letter"), F.col("text")).otherwise(F.lit("")))
-    return marked.mapInPandas(nearest, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInPandas(nearest, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:
