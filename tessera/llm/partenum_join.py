@@ -13,7 +13,10 @@ What keeps this linear:
 - A signature of more than HOT classes (a passage that many documents share) is not paired. A set
   with enough parts left meets its partners elsewhere. For the few without, the members of a hot
   group are compared with its first one; what that leaves in different components, pair by pair.
-- Pairs pass a test on sizes and on counts of elements in BINS bins before sets are fetched.
+- Pairs pass two tests before sets are fetched: the counts of their elements in BINS bins, then in
+  as many bins as keep a few elements in each, may not differ by more than linked sets can.
+- Of the pairs left, each class is first compared with its smallest partner; pairs that this puts
+  in one component are not compared again.
 
 Signatures travel packed in binary columns, a few million to a bucket, and are matched with numpy;
 the number of buckets follows the number of shingles. Classes are named by 64 bits of their
@@ -21,7 +24,8 @@ content, parts by 48 bits and the bucket: the latter only costs a comparison whe
 
 Defined results: a document without words (or a null text) has an empty set and is linked with
 nothing; a null doc_id has a null component and is linked with nothing; repeated rows are equal
-sets; an empty table gives an empty result. Texts that share a doc_id are one document's texts.
+sets; rows that share a doc_id are each judged by their own text; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -43,6 +47,11 @@ SHINGLE = 5
 BUCKET = 3_000_000
 HOT = 16
 BINS = 64
+#: Members of a block where those of a hot group are compared with one another.
+BLOCK = 512
+#: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
+PER_BIN = 4
+BROADCAST = 1_000_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -181,22 +190,38 @@ def class_names(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 CHARS = 4 << 20
 
 
+def _profiles(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Per set, the counts of its elements in a power of two of bins, by their lowest bits; counts
+    of 255 and more are one."""
+    bins = BINS << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (PER_BIN * BINS)))).astype(np.int64)
+    begin = np.cumsum(bins) - bins
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = begin[owner] + (elements & (bins[owner] - 1).astype(_U)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(bins.sum())), 255).astype(np.uint8)
+    return np.split(counts, begin[1:])
+
+
+def fold(profile: np.ndarray, bins: int) -> np.ndarray:
+    """The same counts in fewer bins."""
+    return np.minimum(profile.reshape(-1, bins).sum(axis=0, dtype=np.int64), 255)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, spare0, spare1, parity, bins) of docs (doc_id, text); parity is
-    that of the set's own band."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary())])
+    """(doc_id, n_shingles, cls, spare0, spare1, parity, bins, profile) of docs (doc_id, text);
+    parity is that of the set's own band, bins and profile are counts of elements."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary()), ("profile", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches, CHARS):
             elements, sizes = shingle_sets(texts)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            bins = np.minimum(np.bincount(owner * BINS + (elements % _U(BINS)).astype(np.int64), minlength=len(sizes) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+            profiles = _profiles(elements, sizes)
+            bins = [fold(p, BINS).astype(np.uint8).tobytes() for p in profiles]
             spare = [signatures(elements, sizes, step)[2] for step in (0, 1)] + [np.searchsorted(_tops(int(sizes.max(initial=1))), sizes) & 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(class_names(elements, sizes)), *map(pa.array, spare), pa.array([x.tobytes() for x in bins], pa.binary())], schema=kinds
+                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(class_names(elements, sizes)), *map(pa.array, spare), pa.array(bins, pa.binary()), pa.array([p.tobytes() for p in profiles], pa.binary())], schema=kinds
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, cls long, spare0 long, spare1 long, parity long, bins binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
 
 
 def bucketed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -268,25 +293,30 @@ def match(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long")
 
 
-def screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bins allow a link. The bins' counts differ by no more
-    than the sets do (counts of 255 and more are one), so no link is lost."""
-    own = classes.select("cls", "n_shingles", "bins")
-    both = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b")
+def screen(pairs: DataFrame, classes: DataFrame, counts: str) -> DataFrame:
+    """The pairs (a, b) whose sizes and counts (bins or profile) allow a link. Counts differ by no
+    more than the sets do, so no link is lost."""
+    own = classes.select("cls", "n_shingles", counts)
+    both = pairs.join(own.toDF("a", "na", "ca"), "a").join(own.toDF("b", "nb", "cb"), "b")
     both = both.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ba, bb = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("ba", "bb"))
-            near = np.abs(ba - bb).sum(axis=1) * 7 <= x["na"].to_numpy() + x["nb"].to_numpy()
-            yield x.select(["a", "b"]).filter(pa.array(near))
+            near = []
+            for p, q, bound in zip(x["ca"].to_pylist(), x["cb"].to_pylist(), (x["na"].to_numpy() + x["nb"].to_numpy()) // 7, strict=True):
+                p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+                bins = min(len(p), len(q))
+                near.append(np.abs(fold(p, bins) - fold(q, bins)).sum() <= bound)
+            yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(each, "a long, b long")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, elements) of wanted (cls, doc_id), from the texts of docs."""
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST else ids.hint("shuffle_hash")
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _slices(batches, CHARS):
@@ -294,15 +324,12 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             raw, begins = elements.astype("<u8").tobytes(), np.cumsum(sizes) - sizes
             yield pa.RecordBatch.from_arrays([pa.array(class_names(elements, sizes)), pa.array([raw[8 * b : 8 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["cls", "elements"])
 
-    return near.mapInArrow(each, "cls long, elements binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return near.mapInArrow(each, "cls long, elements binary")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked."""
-    near = cut(screen(pairs, classes))
-    named = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    sets = cut(fetch_sets(docs, cut(classes.join(named, "cls").select("cls", "doc_id"))))
-    both = near.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
+def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
+    both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -317,12 +344,12 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of the ends of links (u, v): the smallest id that each can reach.
+    """(id, component) of the ends of links (a, b): the smallest id that each can reach.
 
     Alternating large and small stars: every round hands neighbours to the smallest one nearby,
     until each is linked with its component's smallest id alone.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -338,40 +365,113 @@ def components(links: DataFrame) -> DataFrame:
     return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()))
 
 
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that found (id, component) does not put together."""
+    both = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def link(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of known links and of those among pairs."""
+    near = cut(screen(cut(screen(pairs, classes, "bins")), classes, "profile"))
+    named = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
+    wanted = cut(classes.join(named, "cls").select("cls", "doc_id"))
+    sets = cut(fetch_sets(docs, wanted).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    links = compare_sets(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    links = links.union(known) if known else links
+    return cut(links.union(compare_sets(cut(apart(near, components(links))), sets)))
+
+
+def across(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of a star in different components, one of them outside of the
+    largest, whose profiles allow a link.
+
+    Members meet block by block: those outside in blocks of about BLOCK, all members likewise,
+    every two blocks in a task of their own, and only pairs that pass leave it.
+    """
+    own = classes.select("cls", "n_shingles", "profile")
+    sizes = cut(open_.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_"), F.ceil(F.count_if(F.col("c") != F.col("largest")) / BLOCK).cast("int").alias("out_")))
+    rows = cut(open_.join(own, "cls").join(sizes, "a"))
+    at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("c <> largest").select("a", at("out_").alias("i"), span("all_").alias("j"), "cls", "c", "n_shingles", "profile")
+    right = rows.select("a", span("out_").alias("i"), at("all_").alias("j"), "cls", "c", "n_shingles", "profile")
+
+    def each(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(y):
+            bins = min(map(len, [*x["profile"], *y["profile"]]))
+            p, q = (np.stack([fold(np.frombuffer(r, np.uint8), bins) for r in f["profile"]]).astype(np.int16) for f in (x, y))
+            n, cls, c = (y[k].to_numpy() for k in ("n_shingles", "cls", "c"))
+            for k, (name, group, size) in enumerate(zip(x["cls"], x["c"], x["n_shingles"], strict=True)):
+                fits = (c != group) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
+                near = np.flatnonzero(fits)
+                near = near[np.abs(q[near] - p[k]).sum(axis=1) * 7 <= n[near] + size]
+                found += ((min(name, o), max(name, o)) for o in cls[near].tolist())
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("a", "i", "j").cogroup(right.groupBy("a", "i", "j")).applyInPandas(each, "a long, b long")
+
+
+def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components once the pairs within stars (a, b: compared already) are settled, too.
+
+    Any two members of a hot group are members of the star of its first one. Where a star's
+    members are in several components, a member of the largest is compared with all in others;
+    so near copies come together at a row per member and round. When a round settles less than
+    half of what was left, the pairs that are left in different components are compared.
+    """
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = cut(stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct())
+    before, turn = None, 0
+    while True:
+        placed = cut(members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("a", "cls", F.coalesce("component", "cls").alias("c")))
+        sizes = placed.groupBy("a", "c").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("a").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count("*").alias("k")).where("k > 1")
+        open_ = cut(placed.join(mixed.drop("k"), "a"))
+        outside = open_.where("c <> largest").count()
+        if not outside:
+            return found
+        last = before is not None and 2 * outside > before
+        if last:
+            pairs = across(open_, classes)
+        else:
+            own = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
+            chosen = open_.where("c = largest").groupBy("a").agg(F.min(own)["cls"].alias("next"))
+            pairs = open_.where("c <> largest").join(chosen, "a").select(F.least("next", "cls").alias("a"), F.greatest("next", "cls").alias("b"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        links = link(pairs, links, classes, docs)
+        found = components(links)
+        if last:
+            return found
+        tested, before, turn = tested.union(pairs), outside, turn + 1
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of every row of docs (doc_id, text)."""
     described = cut(describe(docs))
-    best = F.struct("doc_id", "n_shingles", "spare0", "spare1", "parity", "bins")
+    best = F.struct("doc_id", "n_shingles", "spare0", "spare1", "parity", "bins", "profile")
     classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(best).alias("x")).select("cls", "x.*"))
     shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
     matched = cut(match(bucketed_signatures(docs, max(1, shingles // BUCKET))))
-    pairs = matched.where("kind = 0").select("a", "b").distinct()
+    pairs = matched.where("kind = 0").select("a", "b")
 
     # of hot groups, the members that may have no other signature in common with a partner
     hot = matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit"))
     lost = hot.groupBy("cls", "bit").agg(F.count("*").alias("lost"))
     spare = F.when(F.col("bit") == F.col("parity"), F.col("spare0")).otherwise(F.col("spare1"))
-    bound = cut(lost.join(classes, "cls").where(spare <= F.col("lost")).select("cls", "bit", "doc_id"))
-    members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls", "doc_id"))
-    leaders = cut(members.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    stars = members.join(leaders, "gid").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-
-    ids = classes.select("cls", "doc_id")
+    bound = cut(lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit"))
+    members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls"))
+    first = cut(members.groupBy("gid").agg(F.min("cls").alias("a")))
+    stars = members.join(first, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
 
-    def named(links: DataFrame) -> DataFrame:
-        return links.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").select("u", "v")
-
-    links = named(verify(pairs.union(stars).distinct(), classes, docs))
+    links = link(cut(pairs.union(stars).distinct()), None, classes, docs)
     found = components(links)
-    # what remains of hot groups: members that their first one left in another component
-    placed = cut(members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("gid", "cls", F.coalesce("component", "doc_id").alias("c")))
-    mixed = placed.groupBy("gid").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("gid")
-    left = cut(placed.join(mixed, "gid", "left_semi"))
-    if not left.isEmpty():
-        cross = left.toDF("gid", "a", "ca").join(left.toDF("gid", "b", "cb"), "gid").where("ca < cb")
-        more = verify(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs)
-        found = components(cut(links.union(named(more))))
-    groups = cut(ids.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("cls", F.coalesce("component", "doc_id").alias("component")))
+    found = settle(cut(stars.distinct()), links, found, classes, docs)
+
+    named = cut(classes.select("cls", "doc_id").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c")))
+    smallest = cut(named.groupBy("c").agg(F.min("doc_id").alias("component")))
+    groups = cut(named.join(smallest, "c").select("cls", "component"))
     rows = described.select("doc_id", "n_shingles", "cls").join(groups, "cls", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return rows.select("doc_id", "n_shingles", "cls", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
