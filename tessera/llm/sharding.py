@@ -82,7 +82,7 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("version") == version).select("version", "virtual_slot", "shard")
+    return spark.read.schema("virtual_slot int, shard int, version int").parquet(path).where(F.col("version") == version).select("version", "virtual_slot", "shard")
 
 
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
