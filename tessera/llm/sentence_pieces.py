@@ -71,72 +71,76 @@ class Pieces:
         self.is_byte = np.array([model.is_byte(i) for i in ids])
         self.longest = max(len(names[i]) for i in normal)
         self.unknown = min(model.get_score(i) for i in normal) - PENALTY
-        keys = np.array([int(self.hashes(names[i], len(names[i]))[0]) for i in normal], _U)
+        spelled = [np.frombuffer(names[i].encode("utf-32-le"), np.uint32)[:, None] for i in normal]
+        keys = np.array([self.hashes(c, len(c))[0, 0] for c in spelled], _U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal)[order]
+        self.first_bits = np.zeros(1 << 20, bool)
+        self.first_bits[(self.keys >> _U(44)).astype(np.int64)] = True
         self.scores = np.array([model.get_score(i) for i in self.ids.tolist()])
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces with one hash")
         self.words: dict[str, bytes] = {}
 
     @staticmethod
-    def hashes(text: str, n: int) -> np.ndarray:
-        """The hash of each substring of n characters."""
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return Pieces.matrix_hashes(c[None, :], n)[0]
-
-    @staticmethod
-    def matrix_hashes(c: np.ndarray, n: int) -> np.ndarray:
-        up, down = _powers(c.shape[1] + 1)
-        total = np.zeros((c.shape[0], c.shape[1] + 1), _U)
-        np.cumsum((c.astype(_U) + _U(1)) * up[:-1], axis=1, out=total[:, 1:])
-        h = (total[:, n:] - total[:, :-n]) * down[: c.shape[1] - n + 1] + _U(n)
+    def hashes(c: np.ndarray, n: int) -> np.ndarray:
+        """The hash of each substring of n characters; words are the columns of c."""
+        up, down = _powers(len(c) + 1)
+        total = np.zeros((len(c) + 1, c.shape[1]), _U)
+        np.cumsum((c.astype(_U) + _U(1)) * up[:-1, None], axis=0, out=total[1:])
+        h = (total[n:] - total[:-n]) * down[: len(c) - n + 1, None] + _U(n)
         return (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
 
     def look_up(self, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(score, id) of the substrings of n characters of each row; no piece: -inf, -1."""
-        h = self.matrix_hashes(c, n)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
+        """(places, piece numbers) of the substrings of n characters that are pieces.
+
+        The first bits of a hash rule most substrings out before the sorted keys are probed.
+        """
+        h = self.hashes(c, n).ravel()
+        at = np.flatnonzero(self.first_bits[(h >> _U(44)).astype(np.int64)])
+        h = h[at]
+        found = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[found] == h
+        return at[hit], found[hit]
 
     def encode_equal(self, words: list[str]) -> list[bytes]:
         """The ids of words of equal length; within, -1 - code point is a character outside of all pieces."""
         n, size = len(words), len(words[0])
         k = min(self.longest, size)
-        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
-        best = np.full((n, k + size + 1), -np.inf)  # column k + j: of the first j characters
-        best[:, k] = 0
-        back = np.zeros((n, size), np.int8 if k < 128 else np.int32)
-        chosen = np.zeros((n, size), np.int64)
-        rows = np.arange(n)
+        c = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T)
+        best = np.full((k + size + 1, n), -np.inf)  # row k + j: of the first j characters
+        best[k] = 0
+        back, chosen = np.zeros((size, n), np.int32), np.zeros((size, n), np.int32)
+        columns = np.arange(n)
         step = max(k, CELLS // n)
         for lo in range(0, size, step):
             hi = min(size, lo + step)
             # by end position and, from the longest piece on, by length
-            scores = np.full((n, hi - lo, k), -np.inf)
-            ids = np.full((n, hi - lo, k), -1)
+            scores = np.full((hi - lo, k, n), -np.inf)
+            ids = np.full((hi - lo, k, n), -1, np.int32)
             for length in range(1, min(k, hi) + 1):
                 first = max(lo, length - 1)
-                s, i = self.look_up(c[:, first - length + 1 : hi], length)
-                scores[:, first - lo :, k - length], ids[:, first - lo :, k - length] = s, i
-            alone = scores[:, :, k - 1]
+                at, piece = self.look_up(c[first - length + 1 : hi], length)
+                row, column = np.divmod(at, n)
+                scores[row + (first - lo), k - length, column] = self.scores[piece]
+                ids[row + (first - lo), k - length, column] = self.ids[piece]
+            alone = scores[:, k - 1]
             alone[alone == -np.inf] = self.unknown
             for j in range(lo, hi):
-                total = best[:, j + 1 : j + 1 + k] + scores[:, j - lo]
-                at = total.argmax(axis=1)
-                best[:, k + j + 1] = total[rows, at]
-                back[:, j] = k - at
-                chosen[:, j] = ids[rows, j - lo, at]
+                total = best[j + 1 : j + 1 + k] + scores[j - lo]
+                at = total.argmax(axis=0)
+                best[k + j + 1] = total[at, columns]
+                back[j] = k - at
+                chosen[j] = ids[j - lo, at, columns]
         # from the end: each word's ids fill its row of a matrix from the right
         filled = np.full((n, size), _NONE, np.int64)
         at, column = np.full(n, size), size - 1
-        while len(rows):
-            last = at[rows] - 1
-            ids_now = chosen[rows, last]
-            filled[rows, column] = np.where(ids_now >= 0, ids_now, -1 - c[rows, last].astype(np.int64))
-            at[rows] -= back[rows, last]
-            rows, column = rows[at[rows] > 0], column - 1
+        while len(columns):
+            last = at[columns] - 1
+            ids_now = chosen[last, columns]
+            filled[columns, column] = np.where(ids_now >= 0, ids_now, -1 - c[last, columns].astype(np.int64))
+            at[columns] -= back[last, columns]
+            columns, column = columns[at[columns] > 0], column - 1
         used = filled != _NONE
         raw, ends = filled[used].astype("<u4").tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
         out = [raw[b:e] for b, e in zip([0, *ends], ends)]  # noqa: B905
@@ -153,7 +157,7 @@ class Pieces:
         """The ids of words, by groups of equal length."""
         found: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
-        for w in sorted(words):
+        for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             most = max(1, CELLS // length)
