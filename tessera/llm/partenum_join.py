@@ -44,9 +44,11 @@ from .shared import cut, table
 #: Words in a shingle.
 SHINGLE = 5
 #: Signatures in a bucket, about; classes of a signature beyond which it is hot; bins of the test before fetching.
-BUCKET = 3_000_000
+BUCKET = 2_000_000
 HOT = 16
 BINS = 64
+#: Rounds in which members of a hot group are compared with one of them.
+ROUNDS = 2
 #: Members of a block where those of a hot group are compared with one another.
 BLOCK = 512
 #: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
@@ -187,7 +189,8 @@ def class_names(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(elements + _U(1)), np.cumsum(sizes) - sizes, sizes) + mix(sizes.astype(_U))).view(np.int64)
 
 
-CHARS = 4 << 20
+#: Characters of text that a task works on at once.
+CHARS = 1 << 20
 
 
 def _profiles(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -249,7 +252,7 @@ def bucketed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
                 own = owner[edges[k] : edges[k + 1]]
                 x = s[edges[k] : edges[k + 1]]
                 used, place = np.unique(own, return_inverse=True)
-                out.append((int(k), (x >> _U(16)).astype("<u4").tobytes(), x.astype("<u2").tobytes(), place.astype("<u2").tobytes(), names[used].astype("<i8").tobytes(), sizes[used].astype("<i8").tobytes()))
+                out.append((int(k), (x >> _U(16)).astype("<u4").tobytes(), x.astype("<u2").tobytes(), place.astype("<u2").tobytes(), names[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
@@ -264,7 +267,7 @@ def match(packed: DataFrame) -> DataFrame:
         place = get("place", "<u2")
         s = np.concatenate(get("high", "<u4")).astype(_U) << _U(16) | np.concatenate(get("low", "<u2")).astype(_U)
         cls = np.concatenate([c[p] for c, p in zip(get("cls", "<i8"), place, strict=True)])
-        size = np.concatenate([c[p] for c, p in zip(get("size", "<i8"), place, strict=True)])
+        size = np.concatenate([c[p] for c, p in zip(get("size", "<i4"), place, strict=True)])
         order = np.argsort(s)
         s, cls, size = s[order], cls[order], size[order]
         same = np.zeros(len(s) + 1, bool)
@@ -282,7 +285,7 @@ def match(packed: DataFrame) -> DataFrame:
         gid = (s[hot] | (_U(frame["bucket"].iloc[0]) << _U(48))).view(np.int64)
         members = cls[hot]
         s, cls, size = s[~hot], cls[~hot], size[~hot]
-        a, b = [], []
+        a, b = [cls[:0]], [cls[:0]]
         for d in range(1, HOT):
             near = (s[d:] == s[:-d]) & (4 * np.minimum(size[d:], size[:-d]) >= 3 * np.maximum(size[d:], size[:-d]))
             a.append(cls[:-d][near])
@@ -334,8 +337,8 @@ def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             linked = []
-            for p, q in zip(x["ea"].to_pylist(), x["eb"].to_pylist(), strict=True):
-                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+            for p, q in zip(x["ea"], x["eb"], strict=True):
+                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(100 * common >= 75 * (len(p) + len(q) - common))
             yield x.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -377,9 +380,15 @@ def link(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, docs: Da
     named = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
     wanted = cut(classes.join(named, "cls").select("cls", "doc_id"))
     sets = cut(fetch_sets(docs, wanted).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
-    links = compare_sets(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-    links = links.union(known) if known else links
-    return cut(links.union(compare_sets(cut(apart(near, components(links))), sets)))
+    least = cut(near.groupBy("b").agg(F.min("a").alias("least")))
+    first = compare_sets(least.select(F.col("least").alias("a"), "b"), sets)
+    # pairs that their smallest partners, or those of these, put together are not compared
+    once = first.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    twice = once.toDF("component", "further")
+    labels = cut(once.join(twice, "component", "left").select("id", F.coalesce("further", "component").alias("component")))
+    other = near.join(least, "b").where("a <> least").select("a", "b")
+    rest = compare_sets(cut(apart(other, labels)), sets)
+    return cut((first.union(known) if known else first).union(rest))
 
 
 def across(open_: DataFrame, classes: DataFrame) -> DataFrame:
@@ -418,8 +427,8 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
 
     Any two members of a hot group are members of the star of its first one. Where a star's
     members are in several components, a member of the largest is compared with all in others;
-    so near copies come together at a row per member and round. When a round settles less than
-    half of what was left, the pairs that are left in different components are compared.
+    so near copies come together at a row per member and round. After ROUNDS of them, or one that
+    settles less than half of what was left, the pairs left in different components are compared.
     """
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = cut(stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct())
@@ -432,7 +441,7 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
         outside = open_.where("c <> largest").count()
         if not outside:
             return found
-        last = before is not None and 2 * outside > before
+        last = turn == ROUNDS or (before is not None and 2 * outside > before)
         if last:
             pairs = across(open_, classes)
         else:
