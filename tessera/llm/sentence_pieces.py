@@ -34,7 +34,7 @@ from .shared import table
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a Python worker remembers; beyond that the cache starts anew. Longer words are not kept.
-CACHE_WORDS, CACHE_CHARS = 700_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 #: Cells (words by positions) whose substrings are looked up at once.
 CELLS = 150_000
 #: What a character outside of all pieces costs beyond the worst piece.
@@ -204,7 +204,7 @@ def pieces(vocabulary: str = VOCABULARY) -> Pieces:
     return Pieces(public_tokenizers.path(vocabulary))
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 2 << 20) -> Iterator[tuple[list, list]]:
+def _slices(batch: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[tuple[list, list]]:
     ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
     begin = size = 0
     for i, t in enumerate(texts):
