@@ -260,7 +260,8 @@ def bucketed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def match(packed: DataFrame) -> DataFrame:
-    """(kind, a, b): kind 0 is a pair of classes a < b to compare, kind 1 the class b of hot signature a."""
+    """(kind, a, b): kinds 0 and 2 are pairs of classes a < b that share a signature, 0 with the
+    smallest class that has it; kind 1 is the class b of hot signature a."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         get = lambda column, kind: [np.frombuffer(x, kind) for x in frame[column]]
@@ -285,13 +286,16 @@ def match(packed: DataFrame) -> DataFrame:
         gid = (s[hot] | (_U(frame["bucket"].iloc[0]) << _U(48))).view(np.int64)
         members = cls[hot]
         s, cls, size = s[~hot], cls[~hot], size[~hot]
-        a, b = [cls[:0]], [cls[:0]]
+        start = np.ones(len(s), bool)
+        start[1:] = s[1:] != s[:-1]
+        found = [np.zeros((0, 3), np.int64)]
         for d in range(1, HOT):
             near = (s[d:] == s[:-d]) & (4 * np.minimum(size[d:], size[:-d]) >= 3 * np.maximum(size[d:], size[:-d]))
-            a.append(cls[:-d][near])
-            b.append(cls[d:][near])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pd.DataFrame({"kind": np.repeat([0, 1], [len(pairs), len(gid)]).astype(np.int32), "a": np.concatenate([pairs[:, 0], gid]), "b": np.concatenate([pairs[:, 1], members])})
+            kind = np.where(start[:-d], 0, 2)  # with the group's first class, or without
+            found.append(np.stack([kind, cls[:-d], cls[d:]], 1)[near] if d < len(s) else found[0])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        hot_rows = np.stack([np.ones(len(gid), np.int64), gid, members], 1)
+        return pd.DataFrame(np.concatenate([pairs, hot_rows]), columns=["kind", "a", "b"]).astype({"kind": np.int32})
 
     return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long")
 
@@ -463,7 +467,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(best).alias("x")).select("cls", "x.*"))
     shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
     matched = cut(match(bucketed_signatures(docs, max(1, shingles // BUCKET))))
-    pairs = matched.where("kind = 0").select("a", "b")
+    pairs = matched.where("kind <> 1")
 
     # of hot groups, the members that may have no other signature in common with a partner
     hot = matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit"))
@@ -474,7 +478,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     first = cut(members.groupBy("gid").agg(F.min("cls").alias("a")))
     stars = members.join(first, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
 
-    links = link(cut(pairs.union(stars).distinct()), None, classes, docs)
+    # first the stars of all signatures; of their other pairs, those in different components
+    links = link(cut(pairs.where("kind = 0").drop("kind").union(stars).distinct()), None, classes, docs)
+    found = components(links)
+    links = link(cut(apart(pairs.where("kind = 2").drop("kind").distinct(), found)), links, classes, docs)
     found = components(links)
     found = settle(cut(stars.distinct()), links, found, classes, docs)
 
