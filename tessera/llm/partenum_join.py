@@ -15,8 +15,9 @@ What keeps this linear:
   group are compared with its first one; what that leaves in different components, pair by pair.
 - Pairs pass two tests before sets are fetched: the counts of their elements in BINS bins, then in
   as many bins as keep a few elements in each, may not differ by more than linked sets can.
-- Of the pairs left, each class is first compared with its smallest partner; pairs that this puts
-  in one component are not compared again.
+- Each class is first compared with its smallest partner and with the first class of its hot groups,
+  which brings a large group of near copies together at a pair or two a class; pairs that are in
+  one component by then are neither tested nor compared.
 
 Signatures travel packed in binary columns, a few million to a bucket, and are matched with numpy;
 the number of buckets follows the number of shingles. Classes are named by 64 bits of their
@@ -49,8 +50,11 @@ HOT = 16
 BINS = 64
 #: Rounds in which members of a hot group are compared with one of them.
 ROUNDS = 2
-#: Members of a block where those of a hot group are compared with one another.
+#: Members and elements of a block where those of a hot group are compared with one another, about,
+#: and the bins of the test before sets are compared there.
 BLOCK = 512
+BLOCK_ELEMENTS = 2_000_000
+BLOCK_BINS = 512
 #: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
 PER_BIN = 4
 BROADCAST = 1_000_000
@@ -395,32 +399,45 @@ def link(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, docs: Da
     return cut((first.union(known) if known else first).union(rest))
 
 
-def across(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of members of a star in different components, one of them outside of the
-    largest, whose profiles allow a link.
+def across(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of members of a star in different components, one of them outside of the largest.
 
-    Members meet block by block: those outside in blocks of about BLOCK, all members likewise,
-    every two blocks in a task of their own, and only pairs that pass leave it.
+    Members meet block by block: those outside in blocks of about BLOCK members and
+    BLOCK_ELEMENTS elements at most, all members likewise, every two blocks in a task of their own. There
+    whole sets are compared, and only links that bring components together leave the task.
     """
-    own = classes.select("cls", "n_shingles", "profile")
-    sizes = cut(open_.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_"), F.ceil(F.count_if(F.col("c") != F.col("largest")) / BLOCK).cast("int").alias("out_")))
-    rows = cut(open_.join(own, "cls").join(sizes, "a"))
+    wanted = cut(open_.select("cls").distinct().join(classes.select("cls", "doc_id", "n_shingles"), "cls"))
+    sets = cut(fetch_sets(docs, wanted).join(wanted.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]))
+    sized = open_.join(wanted.select("cls", "n_shingles"), "cls").withColumn("out", F.col("c") != F.col("largest"))
+    blocks = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_ELEMENTS)).cast("int")
+    sizes = cut(sized.groupBy("a").agg(
+        blocks(F.count("*"), F.sum("n_shingles")).alias("all_"),
+        blocks(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("n_shingles")).otherwise(0))).alias("out_"),
+    ))
+    rows = cut(open_.join(sets, "cls").join(sizes, "a"))
     at = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("c <> largest").select("a", at("out_").alias("i"), span("all_").alias("j"), "cls", "c", "n_shingles", "profile")
-    right = rows.select("a", span("out_").alias("i"), at("all_").alias("j"), "cls", "c", "n_shingles", "profile")
+    left = rows.where("c <> largest").select("a", at("out_").alias("i"), span("all_").alias("j"), "cls", "c", "n_shingles", "elements")
+    right = rows.select("a", span("out_").alias("i"), at("all_").alias("j"), "cls", "c", "n_shingles", "elements")
 
     def each(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(x) and len(y):
-            bins = min(map(len, [*x["profile"], *y["profile"]]))
-            p, q = (np.stack([fold(np.frombuffer(r, np.uint8), bins) for r in f["profile"]]).astype(np.int16) for f in (x, y))
-            n, cls, c = (y[k].to_numpy() for k in ("n_shingles", "cls", "c"))
-            for k, (name, group, size) in enumerate(zip(x["cls"], x["c"], x["n_shingles"], strict=True)):
-                fits = (c != group) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
-                near = np.flatnonzero(fits)
+            own, other = ([np.frombuffer(r, "<u8") for r in f["elements"]] for f in (x, y))
+            p, q = (np.stack([np.bincount((r & _U(BLOCK_BINS - 1)).astype(np.int64), minlength=BLOCK_BINS) for r in sets]).astype(np.int32) for sets in (own, other))
+            n, cls = y["n_shingles"].to_numpy(), y["cls"].to_numpy()
+            # names of components, which links within this pair of blocks make one
+            group, names = np.unique(np.concatenate([x["c"].to_numpy(), y["c"].to_numpy()]), return_inverse=True)[1], x["cls"].to_numpy()
+            for k, (name, size) in enumerate(zip(names, x["n_shingles"], strict=True)):
+                mine, theirs = group[: len(x)], group[len(x) :]
+                near = np.flatnonzero((theirs != mine[k]) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size)))
                 near = near[np.abs(q[near] - p[k]).sum(axis=1) * 7 <= n[near] + size]
-                found += ((min(name, o), max(name, o)) for o in cls[near].tolist())
+                for o in near:
+                    if theirs[o] != mine[k]:
+                        common = len(np.intersect1d(own[k], other[o], assume_unique=True))
+                        if 100 * common >= 75 * (size + n[o] - common):
+                            found.append((min(name, cls[o]), max(name, cls[o])))
+                            group[group == theirs[o]] = mine[k]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return left.groupBy("a", "i", "j").cogroup(right.groupBy("a", "i", "j")).applyInPandas(each, "a long, b long")
@@ -432,7 +449,7 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
     Any two members of a hot group are members of the star of its first one. Where a star's
     members are in several components, a member of the largest is compared with all in others;
     so near copies come together at a row per member and round. After ROUNDS of them, or one that
-    settles less than half of what was left, the pairs left in different components are compared.
+    settles less than half of what was left, those left in different components meet in blocks.
     """
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = cut(stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct())
@@ -445,18 +462,14 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
         outside = open_.where("c <> largest").count()
         if not outside:
             return found
-        last = turn == ROUNDS or (before is not None and 2 * outside > before)
-        if last:
-            pairs = across(open_, classes)
-        else:
-            own = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
-            chosen = open_.where("c = largest").groupBy("a").agg(F.min(own)["cls"].alias("next"))
-            pairs = open_.where("c <> largest").join(chosen, "a").select(F.least("next", "cls").alias("a"), F.greatest("next", "cls").alias("b"))
+        if turn == ROUNDS or (before is not None and 2 * outside > before):
+            return components(cut(links.union(across(open_, classes, docs))))
+        own = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
+        chosen = open_.where("c = largest").groupBy("a").agg(F.min(own)["cls"].alias("next"))
+        pairs = open_.where("c <> largest").join(chosen, "a").select(F.least("next", "cls").alias("a"), F.greatest("next", "cls").alias("b"))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         links = link(pairs, links, classes, docs)
         found = components(links)
-        if last:
-            return found
         tested, before, turn = tested.union(pairs), outside, turn + 1
 
 
@@ -478,11 +491,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
     first = cut(members.groupBy("gid").agg(F.min("cls").alias("a")))
     stars = members.join(first, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
 
-    # first the stars of all signatures; of their other pairs, those in different components
-    links = link(cut(pairs.where("kind = 0").drop("kind").union(stars).distinct()), None, classes, docs)
-    found = components(links)
-    links = link(cut(apart(pairs.where("kind = 2").drop("kind").distinct(), found)), links, classes, docs)
-    found = components(links)
+    # first a pair or two of each class: with its smallest star and with the first of its hot groups;
+    # then the other stars, then the other pairs, each only where they are in different components
+    star = cut(pairs.where("kind = 0").select("a", "b").union(stars).distinct())
+    heads = cut(hot.groupBy("gid").agg(F.min("cls").alias("a")))
+    hubs = hot.join(heads, "gid").where("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    least = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, found = None, None
+    for some in (least.union(hubs).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):
+        links = link(cut(apart(some, found) if found else some), links, classes, docs)
+        found = components(links)
     found = settle(cut(stars.distinct()), links, found, classes, docs)
 
     named = cut(classes.select("cls", "doc_id").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c")))
