@@ -4,7 +4,8 @@ A text is a vector of letter n-grams hashed into DIMENSIONS buckets, weighted by
 normalised. Each language has several centroids, found by spherical k-means over a bounded sample
 of its labelled texts; document frequencies are counted over all training texts. A text gets the
 language of the centroid with the greatest cosine, and is rejected if it is further away than
-nearly all training texts of its length are from theirs.
+nearly all training texts of its length are from theirs. These distance limits come from a second
+pass over all training texts, as cosines counted in bins.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and rejected; with
 nothing to learn from, every text is `und`; ties go to the language that sorts first; repeated
@@ -13,6 +14,7 @@ rows each get a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,12 @@ SAMPLE = 1500
 LANGUAGES = 1000
 #: Lengths in n-grams that part the bands with a distance limit of their own.
 BANDS = (16, 32, 64, 128, 256, 1024)
-#: The limit is the cosine of the worst training text of the band, times this.
+#: The limit is the cosine that all but this share of the band's training texts reach, times MARGIN.
+QUANTILE = 0.01
 MARGIN = 0.5
+#: Bins that cosines are counted in, and texts that a language's band needs for a limit of its own.
+BINS = 1000
+ENOUGH = 100
 
 _LETTER = np.zeros(0x3000, bool)
 _LETTER[[i for i in range(0x3000) if chr(i).isalpha()]] = True
@@ -100,7 +106,8 @@ def fit(training: DataFrame) -> dict:
     """The model of training (key, text, lang; no nulls in text and lang).
 
     The key only decides which texts are in the sample. Gathered on the driver: counts per
-    language, document frequencies (DIMENSIONS numbers), the centroids and the distance limits.
+    language, document frequencies (DIMENSIONS numbers), the centroids and the distance limits. Only
+    the centroids are fitted on the sample.
     """
     training = training.where(has_letter(F.col("text")))
     sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
@@ -141,22 +148,59 @@ def fit(training: DataFrame) -> dict:
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         counts = np.stack([np.frombuffer(x, "<f4") for x in sorted(frame["v"])])
-        v = weighted(counts, idf)
-        c = centroids(v)
-        cosine, band = (v @ c.T).max(axis=1), np.searchsorted(BANDS, counts.sum(axis=1))
-        limits = [float(cosine[band == b].min()) * MARGIN if (band == b).any() else 0.0 for b in range(len(BANDS) + 1)]
-        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "c": [c.astype("<f4").tobytes()], "limits": [limits]})
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "c": [centroids(weighted(counts, idf)).astype("<f4").tobytes()]})
 
     sampled = rows.where(F.col("lang").isNotNull()).select("lang", "v")
-    found = sorted(sampled.groupBy("lang").applyInPandas(cluster, "lang string, c binary, limits array<double>").collect(), key=lambda r: r["lang"])
-    parts = [np.frombuffer(r["c"], "<f4").reshape(-1, DIMENSIONS) for r in found]
+    found = sorted(sampled.groupBy("lang").applyInPandas(cluster, "lang string, c binary").collect(), key=lambda r: r["lang"])
+    parts = {r["lang"]: np.frombuffer(r["c"], "<f4").reshape(-1, DIMENSIONS) for r in found}
+    limits = distance_limits(training, idf, parts)
     return {
-        "langs": [r["lang"] for r, c in zip(found, parts, strict=True) for _ in c], "idf": idf,
-        "centroids": np.concatenate(parts) if parts else None,
-        "limits": np.array([r["limits"] for r, c in zip(found, parts, strict=True) for _ in c]),
+        "langs": [lang for lang, c in parts.items() for _ in c], "idf": idf,
+        "centroids": np.concatenate([*parts.values()]) if parts else None,
+        "limits": np.array([limits[lang] for lang, c in parts.items() for _ in c]),
     }
 
 
+def distance_limits(training: DataFrame, idf: np.ndarray, parts: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    """Of each language, the least cosine of each band, by all training texts.
+
+    A band with fewer than ENOUGH texts has the limit of all languages' texts of the band; where
+    these are too few as well, of the language's texts of any length, then of all texts.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((idf, parts))
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, parts = shared.value
+        seen: Counter = Counter()
+        for part in _batches(frames):
+            counts, lang = gram_counts(part["text"].tolist()), part["lang"].to_numpy()
+            v, band = weighted(counts, idf), np.searchsorted(BANDS, counts.sum(axis=1))
+            for name in set(lang) & parts.keys():
+                own = lang == name
+                bins = np.clip((v[own] @ parts[name].T).max(axis=1) * BINS, 0, BINS - 1).astype(int)
+                seen.update(zip([name] * len(bins), band[own].tolist(), bins.tolist(), strict=True))
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "band", "bin", "n"])
+
+    binned = training.select("text", "lang").mapInPandas(measure, "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n"))
+    # null stands for all languages, -1 for any length
+    scopes = F.array(*(F.struct(lang.alias("lang"), band.alias("band")) for lang in (F.col("lang"), F.lit(None).cast("string")) for band in (F.col("band"), F.lit(-1))))
+    summed = binned.select(F.explode(scopes).alias("s"), "bin", "n").groupBy("s", "bin").agg(F.sum("n").alias("n"))
+    summed = summed.groupBy("s").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+
+    def step(acc, x):
+        below = acc["below"] + x["n"]
+        return F.struct(below.alias("below"), F.when((acc["bin"] < 0) & (below > F.col("n") * QUANTILE), x["bin"]).otherwise(acc["bin"]).alias("bin"))
+
+    least = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("below"), F.lit(-1).alias("bin")), step)["bin"]
+    found = {(r["lang"], r["band"]): r for r in summed.select("s.lang", "s.band", "n", (least / BINS * MARGIN).alias("limit")).collect()}
+
+    def limit(lang: str, band: int) -> float:
+        some = [found[k] for k in ((lang, band), (None, band), (lang, -1), (None, -1)) if k in found]
+        return next((r["limit"] for r in some if r["n"] >= ENOUGH), some[-1]["limit"])
+
+    return {lang: [limit(lang, b) for b in range(len(BANDS) + 1)] for lang in parts}
+
+
 def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
     """docs, without the text unless it is to be kept, with lang_pred, score and rejected; only
     the column text is an input."""

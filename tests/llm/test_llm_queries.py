@@ -121,6 +121,30 @@ def test_op7(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) < 0.01 * len(rows)
 
 
+def test_distance_limits_cover_all_training_texts(spark, monkeypatch):
+    from tessera.llm import language_id as m
+
+    monkeypatch.setattr(m, "SAMPLE", 50)
+    sf_dir = "/root/testdata/sf0.01"
+    docs = m.training_rows(table(spark, sf_dir, "documents")).where(m.has_letter(F.col("text")))
+    model = m.fit(docs)
+    assert (model["limits"] > 0).all()
+    rows = docs.toPandas()
+    counts = np.concatenate([m.gram_counts(part["text"].tolist()) for part in m._batches(iter([rows]))])
+    v, band = m.weighted(counts, model["idf"]), np.searchsorted(m.BANDS, counts.sum(axis=1))
+    langs, lang = np.array(model["langs"]), rows["lang"].to_numpy()
+    own = np.array([(x @ model["centroids"][langs == name].T).max() for x, name in zip(v, lang)])
+    tried = set()
+    for name, limits in zip(langs, model["limits"]):
+        for b, limit in enumerate(limits):
+            scopes = (lang == name) & (band == b), band == b, lang == name, lang == lang
+            at = next(i for i, s in enumerate(scopes) if s.sum() >= m.ENOUGH)
+            x = np.sort(own[scopes[at]])
+            tried.add(at)
+            assert limit == pytest.approx(x[int(len(x) * m.QUANTILE)] * m.MARGIN, abs=1.01 * m.MARGIN / m.BINS)
+    assert {0, 2} <= tried
+
+
 def components(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
