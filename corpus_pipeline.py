@@ -38,10 +38,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal shingle sets, the one with the smallest doc_id stays."""
+    """Of documents linked by near-equal shingle sets, the one with the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text, as texts that share a doc_id are documents of their own;
+    equal texts went in the stage before.
+    """
     placed = partenum_join.join_documents(docs)
-    gone = cut(placed.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    gone = cut(placed.where("NOT stays").select("doc_id", "digest").distinct())
+    rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return rows.join(gone.hint("shuffle_hash"), ["doc_id", "digest"], "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

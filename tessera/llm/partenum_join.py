@@ -31,6 +31,7 @@ result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -214,9 +215,10 @@ def fold(profile: np.ndarray, bins: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, spare0, spare1, parity, bins, profile) of docs (doc_id, text);
-    parity is that of the set's own band, bins and profile are counts of elements."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary()), ("profile", pa.binary())])
+    """(doc_id, digest, n_shingles, cls, spare0, spare1, parity, bins, profile) of docs (doc_id,
+    text); digest is the text's md5, parity that of the set's own band, bins and profile are counts
+    of elements."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary()), ("profile", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches, CHARS):
@@ -224,11 +226,12 @@ def describe(docs: DataFrame) -> DataFrame:
             profiles = _profiles(elements, sizes)
             bins = [fold(p, BINS).astype(np.uint8).tobytes() for p in profiles]
             spare = [signatures(elements, sizes, step)[2] for step in (0, 1)] + [np.searchsorted(_tops(int(sizes.max(initial=1))), sizes) & 1]
+            digests = [None if t is None else hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(class_names(elements, sizes)), *map(pa.array, spare), pa.array(bins, pa.binary()), pa.array([p.tobytes() for p in profiles], pa.binary())], schema=kinds
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(class_names(elements, sizes)), *map(pa.array, spare), pa.array(bins, pa.binary()), pa.array([p.tobytes() for p in profiles], pa.binary())], schema=kinds
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, digest binary, n_shingles long, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
 
 
 def bucketed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -474,9 +477,13 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) of every row of docs (doc_id, text)."""
+    """(doc_id, digest, n_shingles, cls, component_id, stays) of every row of docs (doc_id, text).
+
+    Of the rows of a component one text stays: that of the smallest doc_id, where rows share this
+    of the smallest class and digest.
+    """
     described = cut(describe(docs))
-    best = F.struct("doc_id", "n_shingles", "spare0", "spare1", "parity", "bins", "profile")
+    best = F.struct("doc_id", "digest", "n_shingles", "spare0", "spare1", "parity", "bins", "profile")
     classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(best).alias("x")).select("cls", "x.*"))
     shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
     matched = cut(match(bucketed_signatures(docs, max(1, shingles // BUCKET))))
@@ -503,12 +510,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
         found = components(links)
     found = settle(cut(stars.distinct()), links, found, classes, docs)
 
-    named = cut(classes.select("cls", "doc_id").join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c")))
-    smallest = cut(named.groupBy("c").agg(F.min("doc_id").alias("component")))
-    groups = cut(named.join(smallest, "c").select("cls", "component"))
-    rows = described.select("doc_id", "n_shingles", "cls").join(groups, "cls", "left")
+    row = F.struct("doc_id", "cls", "digest")
+    named = cut(classes.select("cls", row.alias("row")).join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "row", F.coalesce("component", "cls").alias("c")))
+    smallest = cut(named.groupBy("c").agg(F.min("row").alias("first")))
+    groups = cut(named.join(smallest, "c").select("cls", "first"))
+    rows = described.select("doc_id", "digest", "n_shingles", "cls").join(groups, "cls", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return rows.select("doc_id", "n_shingles", "cls", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "digest", "n_shingles", "cls", component.alias("component_id"), F.when(linked, row == F.col("first")).otherwise(True).alias("stays"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,18 @@ def test_op9_on_documents(spark, sf_dir):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == components(texts_of(spark, sf_dir))
 
 
+def test_near_copies_with_shared_doc_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    texts = [(1, " ".join(a)), (2, " ".join([*a, "more"])), (2, " ".join(b)), (5, " ".join(c)), (5, " ".join([*c, "more"])), (7, " ".join(d)), (7, " ".join(d).upper()), (1, "e " * 9), (None, " ".join(a))]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) < set(texts)
+    assert {texts[0], texts[2], texts[7], texts[8]} <= set(kept) and texts[1] not in kept
+    assert Counter(i for i, _ in kept) == {1: 2, 2: 1, 5: 1, 7: 1, None: 1}
+
+
 def test_op10(spark):
     from tessera.llm import sharding
 
