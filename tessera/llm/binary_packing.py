@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dominance_packing import CAPACITY, CLOSING, cuts
-from .shared import table, whole
+from .shared import slices, table, whole
 from .token_ids import VOCABULARY, encoder
 
 #: What fills a row's end: an id that the vocabulary does not have.
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, blocks: int, capacity: int = CAPACITY, vocabul
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = encoder(vocabulary).encode, struct.pack("<I", CLOSING)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = np.frombuffer(encode(text) + closing, "<u4").astype("<u2")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions, table
+from .shared import cut, partitions, slices, table
 from .token_ids import VOCABULARY, encoder
 
 #: Tokens in a sequence, and the id that closes every document.
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = encoder(vocabulary).encode, struct.pack("<I", CLOSING)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 raw = encode(text) + closing

@@ -4,23 +4,32 @@ A text is cut into words, each with the spaces before it; no piece of the model
 word into the next word's spaces, so words are encoded on their own, distinct ones once. Words of
 equal length are rows of a matrix and advance together: the hashes of all substrings up to the
 longest piece are looked up among the sorted hashes of the pieces, and from position to position
-the best score over all pieces that end there is one vectorised maximum, which also gives the
-back pointer.
-
-The ids are those of the segmentation with the greatest sum of piece scores (as the library's
-unigram type finds it), the longest last piece winning ties. A vocabulary made by merging is read
-in the same way: its scores are what is summed, and merges are not replayed. A character that no
-piece covers becomes its UTF-8 bytes' ids, so decoding restores every text exactly; the character
-U+2581, which stands for a space inside the model, is written as bytes as well.
-
-Defined results: a null or empty text has no ids; repeated rows each get a row; an empty table
-gives an empty result; columns other than doc_id and text are ignored.
+one vectorised maximum over all pieces that end there gives the best one and the back pointer.
+
+What is maximised follows the model's type, so that the ids are the library's:
+- unigram: the sum of piece scores, the longest last piece winning ties. Sums are of 64 bits and
+  by word; the library's are of 32 bits, so where two differ by rounding alone it may choose the other.
+- BPE: merging gives a text one segmentation, and this is the one in which every two neighbours
+  are what merging makes of the two alone. So the last piece of each prefix is the one that may
+  follow the last piece of the prefix before it: a pair scores 0 if it may stand and minus
+  infinity if not. Whether it may is told by undoing the latest merges of both pieces step by
+  step: no two parts that touch at the border at one time may be a piece that merges sooner.
+
+A character that no piece covers becomes its UTF-8 bytes' ids, so decoding restores every text
+exactly; the character U+2581, which stands for a space inside the model, is written as bytes as
+well (there the library gives the ids of a space).
+
+Defined results: a null or empty text has no ids; repeated rows each get a row; a null doc_id
+stays null; there are no ties between segmentations of a BPE model; a very long text is encoded
+whole, a word at a time, and a very long word in steps of CELLS positions; an empty table gives
+an empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,19 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import slices, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a Python worker remembers; beyond that the cache starts anew. Longer words are not kept.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 32
 #: Cells (words by positions) whose substrings are looked up at once.
 CELLS = 150_000
 #: What a character outside of all pieces costs beyond the worst piece.
 PENALTY = 10.0
 
-#: A cell without an id.
+#: A cell without an id. The id of a character outside of all pieces, and what stands before a word.
 _NONE = -(1 << 40)
+_UNKNOWN, _START = -2, -3
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -53,6 +63,87 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
+def is_bpe(model) -> bool:
+    """Whether a model was made by merging: field 3 of its trainer's settings is 2."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    settings = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    return settings.trainer_spec.model_type == settings.trainer_spec.BPE
+
+
+class Merges:
+    """Which two pieces may stand side by side in what merging makes of a text."""
+
+    def __init__(self, ids: dict[str, int], scores: dict[int, float]):
+        self.ids, self.scores = ids, scores
+        self.names = {i: name for name, i in ids.items()}
+        if any(c not in ids for name in ids for c in name):
+            raise ValueError("a piece holds a character that is no piece")
+        rank = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True), 1)}  # the first merges first
+        n = max(ids.values()) + 1
+        # a piece's rank and its two parts; single characters are there from the start
+        self.rank, self.left, self.right = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        # pieces told apart neither by score nor by order of their parts, and such that no text has
+        self.odd, self.never = np.zeros(n, bool), np.zeros(n, bool)
+        shared = Counter(scores.values())
+        for name, i in ids.items():
+            if len(name) > 1:
+                self.rank[i] = rank[scores[i]]
+                self.never[i] = not self.split(name, i)
+                self.odd[i] = shared[scores[i]] > 1
+        whole = np.flatnonzero(self.left >= 0)
+        self.odd[whole] |= (self.rank[self.left[whole]] >= self.rank[whole]) | (self.rank[self.right[whole]] >= self.rank[whole])
+        pairs = sorted((ids[name[:k]] << 32 | ids[name[k:]], i) for name, i in ids.items() for k in range(1, len(name)) if name[:k] in ids and name[k:] in ids)
+        self.pairs, made = np.array([p for p, _ in pairs] or [0], np.int64), np.array([i for _, i in pairs] or [0], np.int64)
+        self.made_rank = self.rank[made]
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def split(self, name: str, i: int) -> bool:
+        """Set the parts of piece i; False if merging its characters does not lead to it."""
+        parts = self.merge(name, stop=True)
+        if len(parts) == 2:
+            self.left[i], self.right[i] = (self.ids[p] for p in parts)
+        return len(parts) == 2
+
+    def merge(self, text: str, stop: bool = False) -> list[str]:
+        """The pieces of a short text by plain merging; with stop, what the last merge to the whole joins."""
+        parts = list(text)
+        while len(parts) > 1:
+            some = [(-self.scores[i], at) for at in range(len(parts) - 1) if (i := self.ids.get(parts[at] + parts[at + 1])) is not None]
+            if not some or (stop and len(parts) == 2):
+                break
+            at = min(some)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def may_stand(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether each pair of ids is what merging makes of the two."""
+        out = ~self.never[np.maximum(second, 0)] | (second < 0)
+        both = (first >= 0) & (second >= 0) & out
+        odd = both & (self.odd[np.maximum(first, 0)] | self.odd[np.maximum(second, 0)])
+        for at in np.flatnonzero(odd).tolist():
+            pair = int(first[at]), int(second[at])
+            if pair not in self.known:
+                a, b = self.names[pair[0]], self.names[pair[1]]
+                self.known[pair] = self.merge(a + b) == [a, b]
+            out[at] = self.known[pair]
+        at = np.flatnonzero(both & ~odd)
+        a, b = first[at], second[at]
+        limit = np.full(len(at), np.iinfo(np.int64).max)
+        while len(at):
+            key = a << 32 | b
+            found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            sooner = (self.pairs[found] == key) & (self.made_rank[found] < limit)
+            out[at[sooner]] = False
+            # undo the later of the last merges on both sides; of equal ones the right one
+            undo = self.rank[a] > self.rank[b]
+            go = ~sooner & ((self.left[a] >= 0) | (self.left[b] >= 0))
+            at, a, b, undo = at[go], a[go], b[go], undo[go]
+            limit = np.where(undo, self.rank[a], self.rank[b] + 1)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return out
+
+
 class Pieces:
     """The pieces of a model and what looking them up needs."""
 
@@ -81,6 +172,7 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces with one hash")
         self.words: dict[str, bytes] = {}
+        self.merges = Merges({names[i]: i for i in normal}, {i: model.get_score(i) for i in normal}) if is_bpe(model) else None
 
     @staticmethod
     def hashes(c: np.ndarray, n: int) -> np.ndarray:
@@ -108,30 +200,38 @@ class Pieces:
         n, size = len(words), len(words[0])
         k = min(self.longest, size)
         c = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T)
-        best = np.full((k + size + 1, n), -np.inf)  # row k + j: of the first j characters
-        best[k] = 0
         back, chosen = np.zeros((size, n), np.int32), np.zeros((size, n), np.int32)
         columns = np.arange(n)
+        best = np.full((k + size + 1, n), _NONE if self.merges else -np.inf, np.int64 if self.merges else np.float64)  # row k + j: of the first j characters
+        best[k] = _START if self.merges else 0
         step = max(k, CELLS // n)
         for lo in range(0, size, step):
             hi = min(size, lo + step)
             # by end position and, from the longest piece on, by length
-            scores = np.full((hi - lo, k, n), -np.inf)
-            ids = np.full((hi - lo, k, n), -1, np.int32)
+            found = np.full((hi - lo, k, n), -1, np.int32)
             for length in range(1, min(k, hi) + 1):
                 first = max(lo, length - 1)
                 at, piece = self.look_up(c[first - length + 1 : hi], length)
                 row, column = np.divmod(at, n)
-                scores[row + (first - lo), k - length, column] = self.scores[piece]
-                ids[row + (first - lo), k - length, column] = self.ids[piece]
-            alone = scores[:, k - 1]
-            alone[alone == -np.inf] = self.unknown
+                found[row + (first - lo), k - length, column] = piece
             for j in range(lo, hi):
-                total = best[j + 1 : j + 1 + k] + scores[j - lo]
-                at = total.argmax(axis=0)
-                best[k + j + 1] = total[at, columns]
+                before, piece = best[j + 1 : j + 1 + k], found[j - lo]
+                ids = np.where(piece >= 0, self.ids[piece], -1)
+                if self.merges:  # the piece that may follow; alone, a character outside of all pieces always may
+                    ids[k - 1][ids[k - 1] < 0] = _UNKNOWN
+                    some = np.flatnonzero((ids != -1) & (before != _NONE))
+                    total = np.zeros(ids.size, bool)
+                    total[some] = self.merges.may_stand(before.ravel()[some], ids.ravel()[some])
+                    at = total.reshape(ids.shape).argmax(axis=0)
+                    best[k + j + 1] = ids[at, columns]
+                else:
+                    total = before + np.where(piece >= 0, self.scores[piece], -np.inf)
+                    alone = piece[k - 1] < 0
+                    total[k - 1, alone] = before[k - 1, alone] + self.unknown
+                    at = total.argmax(axis=0)
+                    best[k + j + 1] = total[at, columns]
                 back[j] = k - at
-                chosen[j] = ids[j - lo, at, columns]
+                chosen[j] = ids[at, columns]
         # from the end: each word's ids fill its row of a matrix from the right
         filled = np.full((n, size), _NONE, np.int64)
         at, column = np.full(n, size), size - 1
@@ -204,47 +304,52 @@ def pieces(vocabulary: str = VOCABULARY) -> Pieces:
     return Pieces(public_tokenizers.path(vocabulary))
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[tuple[list, list]]:
-    ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t or "") > chars:
-            yield ids[begin:i], texts[begin:i]
-            begin, size = i, 0
-        size += len(t or "")
-    if begin < len(ids):
-        yield ids[begin:], texts[begin:]
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """(slice, texts, ids) of the batches."""
+    model = pieces(vocabulary)
+    for part in slices(batches):
+        texts = part["text"].to_pylist()
+        yield part, texts, model.encode(texts)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text, ids) of docs: ids as little-endian unsigned 32-bit numbers."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary())])
+    """(doc_id, ids) of docs (doc_id, text): ids as little-endian unsigned 32-bit numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(vocabulary)
-        for batch in batches:
-            for doc_ids, texts in _slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((doc_ids, texts, model.encode(texts)), kinds, strict=True)], schema=kinds)
+        for part, _, ids in _encoded(batches, vocabulary):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, text string, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """encoded with the column decoded."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    """(doc_id, decoded) of encoded (doc_id, ids)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(vocabulary)
+        for part in slices(batches, text="ids"):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([model.decode(i) for i in part["ids"].to_pylist()], pa.string())], ["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id long, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, decoded_crc32, restored) of docs (doc_id, text).
+
+    Encoding and decoding share one pass and one worker a task, and no text goes back to the JVM.
+    """
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("restored", pa.bool_())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(vocabulary)
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([model.decode(i) for i in x["ids"].to_pylist()], pa.string())], [*x.schema.names, "decoded"])
+        for part, texts, ids in _encoded(batches, vocabulary):
+            back = [model.decode(i) for i in ids]
+            columns = [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [zlib.crc32(t.encode()) for t in back], [(t or "") == b for t, b in zip(texts, back, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, t.type) for c, t in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
 
-    return encoded.mapInArrow(each, f"{kinds}, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, restored boolean")
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: counts and checksums, and whether it came back whole."""
-    both = decode(encode(table(spark, sf_dir, "documents")))
-    return both.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
-        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"),
-    )
+    return round_trip(table(spark, sf_dir, "documents"))

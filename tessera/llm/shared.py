@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. The session names it in
-    spark.checkpoint.dir; only where that is unset (tests on one machine) a local one is taken."""
+    """The folder that the driver and all executors see: the session names it in
+    spark.checkpoint.dir. Only a session whose executors are threads of the driver (local[...])
+    may go without; it gets a folder beside the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -48,3 +54,19 @@ def whole(text: Column | str) -> Column:
 def split_words(text: Column) -> Column:
     """The words of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, rows: int = 20_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and, but for single long texts, bytes of text.
+
+    Only a slice is ever turned into Python objects, so a task's memory follows the slice and not
+    the batch, however long its texts are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(ends):
+            before = int(ends[begin - 1]) if begin else 0
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(begin, end - begin)
+            begin = end

@@ -7,8 +7,9 @@ import re
 import struct
 from functools import lru_cache
 
-#: Words that a Python worker remembers; beyond that the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Words of at most CACHE_CHARS characters that a Python worker remembers; beyond that the cache
+#: starts anew. Together these hold some 50 MB at most, as workers live on from task to task.
+CACHE_WORDS, CACHE_CHARS = 200_000, 32
 #: The vocabulary, by its name among the public tokenizer files, as JSON and as ranks.
 VOCABULARY = "byte_bpe_50k"
 
@@ -29,7 +30,7 @@ class _Words(dict):
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= CACHE_CHARS:
             self[word] = found
         return found
 

@@ -92,24 +92,53 @@ def test_op2(spark, sf_dir):
     assert {k: [x for _, p in sorted(v.items()) for x in p] for k, v in back.items()} == ids
 
 
+ODD_TEXTS = ["", "a", " ", "     x", "a" * 50 + " b", "x   中   y\n\n\tq", "é中𝄞 <|endoftext|>", " " * 40, " " * 17 + "the", "the the  ", "\n" * 9, "0" * 3000, "\x00 \x85 \u2028"]
+
+
+def library_model(path):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
 def test_op4(spark, sf_dir):
-    from tessera.llm import sentence_pieces
-
-    model = sentence_pieces.pieces()
-    by_name = {model.bytes_of[i].decode().replace(" ", "▁"): s for i, s in zip(model.ids.tolist(), model.scores.tolist(), strict=True)}
-    words = sorted({w for t in texts_of(spark, sf_dir).values() for w in model.split(t)})[:400] + ["▁" * 3 + "é", "▁中𝄞", "▁" + "a" * 50]
-    for word, ids in model.learn(set(words)).items():
-        best = [0.0]
-        for j in range(1, len(word) + 1):
-            options = [best[i] + by_name[word[i:j]] for i in range(max(0, j - model.longest), j) if word[i:j] in by_name]
-            if word[j - 1 : j] not in by_name:
-                options.append(best[j - 1] + model.unknown)
-            best.append(max(options))
-        names = np.frombuffer(ids, "<u4").tolist()
-        unknown = sum(w not in by_name for w in word)
-        got = sum(by_name[model.bytes_of[i].decode().replace(" ", "▁")] for i in names if not model.is_byte[i]) + unknown * model.unknown
-        assert got == pytest.approx(best[-1])
-    assert queries.QUERIES["op4_sentence_pieces"](spark, sf_dir).where("NOT restored").count() == 0
+    """The library's ids, for the tables' and odd texts, and a way back."""
+    import public_tokenizers
+
+    from tessera.llm import sentence_pieces as s
+
+    library = library_model(public_tokenizers.path(s.VOCABULARY))
+    texts = texts_of(spark, sf_dir) | {-1 - i: t for i, t in enumerate(ODD_TEXTS)} | {-99: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    encoded = s.encode(docs)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in encoded.collect()}
+    assert got == {k: library.encode(t or "") for k, t in texts.items()}
+    assert {r["doc_id"]: r["decoded"] for r in s.decode(encoded).collect()} == {k: t or "" for k, t in texts.items()}
+    rows = queries.QUERIES["op4_sentence_pieces"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_ids"], r["ids_crc32"]) for r in rows} == {k: (len(got[k]), zlib.crc32(np.array(got[k], "<u4").tobytes())) for k in texts if k >= 0}
+    assert all(r["restored"] and r["decoded_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
+
+
+def test_op4_with_scores(tmp_path):
+    """A model whose ids are those of the best sum of scores, written by hand."""
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from tessera.llm import sentence_pieces as s
+
+    r = random.Random(5)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = pb.TrainerSpec.UNIGRAM, True
+    model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{i:02X}>", 6) for i in range(256))):
+        model.pieces.add(piece=name, score=0, type=kind)
+    for name in sorted({"".join(r.choice("abcd") for _ in range(n)) for n in (1, 1, 1, 1, 2, 2, 3, 4, 5) for _ in range(40)} | {"▁", "▁a", "▁ab", "▁▁"}):
+        model.pieces.add(piece=name, score=-r.randint(64, 800) / 64, type=1)  # sums without rounding
+    (tmp_path / "some.model").write_bytes(model.SerializeToString())
+    library, own = library_model(tmp_path / "some.model"), s.Pieces(str(tmp_path / "some.model"))
+    texts = ["".join(r.choice("abcd  eé") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t) for t in texts]
 
 
 def test_op7(spark):
