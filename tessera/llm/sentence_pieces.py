@@ -43,7 +43,9 @@ from .shared import slices, table
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a Python worker remembers; beyond that the cache starts anew. Longer words are not kept.
-CACHE_WORDS, CACHE_CHARS = 150_000, 32
+CACHE_WORDS, CACHE_CHARS = 400_000, 32
+#: Bytes of text that are encoded at once: many words of a length make few, long steps.
+SLICE = 1 << 22
 #: Cells (words by positions) whose substrings are looked up at once.
 CELLS = 150_000
 #: What a character outside of all pieces costs beyond the worst piece.
@@ -96,7 +98,15 @@ class Merges:
         pairs = sorted((ids[name[:k]] << 32 | ids[name[k:]], i) for name, i in ids.items() for k in range(1, len(name)) if name[:k] in ids and name[k:] in ids)
         self.pairs, made = np.array([p for p, _ in pairs] or [0], np.int64), np.array([i for _, i in pairs] or [0], np.int64)
         self.made_rank = self.rank[made]
+        self.first_bits = np.zeros(1 << 22, bool)
+        self.first_bits[self.bits(self.pairs)] = True
         self.known: dict[tuple[int, int], bool] = {}
+        # pairs walked of late, a place each by their bits, and what came of them
+        self.seen, self.stood = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22, bool)
+
+    @staticmethod
+    def bits(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(_U) * _U(_BASE)) >> _U(42)).view(np.int64)
 
     def split(self, name: str, i: int) -> bool:
         """Set the parts of piece i; False if merging its characters does not lead to it."""
@@ -128,12 +138,30 @@ class Merges:
                 self.known[pair] = self.merge(a + b) == [a, b]
             out[at] = self.known[pair]
         at = np.flatnonzero(both & ~odd)
-        a, b = first[at], second[at]
+        key = first[at].astype(np.int64) << 32 | second[at]
+        place = self.bits(key)
+        seen = self.seen[place] == key
+        out[at[seen]] = self.stood[place[seen]]
+        at, key, place = at[~seen], key[~seen], place[~seen]
+        out[at] = self.walk(key)
+        self.seen[place] = key
+        self.stood[place] = out[at]
+        # two keys of one place may have been written at once: the place holds the last one's
+        lost = self.seen[place] == key
+        self.stood[place[lost]] = out[at[lost]]
+        return out
+
+    def walk(self, key: np.ndarray) -> np.ndarray:
+        """Whether pairs (first id << 32 | second id) without odd pieces may stand."""
+        out, at = np.ones(len(key), bool), np.arange(len(key))
+        a, b = key >> 32, key & 0xFFFFFFFF
         limit = np.full(len(at), np.iinfo(np.int64).max)
         while len(at):
             key = a << 32 | b
-            found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            sooner = (self.pairs[found] == key) & (self.made_rank[found] < limit)
+            sooner = np.zeros(len(at), bool)
+            some = np.flatnonzero(self.first_bits[self.bits(key)])  # most pairs are no piece; few are probed
+            found = np.minimum(np.searchsorted(self.pairs, key[some]), len(self.pairs) - 1)
+            sooner[some] = (self.pairs[found] == key[some]) & (self.made_rank[found] < limit[some])
             out[at[sooner]] = False
             # undo the later of the last merges on both sides; of equal ones the right one
             undo = self.rank[a] > self.rank[b]
@@ -307,7 +335,7 @@ def pieces(vocabulary: str = VOCABULARY) -> Pieces:
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.RecordBatch, list, list]]:
     """(slice, texts, ids) of the batches."""
     model = pieces(vocabulary)
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         texts = part["text"].to_pylist()
         yield part, texts, model.encode(texts)
 
