@@ -20,13 +20,20 @@ What keeps this linear:
   one component by then are neither tested nor compared.
 
 Signatures travel packed in binary columns, a few million to a bucket, and are matched with numpy;
-the number of buckets follows the number of shingles. Classes are named by 64 bits of their
-content, parts by 48 bits and the bucket: the latter only costs a comparison where it errs.
+the number of buckets follows the number of shingles. Parts are named by 48 bits and the bucket,
+which only costs a comparison where it errs; classes travel by 64 bits of a name of 128, and those
+that agree in these are told apart before anything is compared.
+
+What is probabilistic: two different words count as one if 128 bits of their BLAKE2 digests agree,
+two sets as equal if 128 bits over both hashes of their shingles do, and in an intersection two
+shingles as one if a hash of 64 bits does (for two sets of 10,000 shingles, a chance of 1e-11).
 
 Defined results: a document without words (or a null text) has an empty set and is linked with
 nothing; a null doc_id has a null component and is linked with nothing; repeated rows are equal
-sets; rows that share a doc_id are each judged by their own text; an empty table gives an empty
-result.
+sets; rows that share a doc_id are each judged by their own text; of rows with one smallest doc_id
+the least class and digest is the one that stays; very long texts are read whole, each as a slice
+of its own; an empty table gives an empty result; columns other than doc_id and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -41,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, slices, table
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -56,13 +64,16 @@ ROUNDS = 2
 BLOCK = 512
 BLOCK_ELEMENTS = 2_000_000
 BLOCK_BINS = 512
+#: Rows of one key beyond which a join on it is salted.
+FAN = 256
+#: Words that a Python worker remembers the digests of; beyond that the cache starts anew.
+CACHE_WORDS, CACHE_CHARS = 200_000, 32
 #: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
 PER_BIN = 4
 BROADCAST = 1_000_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,50 +83,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n - 1 of the word hash's base and of its inverse."""
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _P), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-
-
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, sizes): the sorted shingle hashes of each text, one text after the other."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(16, int(len(b)).bit_length()))
-    total = np.concatenate([np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * up[: len(b)], dtype=_U)])
-    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
-    limits = np.cumsum([len(x) + 1 for x in raw])
-    words = np.diff(np.searchsorted(start, limits), prepend=0)
-    first = np.cumsum(words) - words
-    chain = np.zeros(max(0, len(word) - SHINGLE + 1), _U)
+class _Words(dict):
+    """word -> 128 bits of its BLAKE2 digest."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = hashlib.blake2b(word, digest_size=16).digest()
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= CACHE_CHARS:
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(elements, sizes, names): the sorted shingle hashes of each text, one text after the other,
+    and 128 bits that name each set.
+
+    Words are told apart by 128 bits of a cryptographic digest, shingles by two hashes of 64 bits
+    over different halves of these. Elements are the first; the name covers both.
+    """
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: ASCII letters and white space only
+    n_words = np.array([len(w) for w in words], np.int64)
+    ids = np.frombuffer(b"".join([x for w in words for x in map(_WORDS.__getitem__, w)]), "<u8").reshape(-1, 2)
+    del words
+    first = np.cumsum(n_words) - n_words
+    size = max(0, len(ids) - SHINGLE + 1)
+    chain, other = np.zeros(size, _U), np.zeros(size, _U)
     for i in range(SHINGLE):
-        chain = mix(chain * _P + word[i : i + len(chain)] + _U(1))
-    n = np.where(words >= SHINGLE, words - SHINGLE + 1, (words > 0).astype(np.int64))
+        chain = mix(chain * _P + ids[i : i + size, 0] + _U(1))
+        other = other * _P + ids[i : i + size, 1]
+    other = mix(other)
+    n = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, (n_words > 0).astype(np.int64))
+    begins = np.concatenate([[0], np.cumsum(n)])
     owner = np.repeat(np.arange(len(texts)), n)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    out = np.zeros(len(owner), _U)
-    long = words[owner] >= SHINGLE
-    out[long] = chain[at[long]]
+    at = np.arange(len(owner)) - begins[owner] + first[owner]
+    out, more = np.zeros(len(owner), _U), np.zeros(len(owner), _U)
+    long = n_words[owner] >= SHINGLE
+    out[long], more[long] = chain[at[long]], other[at[long]]
     for i in np.flatnonzero(~long):  # fewer words than a shingle: all of them as one
         d = owner[i]
-        h = np.array([words[d]], _U)
-        for w in word[first[d] : first[d] + words[d]]:
-            h = mix(h * _P + w + _U(2))
-        out[i] = h[0]
-    begins = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[first[d] : first[d] + n_words[d]].tobytes()
+        out[i], more[i] = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), "<u8")
     for d in np.flatnonzero(n > 1):
-        out[begins[d] : begins[d + 1]].sort()
+        own = slice(begins[d], begins[d + 1])
+        order = out[own].argsort()
+        out[own], more[own] = out[own][order], more[own][order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-    return out[new], np.bincount(owner[new], minlength=len(texts))
+    out, more = out[new], more[new]
+    sizes = np.bincount(owner[new], minlength=len(texts))
+    sums = _sums(more, np.cumsum(sizes) - sizes, sizes).astype("<u8").tobytes()
+    raw, ends = out.astype("<u8").tobytes(), [0, *(8 * np.cumsum(sizes)).tolist()]
+    names = [hashlib.blake2b(raw[b:e] + sums[8 * i : 8 * i + 8], digest_size=16).digest() for i, (b, e) in enumerate(zip(ends, ends[1:]))]  # noqa: B905
+    return out, sizes, names
+
+
+def short(names: list[bytes], bits: int) -> np.ndarray:
+    """The first bits of names, as signed numbers of 64 bits."""
+    return (np.frombuffer(b"".join(names), "<i8")[::2] >> np.int64(64 - bits)).astype("<i8")
 
 
 @lru_cache(maxsize=4)
@@ -167,37 +195,11 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.n
     return of, (s & ~_U(1)) | (band[of] & 1).astype(_U), spare
 
 
-def _slices(batches: Iterator[pa.RecordBatch], chars: int, rows: int = 60_000) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) with a bounded number of rows and, but for single long texts, characters."""
-    ids: list = []
-    texts: list = []
-    size = 0
-    for batch in batches:
-        for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if ids and (size + len(t or "") > chars or len(ids) >= rows):
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t or "")
-    if ids:
-        yield ids, texts
-
-
 def _sums(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, _U), np.cumsum(x, dtype=_U)])
     return total[begins + sizes] - total[begins]
 
 
-def class_names(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 bits of each set's content, as signed numbers."""
-    return mix(_sums(mix(elements + _U(1)), np.cumsum(sizes) - sizes, sizes) + mix(sizes.astype(_U))).view(np.int64)
-
-
-#: Characters of text that a task works on at once.
-CHARS = 1 << 20
-
-
 def _profiles(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Per set, the counts of its elements in a power of two of bins, by their lowest bits; counts
     of 255 and more are one."""
@@ -214,84 +216,104 @@ def fold(profile: np.ndarray, bins: int) -> np.ndarray:
     return np.minimum(profile.reshape(-1, bins).sum(axis=0, dtype=np.int64), 255)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_shingles, cls, spare0, spare1, parity, bins, profile) of docs (doc_id,
-    text); digest is the text's md5, parity that of the set's own band, bins and profile are counts
-    of elements."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary()), ("profile", pa.binary())])
+def describe(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, digest, n_shingles, name, cls, spare0, spare1, parity, bins, profile) of docs
+    (doc_id, text); digest is the text's SHA-256, name 128 bits of its set and cls the first bits
+    of these, parity that of the set's own band, bins and profile are counts of elements."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("name", pa.binary()), ("cls", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("parity", pa.int64()), ("bins", pa.binary()), ("profile", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _slices(batches, CHARS):
-            elements, sizes = shingle_sets(texts)
+        for part in slices(batches):
+            texts = part["text"].to_pylist()
+            elements, sizes, names = shingle_sets(texts)
             profiles = _profiles(elements, sizes)
-            bins = [fold(p, BINS).astype(np.uint8).tobytes() for p in profiles]
+            coarse = [fold(p, BINS).astype(np.uint8).tobytes() for p in profiles]
             spare = [signatures(elements, sizes, step)[2] for step in (0, 1)] + [np.searchsorted(_tops(int(sizes.max(initial=1))), sizes) & 1]
-            digests = [None if t is None else hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(class_names(elements, sizes)), *map(pa.array, spare), pa.array(bins, pa.binary()), pa.array([p.tobytes() for p in profiles], pa.binary())], schema=kinds
-            )
+            digests = [None if t is None else hashlib.sha256(t.encode()).digest() for t in texts]
+            columns = [part["doc_id"], digests, sizes, names, short(names, bits), *spare, coarse, [p.tobytes() for p in profiles]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, digest binary, n_shingles long, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, digest binary, n_shingles long, name binary, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
 
 
-def bucketed_signatures(docs: DataFrame, buckets: int) -> DataFrame:
+def bucketed_signatures(docs: DataFrame, buckets: int, bits: int = 64) -> DataFrame:
     """A row per slice of documents and bucket: packed signatures, places in the slice, and the
-    slice's classes and sizes."""
-    kinds = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("place", pa.binary()), ("cls", pa.binary()), ("size", pa.binary())])
+    slice's classes and sizes.
+
+    A signature of more than HOT classes of one slice is hot already: the bucket gets one class of
+    them, marked in the column hot, so that however many documents share a passage, a bucket gets
+    HOT of a slice at most. All of them go to a bucket from `buckets` on, chosen by content, as
+    pairs of the signature's number (column high) and class.
+    """
+    kinds = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("place", pa.binary()), ("hot", pa.binary()), ("cls", pa.binary()), ("size", pa.binary())])
+    limit = HOT
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _slices(batches, CHARS):
-            elements, sizes = shingle_sets([t if i is not None else None for i, t in zip(ids, texts, strict=True)])
-            names = class_names(elements, sizes)
-            _, once = np.unique(names, return_index=True)  # copies within the slice go here
+        for batch in slices(batches):
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            elements, sizes, full = shingle_sets([t if i is not None else None for i, t in zip(ids, texts, strict=True)])
+            names = short(full, bits)
             keep = np.zeros(len(names), bool)
-            keep[once] = True
+            keep[list({n: i for i, n in enumerate(full)}.values())] = True  # copies within the slice go here
             elements, names, sizes = elements[np.repeat(keep, sizes)], names[keep], sizes[keep]
             both = [signatures(elements, sizes, step)[:2] for step in (0, 1)]
             owner, s = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
             # the bucket takes the upper bits' place, so 48 others are kept besides it
             bucket = ((s >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int32) if buckets <= 1 << 16 else (s >> _U(16)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((s, bucket))
             owner, s, bucket = owner[order], s[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1])
+            group = np.cumsum(new) - 1
+            hot = (np.bincount(group, minlength=1)[group] > limit) if len(s) else np.zeros(0, bool)
             out = []
+            if hot.any():
+                numbers = (s[hot] & _U((1 << 48) - 1)) | (bucket[hot].astype(_U) << _U(48))
+                out.append((buckets + int(names[0]) % buckets, numbers.astype("<u8").tobytes(), b"", b"", b"", names[owner[hot]].astype("<i8").tobytes(), b""))
+            stays = ~hot | new
+            owner, s, bucket, hot = owner[stays], s[stays], bucket[stays], hot[stays]
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(edges)):
-                own = owner[edges[k] : edges[k + 1]]
-                x = s[edges[k] : edges[k + 1]]
-                used, place = np.unique(own, return_inverse=True)
-                out.append((int(k), (x >> _U(16)).astype("<u4").tobytes(), x.astype("<u2").tobytes(), place.astype("<u2").tobytes(), names[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()))
+                own = slice(edges[k], edges[k + 1])
+                used, place = np.unique(owner[own], return_inverse=True)
+                mark = hot[own].tobytes() if hot[own].any() else b""
+                out.append((int(k), (s[own] >> _U(16)).astype("<u4").tobytes(), s[own].astype("<u2").tobytes(), place.astype("<u2").tobytes(), mark, names[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "bucket int, high binary, low binary, place binary, cls binary, size binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "bucket int, high binary, low binary, place binary, hot binary, cls binary, size binary")
 
 
-def match(packed: DataFrame) -> DataFrame:
+def match(packed: DataFrame, buckets: int) -> DataFrame:
     """(kind, a, b): kinds 0 and 2 are pairs of classes a < b that share a signature, 0 with the
-    smallest class that has it; kind 1 is the class b of hot signature a."""
+    smallest class that has it; kind 1 is the class b of hot signature a, more than once if several
+    slices have it."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         get = lambda column, kind: [np.frombuffer(x, kind) for x in frame[column]]
+        if frame["bucket"].iloc[0] >= buckets:  # classes of signatures that are hot within a slice
+            numbers, members = np.concatenate(get("high", "<u8")).view(np.int64), np.concatenate(get("cls", "<i8"))
+            return pd.DataFrame({"kind": np.ones(len(numbers), np.int32), "a": numbers, "b": members})
         place = get("place", "<u2")
         s = np.concatenate(get("high", "<u4")).astype(_U) << _U(16) | np.concatenate(get("low", "<u2")).astype(_U)
         cls = np.concatenate([c[p] for c, p in zip(get("cls", "<i8"), place, strict=True)])
         size = np.concatenate([c[p] for c, p in zip(get("size", "<i4"), place, strict=True)])
+        mark = np.concatenate([np.frombuffer(x, bool) if x else np.zeros(len(p), bool) for x, p in zip(frame["hot"], place, strict=True)])
         order = np.argsort(s)
-        s, cls, size = s[order], cls[order], size[order]
+        s, cls, size, mark = s[order], cls[order], size[order], mark[order]
         same = np.zeros(len(s) + 1, bool)
         same[1:-1] = s[1:] == s[:-1]
         keep = same[1:] | same[:-1]  # what shares its signature
-        s, cls, size = s[keep], cls[keep], size[keep]
-        order = np.lexsort((cls, s))
-        s, cls, size = s[order], cls[order], size[order]
+        s, cls, size, mark = s[keep], cls[keep], size[keep], mark[keep]
+        order = np.lexsort((~mark, size, cls, s))
+        s, cls, size, mark = s[order], cls[order], size[order], mark[order]
         new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])
-        s, cls, size = s[new], cls[new], size[new]
-        _, n = np.unique(s, return_counts=True)
-        n = np.repeat(n, n)
-        hot = n > HOT
-        gid = (s[hot] | (_U(frame["bucket"].iloc[0]) << _U(48))).view(np.int64)
-        members = cls[hot]
+        new[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1])
+        s, cls, size, mark = s[new], cls[new], size[new], mark[new]
+        _, which, n = np.unique(s, return_inverse=True, return_counts=True)
+        hot = (n[which] > HOT) | (np.bincount(which, mark, len(n)) > 0)[which] if len(s) else np.zeros(0, bool)
+        gid = (s[hot & ~mark] | (_U(frame["bucket"].iloc[0]) << _U(48))).view(np.int64)
+        members = cls[hot & ~mark]
         s, cls, size = s[~hot], cls[~hot], size[~hot]
         start = np.ones(len(s), bool)
         start[1:] = s[1:] != s[:-1]
@@ -307,15 +329,42 @@ def match(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long")
 
 
-def screen(pairs: DataFrame, classes: DataFrame, counts: str) -> DataFrame:
+def hubs_of(rows: DataFrame, *keys: str) -> list[DataFrame | None]:
+    """Of each key column (value, parts) of the values that more than FAN rows have, or None without any."""
+    degrees = [rows.groupBy(k).agg(F.count("*").alias("n")) for k in keys]
+    most = degrees[0].agg(F.max("n").alias("n0"))
+    for i, d in enumerate(degrees[1:], 1):
+        most = most.join(d.agg(F.max("n").alias(f"n{i}")))  # one row beside one row
+    return [listed_hubs(d) if (n or 0) > FAN else None for d, n in zip(degrees, most.first(), strict=True)]
+
+
+def listed_hubs(degrees: DataFrame) -> DataFrame:
+    """(value, parts) of degrees (value, n), to be broadcast if their count allows."""
+    found = cut(degrees.where(F.col("n") > FAN).withColumn("parts", F.ceil(F.col("n") / FAN).cast("int")).drop("n"))
+    return F.broadcast(found) if found.count() <= BROADCAST else found
+
+
+def beside(rows: DataFrame, key: str, other: DataFrame, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with other (key once per value) on key; rows of a hub are dealt to several tasks,
+    by a hash of the row, and its row of other goes to each of these."""
+    if hubs is None:
+        return rows.join(other, key, how)
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hubs, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
+    right = other.join(hubs, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
+def screen(pairs: DataFrame, classes: DataFrame, counts: str, hubs: list) -> DataFrame:
     """The pairs (a, b) whose sizes and counts (bins or profile) allow a link. Counts differ by no
     more than the sets do, so no link is lost."""
     own = classes.select("cls", "n_shingles", counts)
-    both = pairs.join(own.toDF("a", "na", "ca"), "a").join(own.toDF("b", "nb", "cb"), "b")
+    both = beside(pairs, "b", own.toDF("b", "nb", "cb"), hubs[1])
+    both = beside(both, "a", own.toDF("a", "na", "ca"), hubs[0])
     both = both.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in (part for batch in batches for part in slices([batch], 1 << 23, text="ca")):
             near = []
             for p, q, bound in zip(x["ca"].to_pylist(), x["cb"].to_pylist(), (x["na"].to_numpy() + x["nb"].to_numpy()) // 7, strict=True):
                 p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
@@ -327,23 +376,26 @@ def screen(pairs: DataFrame, classes: DataFrame, counts: str) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, elements) of wanted (cls, doc_id), from the texts of docs."""
+    """(cls, n_shingles, elements), once per class of wanted (cls, name, doc_id, n_shingles), from the texts of docs."""
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST else ids.hint("shuffle_hash")
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _slices(batches, CHARS):
-            elements, sizes = shingle_sets(texts)
+        for part in slices(batches):
+            elements, sizes, names = shingle_sets(part["text"].to_pylist())
             raw, begins = elements.astype("<u8").tobytes(), np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays([pa.array(class_names(elements, sizes)), pa.array([raw[8 * b : 8 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["cls", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([raw[8 * b : 8 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["name", "elements"])
 
-    return near.mapInArrow(each, "cls long, elements binary")
+    found = near.mapInArrow(each, "name binary, elements binary")
+    return found.join(wanted.select("cls", "name", "n_shingles"), "name").drop("name").dropDuplicates(["cls"])
 
 
 def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
-    both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
+    hubs = hubs_of(pairs, "a", "b")
+    both = beside(pairs, "b", sets.select("cls", "elements").toDF("b", "eb"), hubs[1])
+    both = beside(both, "a", sets.select("cls", "elements").toDF("a", "ea"), hubs[0])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -364,16 +416,17 @@ def components(links: DataFrame) -> DataFrame:
     until each is linked with its component's smallest id alone.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        # done when each id has one neighbour, which has none below it
+        below = edges.groupBy("u").agg(F.count("*").alias("n"))
+        further = edges.select("v").join(below.select(F.col("u").alias("v")), "v", "left_semi")
+        if below.where("n > 1").select("u").union(further).isEmpty():
             break
-        before = state
-        sides = cut(edges.union(edges.select("v", "u")))
-        least = cut(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        sides = edges.union(edges.select("v", "u"))
+        least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        hubs = listed_hubs(least.select("u", "n")) if least.agg(F.max("n")).first()[0] > FAN else None
+        large = cut(beside(sides.where("v > u"), "u", least.select("u", "m"), hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()))
@@ -381,25 +434,36 @@ def components(links: DataFrame) -> DataFrame:
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that found (id, component) does not put together."""
-    both = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    hubs = hubs_of(pairs, "a", "b")
+    both = beside(pairs, "a", found.toDF("a", "ca"), hubs[0], "left")
+    both = beside(both, "b", found.toDF("b", "cb"), hubs[1], "left")
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def link(pairs: DataFrame, known: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of known links and of those among pairs."""
-    near = cut(screen(cut(screen(pairs, classes, "bins")), classes, "profile"))
+def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of those among pairs."""
+    hubs = hubs_of(pairs, "a", "b")
+    near = cut(screen(cut(screen(pairs, classes, "bins", hubs)), classes, "profile", hubs))
+    if near.isEmpty():
+        return near
     named = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    wanted = cut(classes.join(named, "cls").select("cls", "doc_id"))
-    sets = cut(fetch_sets(docs, wanted).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    wanted = cut(classes.join(named, "cls").select("cls", "name", "doc_id", "n_shingles"))
+    sets = cut(fetch_sets(docs, wanted))
     least = cut(near.groupBy("b").agg(F.min("a").alias("least")))
-    first = compare_sets(least.select(F.col("least").alias("a"), "b"), sets)
+    first = compare_sets(cut(least.select(F.col("least").alias("a"), "b")), sets)
     # pairs that their smallest partners, or those of these, put together are not compared
     once = first.select(F.col("b").alias("id"), F.col("a").alias("component"))
     twice = once.toDF("component", "further")
-    labels = cut(once.join(twice, "component", "left").select("id", F.coalesce("further", "component").alias("component")))
-    other = near.join(least, "b").where("a <> least").select("a", "b")
-    rest = compare_sets(cut(apart(other, labels)), sets)
-    return cut((first.union(known) if known else first).union(rest))
+    labels = cut(beside(once, "component", twice, hubs_of(once, "component")[0], "left").select("id", F.coalesce("further", "component").alias("component")))
+    other = cut(beside(near, "b", least, hubs_of(near, "b")[0]).where("a <> least").select("a", "b"))
+    if other.isEmpty():
+        return first
+    return cut(first.union(compare_sets(cut(apart(other, labels)), sets)))
+
+
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (id, component) of links together with those found before."""
+    return components(links if found is None else links.union(found.where("id <> component").select("id", "component")))
 
 
 def across(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -409,8 +473,8 @@ def across(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     BLOCK_ELEMENTS elements at most, all members likewise, every two blocks in a task of their own. There
     whole sets are compared, and only links that bring components together leave the task.
     """
-    wanted = cut(open_.select("cls").distinct().join(classes.select("cls", "doc_id", "n_shingles"), "cls"))
-    sets = cut(fetch_sets(docs, wanted).join(wanted.select("cls", "n_shingles"), "cls").dropDuplicates(["cls"]))
+    wanted = cut(open_.select("cls").distinct().join(classes.select("cls", "name", "doc_id", "n_shingles"), "cls"))
+    sets = cut(fetch_sets(docs, wanted))
     sized = open_.join(wanted.select("cls", "n_shingles"), "cls").withColumn("out", F.col("c") != F.col("largest"))
     blocks = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_ELEMENTS)).cast("int")
     sizes = cut(sized.groupBy("a").agg(
@@ -446,7 +510,7 @@ def across(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return left.groupBy("a", "i", "j").cogroup(right.groupBy("a", "i", "j")).applyInPandas(each, "a long, b long")
 
 
-def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def settle(stars: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The components once the pairs within stars (a, b: compared already) are settled, too.
 
     Any two members of a hot group are members of the star of its first one. Where a star's
@@ -454,6 +518,8 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
     so near copies come together at a row per member and round. After ROUNDS of them, or one that
     settles less than half of what was left, those left in different components meet in blocks.
     """
+    if stars.isEmpty():
+        return found
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = cut(stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct())
     before, turn = None, 0
@@ -466,55 +532,89 @@ def settle(stars: DataFrame, links: DataFrame, found: DataFrame, classes: DataFr
         if not outside:
             return found
         if turn == ROUNDS or (before is not None and 2 * outside > before):
-            return components(cut(links.union(across(open_, classes, docs))))
+            return joined(found, cut(across(open_, classes, docs)))
         own = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
         chosen = open_.where("c = largest").groupBy("a").agg(F.min(own)["cls"].alias("next"))
         pairs = open_.where("c <> largest").join(chosen, "a").select(F.least("next", "cls").alias("a"), F.greatest("next", "cls").alias("b"))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = link(pairs, links, classes, docs)
-        found = components(links)
+        found = joined(found, link(pairs, classes, docs))
         tested, before, turn = tested.union(pairs), outside, turn + 1
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
+def tell_apart(described: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """described and classes with a cls of its own for each name, and (name, was, cls) of those
+    that changed, or None.
+
+    Among very many classes a few pairs agree in the first bits of their names. These get another
+    number, which is tried until it is free.
+    """
+    shared = cut(classes.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"))
+    n = shared.count()
+    if not n:
+        return described, classes, None
+    twins = cut(classes.join(F.broadcast(shared) if n <= BROADCAST else shared, "cls").select("name", F.col("cls").alias("was")))
+    for seed in count():
+        renamed = cut(twins.withColumn("cls", F.xxhash64("name", F.lit(seed))))
+        new = [df.join(renamed.select("name", F.col("cls").alias("new")), "name", "left").withColumn("cls", F.coalesce("new", "cls")).drop("new") for df in (described, classes)]
+        if new[1].groupBy("cls").count().where("count > 1").isEmpty():
+            return cut(new[0]), cut(new[1]), renamed
+
+
+def translate(matched: DataFrame, renamed: DataFrame) -> DataFrame:
+    """matched by the numbers that tell_apart() gave; classes that had shared one are pairs as well."""
+    to = renamed.select("was", "cls")
+    ends = lambda df, c: df.join(to.toDF(c, "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+    both = ends(ends(matched.where("kind <> 1"), "a"), "b")
+    twins = to.toDF("was", "a").join(to.toDF("was", "b"), "was").select(F.lit(2).alias("kind"), "a", "b")
+    pairs = both.select("kind", "a", "b").union(twins).where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.union(ends(matched.where("kind = 1"), "b").select("kind", "a", "b"))
+
+
+def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, digest, n_shingles, cls, component_id, stays) of every row of docs (doc_id, text).
 
     Of the rows of a component one text stays: that of the smallest doc_id, where rows share this
-    of the smallest class and digest.
+    of the smallest class and digest. bits is how much of a name the signatures carry along.
     """
-    described = cut(describe(docs))
-    best = F.struct("doc_id", "digest", "n_shingles", "spare0", "spare1", "parity", "bins", "profile")
-    classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min(best).alias("x")).select("cls", "x.*"))
+    described = cut(describe(docs, bits))
+    best = F.struct("doc_id", "digest", "n_shingles", "cls", "spare0", "spare1", "parity", "bins", "profile")
+    classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min(best).alias("x")).select("name", "x.*"))
     shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    matched = cut(match(bucketed_signatures(docs, max(1, shingles // BUCKET))))
+    buckets = max(1, shingles // BUCKET)
+    matched = cut(match(bucketed_signatures(docs, buckets, bits), buckets))
+    described, classes, renamed = tell_apart(described, classes)
+    if renamed is not None:
+        matched = cut(translate(matched, renamed))
     pairs = matched.where("kind <> 1")
 
     # of hot groups, the members that may have no other signature in common with a partner
-    hot = matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit"))
+    hot = cut(matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit")).distinct())
     lost = hot.groupBy("cls", "bit").agg(F.count("*").alias("lost"))
     spare = F.when(F.col("bit") == F.col("parity"), F.col("spare0")).otherwise(F.col("spare1"))
     bound = cut(lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit"))
     members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls"))
-    first = cut(members.groupBy("gid").agg(F.min("cls").alias("a")))
-    stars = members.join(first, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
+    firsts = lambda df: cut(df.groupBy("gid").agg(F.min("cls").alias("a")))
+    star_of = lambda df: beside(df, "gid", firsts(df), hubs_of(df, "gid")[0]).where("cls <> a").select("a", F.col("cls").alias("b"))
+    stars = cut(star_of(members).distinct())
 
     # first a pair or two of each class: with its smallest star and with the first of its hot groups;
     # then the other stars, then the other pairs, each only where they are in different components
     star = cut(pairs.where("kind = 0").select("a", "b").union(stars).distinct())
-    heads = cut(hot.groupBy("gid").agg(F.min("cls").alias("a")))
-    hubs = hot.join(heads, "gid").where("cls <> a").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    heads = star_of(hot.select("gid", "cls")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     least = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links, found = None, None
-    for some in (least.union(hubs).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):
-        links = link(cut(apart(some, found) if found else some), links, classes, docs)
-        found = components(links)
-    found = settle(cut(stars.distinct()), links, found, classes, docs)
+    found = None
+    for some in (least.union(heads).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):
+        some = cut(some)
+        some = some if found is None else cut(apart(some, found))
+        if found is None or not some.isEmpty():
+            found = joined(found, link(some, classes, docs))
+    found = settle(stars, found, classes, docs)
 
     row = F.struct("doc_id", "cls", "digest")
     named = cut(classes.select("cls", row.alias("row")).join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "row", F.coalesce("component", "cls").alias("c")))
     smallest = cut(named.groupBy("c").agg(F.min("row").alias("first")))
-    groups = cut(named.join(smallest, "c").select("cls", "first"))
-    rows = described.select("doc_id", "digest", "n_shingles", "cls").join(groups, "cls", "left")
+    groups = cut(beside(named, "c", smallest, hubs_of(named, "c")[0]).select("cls", "first"))
+    rows = beside(described.select("doc_id", "digest", "n_shingles", "cls"), "cls", groups, hubs_of(described, "cls")[0], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "digest", "n_shingles", "cls", component.alias("component_id"), F.when(linked, row == F.col("first")).otherwise(True).alias("stays"))

@@ -199,9 +199,10 @@ def components(texts):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize("hot", [1, 3, 16])
-def test_op9(spark, hot, monkeypatch):
-    """Near copies of every size and distance, sharing passages; with low limits all is hot."""
+@pytest.mark.parametrize(("hot", "bits"), [(1, 64), (3, 6), (16, 64)])
+def test_op9(spark, hot, bits, monkeypatch):
+    """Near copies of every size and distance, sharing passages; with low limits all is hot, all
+    joins are salted, and with few bits many classes share the number they travel by."""
     import random
 
     from tessera.llm import partenum_join
@@ -209,6 +210,7 @@ def test_op9(spark, hot, monkeypatch):
     monkeypatch.setattr(partenum_join, "HOT", hot)
     monkeypatch.setattr(partenum_join, "BUCKET", 20_000)
     monkeypatch.setattr(partenum_join, "BLOCK", 7)
+    monkeypatch.setattr(partenum_join, "FAN", 5 if hot == 3 else 256)
     r = random.Random(hot)
     word = lambda: r.choice("abcdefghij") + str(r.randint(0, 99))
     passage = [word() for _ in range(60)]
@@ -216,16 +218,36 @@ def test_op9(spark, hot, monkeypatch):
     for n in (0, 1, 3, 4, 5, 6, 7, 8, 9, 12, 20, 40, 120, 400):
         for _ in range(3):
             base = [word() for _ in range(n)] + passage[: r.choice((0, n))]
-            for _ in range(9):
+            for _ in range(6):
                 w = list(base)
                 for _ in range(int(len(w) * r.choice((0, 0.01, 0.02, 0.03, 0.05, 0.3)))):
                     w[r.randrange(len(w))] = word()
                 texts.append(" ".join(w[: len(w) - r.randint(0, len(w) // 6)]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in partenum_join.join_documents(docs).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in partenum_join.join_documents(docs, bits).collect()}
     assert got == components(dict(enumerate(texts)))
 
 
+def test_op9_words_are_told_apart(spark):
+    """A word and its complement of the Thue-Morse sequence agree under any sum of powers modulo 2^64."""
+    from tessera.llm import partenum_join
+
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    docs = spark.createDataFrame([(i, " ".join([w] * 3)) for i, w in enumerate(words)] + [(2, " ".join([words[0].upper()] * 3))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum_join.join_documents(docs).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0)}
+
+
+def test_op9_on_odd_rows(spark, odd_docs, folder):
+    rows = odd_docs.where("doc_id IS NOT NULL").collect()
+    texts = {i: r["text"] for i, r in enumerate(rows)}
+    by_place = components(texts)
+    expected = Counter((r["doc_id"], by_place[i][0], rows[by_place[i][1]]["doc_id"]) for i, r in enumerate(rows)) + Counter({(None, 1, None): 1, (None, 0, None): 1})
+    got = queries.QUERIES["op9_ngram_jaccard_join"](spark, folder(documents=odd_docs)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
+
+
 def test_op9_on_documents(spark, sf_dir):
     rows = queries.QUERIES["op9_ngram_jaccard_join"](spark, sf_dir).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == components(texts_of(spark, sf_dir))
