@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     placed = partenum_join.join_documents(docs)
     gone = cut(placed.where("NOT stays").select("doc_id", "digest").distinct())
-    rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rows = docs.select(*COLUMNS).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     return rows.join(gone.hint("shuffle_hash"), ["doc_id", "digest"], "left_anti").select(*COLUMNS)
 
 
