@@ -54,7 +54,7 @@ from .shared import cut, slices, table
 #: Words in a shingle.
 SHINGLE = 5
 #: Signatures in a bucket, about; classes of a signature beyond which it is hot; bins of the test before fetching.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 HOT = 16
 BINS = 64
 #: Rounds in which members of a hot group are compared with one of them.

@@ -265,27 +265,68 @@ def test_near_copies_with_shared_doc_ids(spark):
     assert Counter(i for i, _ in kept) == {1: 2, 2: 1, 5: 1, 7: 1, None: 1}
 
 
-def test_op10(spark):
+def slot_of(doc_id, crc, slots=4096):
+    """The virtual slot as the engine's hash of 64 bits gives it: nulls are passed over."""
+    import xxhash
+
+    seed = 42
+    for x in (doc_id, crc):
+        if x is not None:
+            seed = xxhash.xxh64(x.to_bytes(8, "little"), seed=seed).intdigest()
+    return (seed - (1 << 64) * (seed >> 63)) % slots
+
+
+def placed(rows, shards):
+    """Shard of each slot: largest first, into the one with the fewest bytes."""
+    size = Counter()
+    for slot, n in rows:
+        size[slot] += n
+    load, out = [0] * shards, {}
+    for slot in sorted(range(4096), key=lambda x: (-size[x], x)):
+        out[slot] = load.index(min(load))
+        load[out[slot]] += size[slot]
+    return out
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_op10(spark, odd, odd_docs, folder):
+    at = folder(documents=odd_docs) if odd else "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op10_sharding"](spark, at).collect()
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in table(spark, at, "documents").select("doc_id", "text").collect()]
+    expected = [(k, len(raw) + 8, zlib.crc32(raw), slot_of(k, zlib.crc32(raw))) for k, raw in texts]
+    where = placed([(x[3], x[1]) for x in expected], 24)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["virtual_slot"], r["shard"]) for r in rows) == Counter((*x, where[x[3]]) for x in expected)
+    places = defaultdict(list)
+    for r in rows:
+        places[r["shard"]].append(r["slot"])
+        assert r["law"] == "bytes" and r["grown_shard"] is None and r["next_shard"] in (r["shard"], 24)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    if not odd:
+        load = Counter()
+        for r in rows:
+            load[r["shard"]] += r["size"]
+        assert set(load) == set(range(24)) and max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
+        moved = {r["virtual_slot"] for r in rows if r["next_shard"] == 24}
+        assert moved and {r["virtual_slot"] for r in rows if r["next_shard"] != 24}.isdisjoint(moved)
+
+
+def test_maps_hold_every_slot(spark):
+    """A map made from a few rows places all rows of another table; copies and doc_ids that are hot spread."""
     from tessera.llm import sharding
 
-    sf_dir = "/root/testdata/sf0.01"
-    rows = queries.QUERIES["op10_sharding"](spark, sf_dir).collect()
-    texts, load, places = texts_of(spark, sf_dir), Counter(), defaultdict(list)
+    few = sharding.sized(table(spark, "/root/testdata/sf0.001", "documents"))
+    slot_map = sharding.assign_slots(sharding.slot_bytes(few), 24)
+    assert slot_map.count() == sharding.SLOTS
+    more = sharding.sized(table(spark, "/root/testdata/sf0.01", "documents"))
+    rows = sharding.place(more, slot_map).collect()
+    places = defaultdict(list)
     for r in rows:
-        raw = (texts[r["doc_id"]] or "").encode()
-        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw)
-        load[r["shard"]] += r["size"]
         places[r["shard"]].append(r["slot"])
-    assert set(load) == set(range(24)) and all(sorted(p) == list(range(len(p))) for p in places.values())
-    assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
-    # the next version of the map moves whole slots, and only into the new shard
-    sized = sharding.sized(table(spark, sf_dir, "documents"))
-    by_slot = sharding.slot_bytes(sized)
-    old = sharding.assign_slots(by_slot, 24)
-    new = {r["virtual_slot"]: r["shard"] for r in sharding.rebalance(old, by_slot, 25, 1).collect()}
-    was = {r["virtual_slot"]: r["shard"] for r in old.collect()}
-    moved = {k for k in was if new[k] != was[k]}
-    assert new.keys() == was.keys() and moved and all(new[k] == 24 for k in moved)
+    assert len(rows) == more.count() and all(sorted(p) == list(range(len(p))) for p in places.values())
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 40).alias("text"))
+    spread = sharding.spread_copies(sharding.cut(sharding.sized(hot)))
+    load = sharding.slot_bytes(spread).join(sharding.assign_slots(sharding.slot_bytes(spread), 24), "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
+    assert spread.count() == 30_000 and max(r["b"] for r in load) <= 1.1 * 48 * 30_000 / 24
 
 
 def test_index_over_batches(spark):
