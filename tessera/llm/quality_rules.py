@@ -1,16 +1,23 @@
 """Quality rules with risk-controlled cutoffs (native).
 
-Each rule is a statistic of a document, in whole thousandths; a document above the rule's cutoff
-is rejected. Cutoffs come from labelled holdouts, per stratum (language): a cutoff is certified
-if the exact binomial test refutes, at its level, that it rejects more than its share of the good
-documents. The levels are corrected for multiple testing: Bonferroni over rules and strata, and a
-fixed sequence from the most lenient cutoff on, which stops at the first one not certified, within
-each. So with probability 1 - ALPHA no stratum loses more than RISK of its good documents. Of the
-certified cutoffs, the one that separates the labels best is taken, or none if none separates.
-
-Defined results: a null text has no words; a null stratum is one of its own; documents without
+Each rule is a statistic of a document, in whole thousandths. PATH has a cutoff of each rule for
+every level, from the most lenient to the strictest; at a level, a document above any rule's cutoff
+is rejected. Labelled holdouts choose the level, per stratum (language), among the documents that
+pass the base rules: a level is certified if the exact binomial test refutes, at its level of
+significance, that all rules together reject more than RISK of the good ones. Multiple testing is
+corrected by Bonferroni over strata and by a fixed sequence within: levels are tested from the most
+lenient on, up to the first that is not certified. So with probability 1 - ALPHA the rules reject
+at most RISK of the good documents of every stratum that the base rules let pass (what the base
+rules themselves reject is not bounded). Of the certified levels, the one that separates the labels
+best is taken, the more lenient one of equal ones, or none if none separates.
+
+Strata with fewer than LEAST good labels, or none, are pooled and tested as one.
+
+Defined results: a null text has no words; a null stratum is the empty one; documents without
 labels, and labels without documents, don't count; a document with several labels counts as good
-only if all say so; repeated rows each get a row; empty tables give an empty result.
+only if all say so; repeated rows each get a row, and count each where labelled; a very long text is
+measured whole within its row; empty tables give an empty result; columns other than doc_id, text
+and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +27,23 @@ from pyspark.sql import functions as F
 
 from .shared import cut, split_words, table, whole
 
-#: At most this share of a stratum's good documents is rejected by all rules together.
+#: At most this share of a stratum's good documents that pass the base is rejected by all rules together.
 RISK = 0.02
 #: The probability that this fails in some stratum.
 ALPHA = 0.05
+#: Good labels that a stratum needs to be tested on its own: so many without an error are enough for 16 strata.
+LEAST = 300
 #: Words in a window whose repetition counts.
 WINDOW = 8
-#: Cutoffs tried, in thousandths.
-CUTOFFS = (20, 50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
-RULES = ("symbols_per_word", "upper_share", "dup_line_share", "repeat_share", "same_word_share")
+#: Per rule the cutoffs of the levels, in thousandths; a level's cutoffs are one step on one path.
+PATH = {
+    "symbols_per_word": (900, 700, 500, 300, 200, 150, 100, 50),
+    "upper_share": (900, 700, 500, 400, 300, 250, 200, 150),
+    "dup_line_share": (900, 800, 700, 600, 500, 400, 300, 200),
+    "repeat_share": (300, 280, 250, 220, 190, 160, 130, 100),
+    "same_word_share": (980, 960, 930, 900, 870, 840, 800, 750),
+}
+RULES = tuple(PATH)
 
 
 def _share(part: Column, of: Column) -> Column:
@@ -103,48 +118,55 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(F.aggregate(terms, start, step)["s"])).otherwise(F.lit(1.0))
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[str, ...] = RULES, cutoffs: tuple[int, ...] = CUTOFFS, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """(stratum, cutoffs map<string, long>): the chosen cutoff of each rule that has one.
+def with_group(measured: DataFrame, sizes: DataFrame, least: int = LEAST) -> DataFrame:
+    """measured with group: the stratum behind a `=`, or `*` where sizes (stratum, n) has too few labels for it."""
+    own = sizes.where(F.col("n") >= least).select("stratum", F.concat(F.lit("="), "stratum").alias("group"))
+    return measured.join(own, "stratum", "left").withColumn("group", F.coalesce("group", F.lit("*")))
 
-    Labelled documents are reduced to counts per stratum, rule and cutoff before anything else.
+
+def first_level(path: dict[str, tuple[int, ...]]) -> Column:
+    """The first level that rejects a document; the number of levels if none does."""
+    allowed = lambda rule, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c >= F.col(rule)))
+    passed = [allowed(rule, grid) for rule, grid in path.items()]
+    return F.least(*passed) if len(passed) > 1 else passed[0]
+
+
+def choose_levels(measured: DataFrame, labels: DataFrame, path: dict[str, tuple[int, ...]] = PATH, risk: float = RISK, alpha: float = ALPHA, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(sizes, chosen): sizes (stratum, n) has the good labels of each stratum, chosen (group, level)
+    the level of each group that has one.
+
+    Labelled documents are reduced to counts per group and level before anything else.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    grid = F.array(*map(F.lit, cutoffs))
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("x")) for r in rules)))
-    seen = (
-        measured.join(good, "doc_id").where(F.col("quality").isNotNull())
-        .select("stratum", "quality", each.alias("r"))
-        .withColumn("above", F.size(F.filter(grid, lambda c: c < F.col("r.x"))))
-        .groupBy("stratum", F.col("r.rule").alias("rule"))
-        .agg(*(F.count_if((F.col("quality") == q) & (F.col("above") > i)).alias(f"{n}{i}") for i in range(len(cutoffs)) for n, q in (("k", 1), ("b", 0))),
-             F.count_if(F.col("quality") == 1).alias("n"), F.count_if(F.col("quality") == 0).alias("m"))
-    )
-    tried = F.array(*(F.struct(F.lit(c).cast("long").alias("cutoff"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i, c in enumerate(cutoffs)))
-    seen = cut(seen)
-    level = alpha / (len(rules) * max(1, seen.select("stratum").distinct().count()))
-    tests = seen.select("stratum", "rule", "n", "m", F.explode(tried).alias("t")).select("stratum", "rule", "n", "m", "t.*")
-    tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(rules)))
-    lenient_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
-    sure = F.max(F.col("p")).over(lenient_first) <= F.lit(level)
+    seen = cut(measured.join(good, "doc_id").where(F.col("quality").isNotNull() & ~F.col("base_failed")).select("stratum", "quality", first_level(path).alias("first")).groupBy("stratum", "quality", "first").agg(F.count("*").alias("c")))
+    sizes = cut(seen.groupBy("stratum").agg(F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("c"))), F.lit(0)).alias("n")))
+    sums = lambda q, when=F.lit(True): F.coalesce(F.sum(F.when((F.col("quality") == q) & when, F.col("c"))), F.lit(0))
+    levels = len(next(iter(path.values())))
+    tried = F.array(*(F.struct(F.lit(i).alias("level"), sums(1, F.col("first") <= i).alias("k"), sums(0, F.col("first") <= i).alias("b")) for i in range(levels)))
+    tests = cut(with_group(seen, sizes, least).groupBy("group").agg(sums(1).alias("n"), sums(0).alias("m"), tried.alias("t")))
+    level = alpha / max(1, tests.count())
+    tests = tests.select("group", "n", "m", F.inline("t"))
+    lenient_first = Window.partitionBy("group").orderBy("level")
+    sure = F.max(binomial_tail(F.col("k"), F.col("n"), risk)).over(lenient_first) <= F.lit(level)
     # b/m - k/n, compared in whole numbers
     gain = F.col("b") * F.col("n") - F.col("k") * F.col("m")
-    best = F.max(F.struct(gain.alias("gain"), "cutoff"))
-    chosen = tests.withColumn("sure", sure).where("sure").groupBy("stratum", "rule").agg(best.alias("best")).where("best.gain > 0")
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "best.cutoff")))).alias("cutoffs"))
+    best = F.max(F.struct(gain.alias("gain"), (-F.col("level")).alias("less")))
+    chosen = tests.withColumn("sure", sure).where("sure").groupBy("group").agg(best.alias("best")).where("best.gain > 0")
+    return sizes, cut(chosen.select("group", (-F.col("best.less")).alias("level")))
 
 
-def apply_cutoffs(measured: DataFrame, chosen: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """measured with rejected_by (rules above their cutoff) and kept."""
-    above = F.array_compact(F.array(*(F.when(F.col(r) > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in rules)))
-    rows = measured.join(chosen, "stratum", "left")
-    return rows.withColumn("rejected_by", F.coalesce(F.when(F.col("cutoffs").isNotNull(), F.array_join(above, ",")), F.lit(""))).withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
+def apply_levels(measured: DataFrame, sizes: DataFrame, chosen: DataFrame, path: dict[str, tuple[int, ...]] = PATH, least: int = LEAST) -> DataFrame:
+    """measured with group, level, rejected_by (rules above their cutoff) and kept."""
+    rows = with_group(measured, sizes, least).join(chosen, "group", "left")
+    above = F.array_compact(F.array(*(F.when(F.col(rule) > F.get(F.array(*map(F.lit, grid)), F.col("level")), F.lit(rule)) for rule, grid in path.items())))
+    return rows.withColumn("rejected_by", F.array_join(above, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under cutoffs learned from all labels, by language."""
+    """All documents under the level chosen by all labels, by language."""
     measured = cut(measure(table(spark, sf_dir, "documents")))
-    chosen = cut(choose_cutoffs(measured, table(spark, sf_dir, "labels")))
-    return apply_cutoffs(measured, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    sizes, chosen = choose_levels(measured, table(spark, sf_dir, "labels"))
+    return apply_levels(measured, sizes, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 def _oracle() -> str:
@@ -153,8 +175,10 @@ def _oracle() -> str:
         "repeat_share": ("n_repeat_words", "n_words"), "same_word_share": ("n_same_words", "n_words"),
     }
     stats = ", ".join(f"(1000 * {a}) // greatest({b}, 1) AS {r}" for r, (a, b) in shares.items())
-    long = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, {r} AS x FROM m" for r in RULES)
-    p = RISK / len(RULES)
+    first = ", ".join(f"len(list_filter({list(grid)}, lambda c: c >= {r}))" for r, grid in PATH.items())
+    above = ", ".join(f"CASE WHEN {r} > ({list(grid)})[level + 1] THEN '{r}' END" for r, grid in PATH.items())
+    levels = len(PATH[RULES[0]])
+    p = RISK
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -170,20 +194,22 @@ c AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_str
       FROM d LEFT JOIN covered USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stats} FROM c),
 g AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
-x AS (SELECT stratum, rule, x, quality FROM ({long}) JOIN m USING (doc_id) JOIN g USING (doc_id) WHERE quality IS NOT NULL),
-k AS (SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1 AND x > cutoff) AS k, count(*) FILTER (quality = 0 AND x > cutoff) AS b,
+x AS (SELECT stratum, quality, least({first}) AS first FROM m JOIN g USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
+own AS (SELECT stratum FROM x GROUP BY stratum HAVING count(*) FILTER (quality = 1) >= {LEAST}),
+k AS (SELECT CASE WHEN own.stratum IS NULL THEN '*' ELSE '=' || own.stratum END AS grp, level,
+             count(*) FILTER (quality = 1 AND first <= level) AS k, count(*) FILTER (quality = 0 AND first <= level) AS b,
              count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS m
-      FROM x CROSS JOIN (SELECT unnest({list(CUTOFFS)}) AS cutoff) GROUP BY ALL),
+      FROM x LEFT JOIN own USING (stratum) CROSS JOIN (SELECT unnest(range({levels})) AS level) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k < n * {p} THEN list_sum(list_transform(range(0, k + 1), lambda i:
         exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) ELSE 1 END AS p FROM k),
-s AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) <= {ALPHA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM k)) AS sure FROM p),
-best AS (SELECT stratum, rule, cutoff FROM s WHERE sure AND b * n - k * m > 0
-         QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY b * n - k * m DESC, cutoff DESC) = 1),
-r AS (SELECT m.doc_id, string_agg(rule, ',' ORDER BY list_position({list(RULES)}, rule)) AS rejected_by
-      FROM m JOIN ({long}) USING (doc_id) JOIN best USING (stratum, rule) WHERE x > cutoff GROUP BY m.doc_id)
+s AS (SELECT *, max(p) OVER (PARTITION BY grp ORDER BY level) <= {ALPHA} / (SELECT count(DISTINCT grp) FROM k) AS sure FROM p),
+best AS (SELECT grp, level FROM s WHERE sure AND b * n - k * m > 0
+         QUALIFY row_number() OVER (PARTITION BY grp ORDER BY b * n - k * m DESC, level) = 1),
+r AS (SELECT m.*, level FROM m LEFT JOIN own USING (stratum) LEFT JOIN best ON grp = CASE WHEN own.stratum IS NULL THEN '*' ELSE '=' || own.stratum END),
+z AS (SELECT *, array_to_string(list_filter([{above}], lambda r: r IS NOT NULL), ',') AS rejected_by FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
-FROM m LEFT JOIN r USING (doc_id)
+       NOT base_failed AND rejected_by = '' AS kept, rejected_by
+FROM z
 """
 
 
