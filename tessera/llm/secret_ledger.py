@@ -5,8 +5,9 @@ rule version that was scanned; a run scans only the pairs it lacks, appends them
 findings back to all paths that hold the blob.
 
 Defined results: a null text is the empty blob; spans are in code points with the end exclusive;
-equal rows each get a row of the result; a null path is a path of its own; an empty table gives
-an empty result; columns other than those named are ignored.
+equal rows each get a row of the result; a null path is a path of its own; findings that start at
+one place (ties) are listed by kind; a very long text is scanned whole, its findings in chunks; an
+empty table gives an empty result; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,6 +53,30 @@ def rule_version(kinds: tuple[Kind, ...] = KINDS) -> str:
     return hashlib.sha256(repr(kinds).encode()).hexdigest()[:16]
 
 
+#: Findings that are folded at once: a fold copies what it has gathered at every step.
+CHUNK = 256
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_chunks(items: Column, total, begin, fold) -> Column:
+    """fold(chunk, carry) of each chunk of items: carry is what begin makes of the totals of all chunks before.
+
+    Only folds over CHUNK items, and one over the chunks, gather arrays; so the work hardly grows
+    faster than the number of items.
+    """
+    size = F.ceil(F.size(items) / CHUNK).cast("int")
+    chunk = lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK))
+    numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    step = lambda acc, x: F.struct(begin(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    carries = F.aggregate(F.transform(numbers, lambda i: total(chunk(i))), start, step)["out"]
+    return F.transform(carries, lambda at, i: fold(chunk(i), at))
+
+
 def spans_of(text: Column, kind: Kind, order: int) -> Column:
     """array<struct<start long, kind int, stop long>> of a kind's findings in text.
 
@@ -64,15 +89,18 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)).alias("value"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    sizes = F.transform(found, lambda x: F.struct(
+        F.length(x["gap"]).cast("long").alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).cast("long").alias("match"), F.coalesce(F.length(x["value"]) >= kind.least, F.lit(False)).alias("holds")))
 
     def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        stop = begin + F.coalesce(F.length(x["match"]), F.lit(0))
+        begin = acc["at"] + x["gap"]
+        stop = begin + x["match"]
         one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(F.length(x["value"]) >= kind.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when(x["holds"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(kind.hint)), F.aggregate(found, start, step)["out"]).otherwise(none)
+    total = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["match"])
+    spans = let(sizes, lambda items: F.flatten(in_chunks(items, total, lambda at, n: at + n, lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step)["out"])))
+    return F.when(F.regexp_like(text, F.lit(kind.hint)), spans).otherwise(none)
 
 
 def scan(blobs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -123,18 +151,26 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, kinds: tuple[Kind, ..
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span, overlapping ones as one, replaced by mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        between = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-        )
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    """text with every span, overlapping ones as one, replaced by mark; spans are sorted by start.
+
+    A chunk of spans is cut from its own part of the text, so no place is sought from the start of a
+    long text again and again.
+    """
+    top = lambda chunk: F.array_max(F.transform(chunk, lambda s: s["stop"]))
+    part = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def fold(chunk, at):
+        def cut_out(own):
+            def step(acc, s):
+                longer = F.concat(acc["out"], part(own, acc["at"] - at, s["start"] - at), F.lit(mark))
+                return F.struct(F.when(s["start"] >= acc["at"], longer).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+
+            return F.aggregate(chunk, F.struct(F.lit("").alias("out"), at.alias("at")), step)["out"]
+
+        return let(part(text, at, F.greatest(at, top(chunk))), cut_out)
+
+    pieces = in_chunks(spans, top, lambda at, n: F.greatest(at, n), fold)
+    done = F.concat(F.array_join(pieces, ""), F.substr(text, (top(spans) + 1).cast("int")))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
