@@ -9,7 +9,9 @@ pass over all training texts, as cosines counted in bins.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and rejected; with
 nothing to learn from, every text is `und`; ties go to the language that sorts first; repeated
-rows each get a row; an empty table gives an empty result.
+rows each get a row; a null doc_id is not held out, and its text may teach; a very long text is read
+whole, as a batch of its own; an empty table gives an empty result. The results named lang_pred,
+score and rejected take the place of input columns of these names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ GRAMS = (1, 2, 3)
 #: Centroids of a language, and the most training texts (in expectation) that they are fitted on.
 CENTROIDS = 4
 SAMPLE = 1500
-#: Languages are limited so that the model, which every task holds, stays small.
+#: Languages that are learned, those with the most training texts: so the model, which every task
+#: holds, stays small. Texts labelled otherwise are classified like all, but teach nothing.
 LANGUAGES = 1000
 #: Lengths in n-grams that part the bands with a distance limit of their own.
 BANDS = (16, 32, 64, 128, 256, 1024)
@@ -105,19 +108,18 @@ def has_letter(text: Column) -> Column:
 def fit(training: DataFrame) -> dict:
     """The model of training (key, text, lang; no nulls in text and lang).
 
-    The key only decides which texts are in the sample. Gathered on the driver: counts per
+    The key only helps to decide which texts are in the sample. Gathered on the driver: counts per
     language, document frequencies (DIMENSIONS numbers), the centroids and the distance limits. Only
     the centroids are fitted on the sample.
     """
     training = training.where(has_letter(F.col("text")))
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return {"langs": [], "idf": None, "centroids": None, "limits": None}
     share = F.create_map(*(x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))))
-    uniform = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) / 1_000_000.0
-    marked = training.select("text", "lang", (uniform < share[F.col("lang")]).alias("sampled"))
+    # the row's place counts, too: rows that share a key, or are the same, enter one by one
+    uniform = F.pmod(F.xxhash64("key", "text", F.monotonically_increasing_id()), F.lit(1_000_000)) / 1_000_000.0
+    marked = training.select("text", "lang", F.coalesce(uniform < F.try_element_at(share, F.col("lang")), F.lit(False)).alias("sampled"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -206,7 +208,7 @@ def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
     the column text is an input."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if keep_text or c != "text"]
+    rest = [c for c in docs.columns if (keep_text or c != "text") and c not in ("lang_pred", "score", "rejected")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
