@@ -7,13 +7,16 @@ fits. A segment tree over room sizes finds that row. A block gives rows of exact
 with the cumulative lengths of their segments and position numbers that start anew in each.
 
 Defined results: a null or empty text is a segment of the closing id alone; repeated rows are
-packed one by one; a null doc_id stays null in the list of a row's documents; an empty table gives
-an empty result; the ids after a row's last segment are PAD and belong to no segment.
+packed one by one; a null doc_id stays null in the list of a row's documents; pieces of equal length
+(ties) are packed by doc_id, piece and ids; a very long text is encoded whole and split; an empty
+table gives an empty result; columns other than doc_id and text are ignored, whatever their names;
+the ids after a row's last segment are the greatest number of their width and belong to no segment.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dominance_packing import CAPACITY, CLOSING, cuts
-from .shared import slices, table, whole
+from .shared import shared_dir, slices, table, whole
 from .token_ids import VOCABULARY, encoder
 
-#: What fills a row's end: an id that the vocabulary does not have.
-PAD = 65535
 #: Tokens in a block, about, and bytes of text per token, at least: for the number of blocks.
 BLOCK_TOKENS = 8_000_000
 BYTES_PER_TOKEN = 2
 
+#: Ids are 16 bits wide where the vocabulary leaves the greatest such number free for padding, else 32.
+def width(vocabulary: str = VOCABULARY) -> str:
+    return "<u2" if encoder(vocabulary).size < 1 << 16 else "<u4"
+
+
 ROWS = "block long, row int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
 
 
@@ -84,10 +90,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def token_pieces(docs: DataFrame, blocks: int, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(block, doc_id, piece, start, ids): ids as little-endian unsigned 16-bit numbers.
+    """(block, doc_id, piece, start, ids): ids as little-endian unsigned numbers of the width of the vocabulary.
 
-    The block follows from doc_id, piece and content, so even one document's pieces spread.
+    The block follows from doc_id, piece, content and the piece's place in its task, so pieces of
+    one document spread, and so do repeated rows.
     """
+    kind = width(vocabulary)
     kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,23 +103,24 @@ def token_pieces(docs: DataFrame, blocks: int, capacity: int = CAPACITY, vocabul
         for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text) + closing, "<u4").astype("<u2")
+                ids = np.frombuffer(encode(text) + closing, "<u4").astype(kind)
                 out += ((doc_id, i, start, ids[start : start + n].tobytes()) for i, (start, n) in enumerate(cuts(len(ids), capacity)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, piece int, start long, ids binary")
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(blocks)).cast("long"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids", F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
 
 
-def pack_block(frame: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
-    frame = frame.assign(n=frame["ids"].map(len) // 2).sort_values(["n", "doc_id", "piece", "ids"], ascending=[False, True, True, True], kind="stable")
+def pack_block(frame: pd.DataFrame, capacity: int = CAPACITY, kind: str = "<u2") -> pd.DataFrame:
+    size = np.dtype(kind).itemsize
+    frame = frame.assign(n=frame["ids"].map(len) // size).sort_values(["n", "doc_id", "piece", "ids"], ascending=[False, True, True, True], kind="stable")
     n, ids, docs, pieces, starts = (frame[c].tolist() for c in ("n", "ids", "doc_id", "piece", "start"))
     out = []
     for row, places in enumerate(best_fit(n, capacity)):
         sizes = [n[i] for i in places]
         used = sum(sizes)
-        packed = b"".join(ids[i] for i in places) + struct.pack("<H", PAD) * (capacity - used)
+        packed = b"".join(ids[i] for i in places) + b"\xff" * (size * (capacity - used))
         positions = np.concatenate([np.arange(k, dtype="<u2") for k in (*sizes, capacity - used)])
         out.append((
             int(frame["block"].iloc[0]), row, [None if pd.isna(docs[i]) else int(docs[i]) for i in places], [pieces[i] for i in places], [starts[i] for i in places],
@@ -120,11 +129,12 @@ def pack_block(frame: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in ROWS.split(", ")])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The packed rows of docs (doc_id, text): ROWS."""
     size = docs.agg(F.sum(F.octet_length(whole("text")) + 1)).first()[0] or 0
     blocks = max(1, round(size / BYTES_PER_TOKEN / block_tokens))
-    return token_pieces(docs, blocks, capacity).groupBy("block").applyInPandas(lambda frame: pack_block(frame, capacity), ROWS)
+    kind = width(vocabulary)
+    return token_pieces(docs, blocks, capacity, vocabulary).groupBy("block").applyInPandas(lambda frame: pack_block(frame, capacity, kind), ROWS)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -133,9 +143,10 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed; the matrices as checksums beside what describes them."""
-    packed = pack(table(spark, sf_dir, "documents"))
-    return packed.select(
+    """All documents packed and written; the matrices as checksums beside what describes them."""
+    path = f"{shared_dir(spark)}/packed_{uuid.uuid4().hex}"
+    write_packed(pack(table(spark, sf_dir, "documents")), path)
+    return spark.read.schema(ROWS).parquet(path).select(
         "block", "row", "doc_ids", "pieces", "starts", "cu_seqlens", "n_tokens",
         F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
     )

@@ -9,7 +9,9 @@ Spark then numbers the pieces of each length and looks their places up in the pl
 
 Defined results: a null or empty text is one piece, the closing id alone; only documents longer
 than the capacity are cut, and their first piece takes the odd length; repeated rows are packed
-one by one; a null doc_id stays null; an empty table gives an empty result.
+one by one; a null doc_id stays null; pieces of equal length (ties) are placed by salt, doc_id, piece and
+checksum; a very long text is encoded whole and cut; an empty table gives an empty result; columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions, slices, table
+from .shared import cut, slices, table
 from .token_ids import VOCABULARY, encoder
 
 #: Tokens in a sequence, and the id that closes every document.
 CAPACITY = 2048
 CLOSING = 0
+#: Groups that the pieces of one length are numbered in.
+SALTS = 1024
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -40,19 +44,20 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of docs (doc_id, text)."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    types = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
+    """(doc_id, piece, start, length, ids_crc32, salt[, ids]) of docs (doc_id, text); salt counts a task's pieces round."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + ", ids binary" * with_ids
+    types = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32())] + [("ids", pa.binary())] * with_ids)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = encoder(vocabulary).encode, struct.pack("<I", CLOSING)
+        encode, closing, n = encoder(vocabulary).encode, struct.pack("<I", CLOSING), 0
         for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 raw = encode(text) + closing
                 for i, (start, length) in enumerate(cuts(len(raw) // 4, capacity)):
                     part = raw[4 * start : 4 * (start + length)]
-                    out.append((doc_id, i, start, length, zlib.crc32(part), part)[: len(types)])
+                    out.append((doc_id, i, start, length, zlib.crc32(part), n % SALTS, part)[: len(types)])
+                    n += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t.type) for t in types], schema=types)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenize, schema)
@@ -146,20 +151,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows with rank: 0, 1, ... among those of the same length.
+    """rows (salt, length, ...; written already) with rank: 0, 1, ... among those of the same length.
 
-    A length with a third of all rows is salted; salts count on from one to the next.
+    A length with a third of all rows is split by the salts, which don't depend on what the rows
+    hold, so that repeated rows spread as well; salts count on from one to the next.
     """
-    salts = max(64, partitions(rows.sparkSession))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = rows.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    return salted.withColumn("i", F.row_number().over(within)).join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("i") - 1).drop("salt", "first", "i")
+    return rows.withColumn("i", F.row_number().over(within)).join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("i") - 1).drop("salt", "first", "i")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """rows (doc_id, piece, start, length, ids_crc32, salt; written already) with sequence_id and offset.
 
     To the driver go at most `capacity` counts; the plan's size is bounded by them, too.
     """

@@ -12,7 +12,9 @@ Defined results:
   already in the index stays, however long the new one is.
 - Rows that repeat both doc_id and text are separate rows of the result; one of them stays.
 - Running a batch again under its name gives the same result: its digests are found as its own.
-- An empty table gives an empty result. Columns other than those named are ignored.
+- A very long text is hashed whole. One job at a time may write to an index.
+- An empty table gives an empty result. Columns other than those named are ignored (drop_copies
+  keeps them; the names digest and length are its own).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, cut, partitions, table, whole
+from .shared import SPACE, cut, partitions, repeated, table, whole
 
 
 class DigestIndex:
@@ -97,8 +99,8 @@ def decide(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
 
 def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    decided = decide(docs, index, batch).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return decided.select("doc_id", "keep_id", "group_size", (F.col("keeps") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    decided = repeated(decide(docs, index, batch), F.col("copies"), "copy")
+    return decided.select("doc_id", "keep_id", "group_size", (F.col("keeps") & (F.col("copy") == 0)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:

@@ -56,6 +56,13 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
+def repeated(df: DataFrame, times: Column, out: str, step: int = 1000) -> DataFrame:
+    """Each row of df as often as times (long) says, numbered from 0 in column out; no long array is made."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), times - 1, F.lit(step).cast("long")))
+    rest = F.explode(F.sequence(F.col(out), F.least(F.col(out) + step, times) - 1))
+    return df.withColumn(out, first).withColumn(out, rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, rows: int = 20_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows and, but for single long texts, bytes of text.
 

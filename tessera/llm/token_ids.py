@@ -50,6 +50,8 @@ class Encoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.json_path = json_path
+        #: Ids lie below this; the one beyond the ranks is the special token's.
+        self.size = max(ranks.values()) + 2
         self.words = _Words(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
     @lru_cache(maxsize=1)  # noqa: B019

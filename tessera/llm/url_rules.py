@@ -9,7 +9,9 @@ candidates of every url, so nothing is missed.
 
 Defined results: a url that is null or has no `://` has an empty host and path, matches no rule
 and is allowed; of several fitting rules the lowest tier wins, then the longest pattern, then
-the smallest; repeated rows each get a row; an empty table gives an empty result.
+the smallest (so ties are settled); repeated rows each get a row; a null page_id stays null; a very
+long url is matched whole; an empty table gives an empty result; columns other than page_id and url
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, repeated, table
 
 #: The rule table may be broadcast while it has no more rows than this; a larger one is joined by shuffle.
 BROADCAST_RULES = 100_000
@@ -110,17 +112,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), subject.alias("subject"))
     index = cut(index_rules(rules, parts))
     fitting = F.filter("candidates", lambda r: (F.col("subject") != "") & F.regexp_like(F.col("subject"), r["regex"]))
-    return (
+    best = (
         parts.withColumn("token", F.explode(tokens(F.col("subject"))))
         .join(_small(index), "token", "left")
         .withColumn("best", F.array_max(fitting))
         .groupBy("page_id", "url", "host", "path")
         .agg(F.max("best").alias("best"), F.count_if(F.col("token") == "").alias("rows"))
-        .withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select(
-            "page_id", "url", "host", "path", F.col("best.name").alias("rule"), (-F.col("best.t")).alias("tier"),
-            F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
-        )
+    )
+    return repeated(best, F.col("rows"), "_").select(
+        "page_id", "url", "host", "path", F.col("best.name").alias("rule"), (-F.col("best.t")).alias("tier"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
     )
 
 
