@@ -139,7 +139,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block_tokens: int = BLOCK_TO
 
 def write_packed(packed: DataFrame, path: str) -> None:
     """Write the rows as Parquet: ids is the row of the matrix, cu_seqlens and positions go with it."""
-    packed.write.parquet(path)
+    packed.write.option("parquet.enable.dictionary", "false").parquet(path)  # no two rows are alike
 
 
 def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from .token_ids import VOCABULARY, encoder
 CAPACITY = 2048
 CLOSING = 0
 #: Groups that the pieces of one length are numbered in.
-SALTS = 1024
+SALTS = 256
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -8,8 +8,8 @@ import struct
 from functools import lru_cache
 
 #: Words of at most CACHE_CHARS characters that a Python worker remembers; beyond that the cache
-#: starts anew. Together these hold some 50 MB at most, as workers live on from task to task.
-CACHE_WORDS, CACHE_CHARS = 200_000, 32
+#: starts anew. Together these hold some 90 MB at most, as workers live on from task to task.
+CACHE_WORDS, CACHE_CHARS = 400_000, 32
 #: The vocabulary, by its name among the public tokenizer files, as JSON and as ranks.
 VOCABULARY = "byte_bpe_50k"
 
