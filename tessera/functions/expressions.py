@@ -92,6 +92,16 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def top_k(logits: Column, k: int, temperature: float = 1.0) -> Column:
+    """array<struct<id int, p double>>: the k largest of logits (the first of equal ones first) and
+    the chance of each after a softmax over them at the temperature."""
+    ranked = F.transform(logits, lambda v, i: F.struct(v.cast("double").alias("v"), (-i).alias("i")))
+    best = F.slice(F.sort_array(ranked, asc=False), 1, k)
+    weight = lambda x: F.exp((x["v"] - F.array_max(logits).cast("double")) / temperature)
+    total = F.aggregate(best, F.lit(0.0), lambda a, x: a + weight(x))
+    return F.transform(best, lambda x: F.struct((-x["i"]).cast("int").alias("id"), (weight(x) / total).alias("p")))
+
+
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
     """-log softmax at target, with the largest logit taken off first; smoothing spreads that
     share of the target over all classes."""

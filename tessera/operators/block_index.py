@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,29 @@ def block_counts(blocks: DataFrame, *files: str) -> DataFrame:
     return blocks.groupBy(*files).agg(F.count("*").alias("n"))
 
 
+#: File numbers per cell of the prefix sum, and characters of a hash that name a cell of a shuffle.
+FILES = 4096
+PREFIX = 4
+
+
+def running(rows: DataFrame, cell: Column, order: list, value: str, out: str) -> DataFrame:
+    """rows with column out: the sum of value over all rows before, by cell and then by order.
+
+    Sums are taken per cell first; only these, one row a cell, pass a single task.
+    """
+    marked = rows.withColumn("_cell", cell)
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = marked.groupBy("_cell").agg(F.sum(value).alias("_s")).select("_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_f"))
+    within = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = marked.withColumn("_w", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.join(firsts, "_cell").withColumn(out, (F.col("_f") + F.col("_w")).cast("long")).drop("_cell", "_s", "_f", "_w")
+
+
 def build_index(counts: DataFrame, order: str = "file_ord") -> DataFrame:
-    """counts (order, n, ...) with cum, the blocks of all files before: one row per file, so the
-    unpartitioned window is over the small table only. Files without blocks don't count."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.where(F.col("n") > 0).withColumn("cum", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    """counts (order, a whole number; n, ...) with cum, the blocks of all files before. Files
+    without blocks don't count."""
+    cell = F.coalesce(F.floor(F.col(order) / FILES).cast("long"), F.lit(-1).cast("long"))
+    return running(counts.where(F.col("n") > 0), cell, [order], "n", "cum")
 
 
 def with_global_index(blocks: DataFrame, index: DataFrame, on: str = "file_ord") -> DataFrame:
@@ -52,5 +70,5 @@ def seeded_key(seed: int, *cols: str):
 
 def seeded_shuffle(files: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """files with a new file_ord, in the order of a seeded hash: files move, not their blocks."""
-    w = Window.orderBy(seeded_key(seed, key), key)
-    return files.withColumn("file_ord", (F.row_number().over(w) - 1).cast("long"))
+    keyed = files.withColumns({"_k": seeded_key(seed, key), "_one": F.lit(1)})
+    return running(keyed, F.substring("_k", 1, PREFIX), ["_k", key], "_one", "file_ord").drop("_k", "_one")

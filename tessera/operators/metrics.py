@@ -48,6 +48,11 @@ def compare(truth: DataFrame, pred: DataFrame, *keys: str) -> DataFrame:
     return p.join(t, [*keys, "i"], "left").select(*keys, "i", "gt", "pred")
 
 
+def write_compare(pairs: DataFrame, path: str) -> None:
+    """pairs (i, gt, pred, ...) as CSV with a head line; gt is blank beyond the truth's end."""
+    pairs.withColumn("gt", F.coalesce(F.col("gt").cast("string"), F.lit(""))).write.option("header", True).option("emptyValue", "").csv(path)
+
+
 def macro_accuracy(pairs: DataFrame, *keys: str) -> DataFrame:
     """Per-class recall of pairs (gt, pred), averaged over the classes that are in either.
 
@@ -91,7 +96,7 @@ def gate_report(scored: DataFrame, min_acc: float, grammar_min: float) -> DataFr
 
 
 def gate_json(report: DataFrame) -> DataFrame:
-    """The report as one line of JSON."""
+    """The report as one line of JSON; the prefix is a fixed value that readers look for."""
     return report.select(F.concat(F.lit("EVENT_GATE_RESULT "), F.to_json(F.struct("*"))).alias("line"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import real_tokens
@@ -27,3 +27,8 @@ def prompt_slice(sequences: DataFrame, ids: str, prompt_len: int, max_len: int)
     if max_len - prompt_len <= 0:
         raise ValueError("the maximum length must be above the prompt's")
     return sequences.withColumns({"prompt": F.slice(ids, 1, prompt_len), "n_generate": F.lit(max_len - prompt_len), "compare": F.slice(ids, 1, max_len)})
+
+
+def continuation(pred: Column, truth: Column, decodes: Column) -> Column:
+    """What is rendered: the prediction, or the truth where the prediction does not decode."""
+    return F.when(F.coalesce(decodes, F.lit(False)), pred).otherwise(truth)

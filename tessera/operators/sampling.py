@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .block_index import lookup, seeded_key
+from .block_index import PREFIX, lookup, seeded_key
 
 
-def sample_exact(blocks: DataFrame, fraction: float, key: str = "global_idx", seed: int = 0, epoch: int = 0) -> DataFrame:
-    """int(fraction * rows) rows without replacement, fewer than one being none; the top-k of a
-    hash order, which Spark takes per partition first. A fraction over 1 takes all."""
-    n = int(fraction * blocks.count())
-    return blocks.withColumn("_k", seeded_key(seed, key)).orderBy(F.md5(F.concat("_k", F.lit(str(epoch))).cast("binary")), key).limit(n).drop("_k")
+def sample_exact(rows: DataFrame, fraction: float, key: str = "global_idx", seed: int = 0, epoch: int = 0) -> DataFrame:
+    """int(fraction * rows) rows without replacement, fewer than one being none: the first ones in
+    the order of a hash. A fraction over 1 takes all.
+
+    Rows are counted by the first characters of the hash; groups before the one where the number is
+    reached are taken whole, and only that one is sorted.
+    """
+    keyed = rows.withColumn("_k", F.md5(F.concat(seeded_key(seed, key), F.lit(str(epoch))).cast("binary"))).withColumn("_g", F.substring("_k", 1, PREFIX))
+    sizes = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(fraction)).cast("long")
+    groups = sizes.select("_g", "_n", wanted.alias("_want"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).where("_before < _want")
+    near = keyed.join(groups, "_g")
+    whole = near.where("_before + _n <= _want").select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("_k", key))
+    rest = near.where("_before + _n > _want").withColumn("_i", place).where("_i <= _want - _before").select(*rows.columns)
+    return whole.union(rest)
 
 
 def draws(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:

@@ -6,8 +6,6 @@ rules that SQL can state as well; sql.py has the same in SQL.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +33,23 @@ def joined(array: Column | str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+    """A new folder that the driver and the executors share: in the one that the session names, or,
+    where the executors are threads of the driver, beside the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of its own, so that what reads it twice makes it once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "source", "lang", windowing.toy_tokens(F.col("text"), VOCAB).alias("ids"))
@@ -55,8 +65,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select(F.col("doc_id").alias("file_ord"), n.cast("long").alias("n"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents: texts are read once, and what is left of them is written."""
+    return written(block_index.build_index(written(counts(spark, sf_dir))))
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = block_index.build_index(counts(spark, sf_dir))
+    index = index_of(spark, sf_dir)
     return block_index.with_global_index(blocks(spark, sf_dir).withColumnRenamed("doc_id", "file_ord"), index)
 
 
@@ -218,11 +233,11 @@ def block_counts(spark, sf_dir):
 
 
 def global_index(spark, sf_dir):
-    return block_index.build_index(counts(spark, sf_dir))
+    return block_index.build_index(written(counts(spark, sf_dir)))
 
 
 def index_lookup(spark, sf_dir):
-    index = block_index.build_index(counts(spark, sf_dir))
+    index = index_of(spark, sf_dir)
     total = index.agg(F.sum("n")).first()[0]
     asked = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 7919) % total).alias("idx"))
     return block_index.lookup(asked, index)
@@ -233,21 +248,30 @@ def get_block(spark, sf_dir):
 
 
 def seeded_shuffle(spark, sf_dir):
-    files = counts(spark, sf_dir).select(F.col("file_ord").alias("file"), "n")
+    files = written(counts(spark, sf_dir).select(F.col("file_ord").alias("file"), "n"))
     return block_index.build_index(block_index.seeded_shuffle(files, "file", 3))
 
 
 def sample_exact_n(spark, sf_dir):
-    return sampling.sample_exact(numbered(spark, sf_dir).select("global_idx", "file_ord", "block_idx"), 0.05, seed=5, epoch=2)
+    """Numbers are drawn and then looked up: no block is made to be counted or drawn."""
+    index = index_of(spark, sf_dir)
+    numbers = spark.range(index.agg(F.sum("n")).first()[0] or 0).select(F.col("id").alias("global_idx"))
+    drawn = sampling.sample_exact(numbers, 0.05, seed=5, epoch=2)
+    return block_index.lookup(drawn, index, on="global_idx").select("global_idx", "file_ord", "block_idx")
 
 
 def sample_with_replacement(spark, sf_dir):
-    index = block_index.build_index(counts(spark, sf_dir))
+    index = index_of(spark, sf_dir)
     return sampling.sample_with_replacement(blocks(spark, sf_dir), index, 500, seed=9)
 
 
+def numbered_blocks(spark, sf_dir):
+    return numbered(spark, sf_dir).select("global_idx", "file_ord", "block_idx", joined("block").alias("block"))
+
+
 def batches(spark, sf_dir):
-    made = sampling.batches(numbered(spark, sf_dir).select("global_idx"), 8)
+    total = index_of(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
+    made = sampling.batches(spark.range(total).select(F.col("id").alias("global_idx")), 8)
     return made.select("batch", F.size("members").cast("long").alias("n"), joined(F.transform("members", lambda m: m["global_idx"])).alias("members"))
 
 
@@ -290,6 +314,19 @@ def gt_pred_compare(spark, sf_dir):
     return _compared(spark, sf_dir).select("item_id", "i", F.coalesce(F.col("gt").cast("string"), F.lit("")).alias("gt"), "pred")
 
 
+def compare_csv(spark, sf_dir):
+    """The comparison file, written and read again."""
+    path = scratch(spark)
+    metrics.write_compare(_compared(spark, sf_dir).select("item_id", "i", "gt", "pred"), path)
+    rows = spark.read.option("header", True).schema("item_id long, i int, gt string, pred long").csv(path)
+    return rows.withColumn("gt", F.coalesce("gt", F.lit("")))
+
+
+def truth_fallback(spark, sf_dir):
+    ids = prompts.continuation(F.col("pred"), F.col("gt"), F.size("gt") % 4 != 0)
+    return _truth_pred(spark, sf_dir).select("item_id", joined(ids).alias("ids"))
+
+
 def macro_accuracy(spark, sf_dir):
     pairs = _compared(spark, sf_dir).where(F.col("gt").isNotNull())
     return metrics.macro_accuracy(pairs, "item_id").select("item_id", F.round("macro_accuracy", 9).alias("macro_accuracy"))
@@ -300,6 +337,11 @@ def argmax_accuracy(spark, sf_dir):
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("correct"), F.sum("pred").alias("preds"))
 
 
+def top_k(spark, sf_dir):
+    best = table(spark, sf_dir, "embeddings").select("vec_id", X.top_k(F.col("embedding"), 3, 0.5).alias("best"))
+    return best.select("vec_id", joined(F.transform("best", lambda x: x["id"])).alias("ids"), F.round(F.get("best", F.lit(0))["p"], 6).alias("p"))
+
+
 def cross_entropy(spark, sf_dir):
     at = (F.col("label") % F.size("embedding")).cast("int")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(X.cross_entropy(F.col("embedding").cast("array<double>"), at), 6).alias("loss"), F.round(X.cross_entropy(F.col("embedding").cast("array<double>"), at, 0.1), 6).alias("smoothed"))

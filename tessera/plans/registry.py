@@ -11,8 +11,8 @@ QUERIES: dict = {
         q.flagship_window_totals, q.manifest_parse, q.eval_spec_parse, q.duration_seconds, q.frame_budget, q.duration_index_lastwins, q.duration_lookup,
         q.content_md5, q.token_encode, q.token_decode, q.token_label, q.vocabulary, q.xy_shift, q.block_path, q.path_suffix,
         q.split_union, q.split_fallback, q.skip_reasons, q.kept_skipped, q.max_files_limit, q.cache_decision, q.cache_pending, q.block_store_roundtrip,
-        q.block_counts, q.global_index, q.index_lookup, q.get_block, q.seeded_shuffle, q.sample_exact_n, q.sample_with_replacement, q.batches, q.fan_out,
-        q.prompt_select, q.prompt_slice, q.concat_stream, q.greedy_accuracy, q.gt_pred_compare, q.macro_accuracy, q.argmax_accuracy, q.cross_entropy,
+        q.block_counts, q.global_index, q.index_lookup, q.get_block, q.seeded_shuffle, q.numbered_blocks, q.sample_exact_n, q.sample_with_replacement, q.batches, q.fan_out,
+        q.prompt_select, q.prompt_slice, q.concat_stream, q.greedy_accuracy, q.gt_pred_compare, q.compare_csv, q.truth_fallback, q.top_k, q.macro_accuracy, q.argmax_accuracy, q.cross_entropy,
         q.masked_mean, q.subset_metrics, q.micro_macro, q.micro_rollup, q.best_epoch, q.early_stop, q.gate_report, q.gate_json,
         q.forward_fill, q.latest_with_fallback, q.prune_and_narrow,
     )

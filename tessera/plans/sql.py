@@ -78,6 +78,7 @@ SELECT split, split_ord, 0 AS case FROM s WHERE split = 'src3' UNION ALL SELECT
     "global_index": f"WITH {_win(16)}, {_IDX} SELECT file_ord, n, cum FROM idx",
     "index_lookup": f"WITH {_win(16)}, {_IDX}, a AS (SELECT event_id, (event_id * 7919) % (SELECT sum(n)::BIGINT FROM idx) AS i FROM events) SELECT event_id, i AS idx, file_ord, i - cum AS block_idx FROM a JOIN idx ON i >= cum AND i < cum + n",
     "get_block": f"WITH {_win(16)} SELECT doc_id AS file_ord, block_idx, array_to_string(block, ',') AS block FROM win WHERE doc_id = 7 AND block_idx = 1",
+    "numbered_blocks": f"WITH {_win(16)}, {_IDX} SELECT cum + block_idx AS global_idx, doc_id AS file_ord, block_idx, array_to_string(block, ',') AS block FROM win JOIN idx ON doc_id = file_ord",
     "seeded_shuffle": f"WITH {_win(16)}, {_CNT}, o AS (SELECT doc_id AS file, coalesce(n, 0) AS n, row_number() OVER (ORDER BY md5(doc_id || '|3'), doc_id) - 1 AS file_ord FROM documents LEFT JOIN cnt ON doc_id = file_ord) SELECT file, n, file_ord, (sum(n) OVER (ORDER BY file_ord) - n)::BIGINT AS cum FROM o WHERE n > 0",
     "sample_exact_n": f"WITH {_win(16)}, {_IDX}, g AS (SELECT cum + block_idx AS global_idx, file_ord, block_idx FROM win JOIN idx ON doc_id = file_ord) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(md5(global_idx || '|5') || '2'), global_idx) AS r FROM g) WHERE r <= (SELECT trunc(0.05 * count(*)) FROM g)".replace("SELECT * FROM (SELECT *, row", "SELECT global_idx, file_ord, block_idx FROM (SELECT *, row"),
     "sample_with_replacement": f"WITH {_win(16)}, {_IDX}, d AS (SELECT draw, ('0x' || md5(draw || '|9')[1:8])::BIGINT % (SELECT sum(n)::BIGINT FROM idx) AS idx FROM (SELECT unnest(range(0, 500)) AS draw)) SELECT draw, d.idx, file_ord, d.idx - cum AS block_idx FROM d JOIN idx i ON d.idx >= cum AND d.idx < cum + n",
@@ -88,6 +89,12 @@ SELECT split, split_ord, 0 AS case FROM s WHERE split = 'src3' UNION ALL SELECT
     "concat_stream": f"WITH {_TP} SELECT item_id, array_to_string(list_concat(gt[1:3], pred), ',') AS ids FROM tp",
     "greedy_accuracy": f"WITH {_TP}, {_PAIRS} SELECT item_id, round(CASE WHEN count(gt) > 0 THEN count(*) FILTER (gt = pred)::DOUBLE / count(gt) ELSE 0 END, 9) AS acc FROM pairs GROUP BY item_id",
     "gt_pred_compare": f"WITH {_TP}, {_PAIRS} SELECT item_id, i::INT AS i, coalesce(gt::VARCHAR, '') AS gt, pred FROM pairs",
+    "compare_csv": f"WITH {_TP}, {_PAIRS} SELECT item_id, i::INT AS i, coalesce(gt::VARCHAR, '') AS gt, pred FROM pairs",
+    "truth_fallback": f"WITH {_TP} SELECT item_id, array_to_string(CASE WHEN len(gt) % 4 <> 0 THEN pred ELSE gt END, ',') AS ids FROM tp",
+    "top_k": """
+WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM e)
+SELECT vec_id, string_agg(i::VARCHAR, ',' ORDER BY k) AS ids, round(exp(max(v) / 0.5) / sum(exp(v / 0.5)), 6) AS p FROM r WHERE k <= 3 GROUP BY vec_id""",
     "macro_accuracy": f"""WITH {_TP}, {_PAIRS}, p AS (SELECT * FROM pairs WHERE gt IS NOT NULL),
 c AS (SELECT item_id, gt AS c FROM p UNION SELECT item_id, pred FROM p),
 r AS (SELECT c.item_id, c.c, count(p.gt) AS n, count(*) FILTER (p.gt = p.pred) AS hit FROM c LEFT JOIN p ON c.item_id = p.item_id AND c.c = p.gt GROUP BY ALL)

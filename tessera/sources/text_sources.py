@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,14 @@ def parse_manifest(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, relpath, subtune) of a manifest file, duplicates kept; order is line_no."""
-    whole = spark.read.text(path, wholetext=True)
+    """(line_no, relpath, subtune) of a manifest file, duplicates kept; order is line_no. A missing
+    manifest is an empty one."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        whole = spark.createDataFrame([], "value string")
     return parse_manifest(lines_of(whole, F.col("value")))
 
 

@@ -209,3 +209,39 @@ def test_build(spark, tmp_path):
     assert [list(r[0]) for r in ids.select(boundary.generate(boundary.ToyGenerator(), F.col("ids"), 2)).collect()] == [[3, 4], [101, 102], [1, 2]]
     with pytest.raises(ValueError, match="positive"):
         EngineConfig(seq_len=0)
+
+
+def test_render(spark):
+    """A frame per vector, a row per register; keys go along."""
+    from tessera.operators.boundary import render
+
+    class Steps:
+        def render(self, ids):
+            return [[i, i + 1] for i in ids]
+
+    programs = spark.createDataFrame([("a", [1, 2]), ("b", [])], "path string, ids array<long>")
+    got = sorted(tuple(r) for r in render(programs, Steps(), "path").collect())
+    assert got == [("a", 0, 0, 1), ("a", 0, 1, 2), ("a", 1, 0, 2), ("a", 1, 1, 3)]
+
+
+def test_missing_manifest_is_empty(spark, tmp_path):
+    from tessera.sources.text_sources import read_manifest
+
+    assert read_manifest(spark, str(tmp_path / "none.txt")).count() == 0
+    (tmp_path / "some.txt").write_text("a.sid  1\n")
+    assert [tuple(r)[1:] for r in read_manifest(spark, str(tmp_path / "some.txt")).collect()] == [("a.sid", 1)]
+
+
+def test_sample_exact(spark):
+    """The first n of the hash order, whichever group of it n ends in."""
+    import hashlib
+
+    from tessera.operators.sampling import sample_exact
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    order = sorted(range(1000), key=lambda i: md5(md5(f"{i}|4") + "1"))
+    rows = spark.range(1000).withColumnRenamed("id", "global_idx")
+    for fraction in (0, 0.0005, 0.31, 1, 2):
+        got = {r[0] for r in sample_exact(rows, fraction, seed=4, epoch=1).collect()}
+        assert got == set(order[: int(fraction * 1000)])
+    assert sample_exact(rows.where("global_idx < 0"), 0.5).count() == 0
