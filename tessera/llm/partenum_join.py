@@ -46,7 +46,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, slices, table
@@ -64,6 +64,8 @@ ROUNDS = 2
 BLOCK = 512
 BLOCK_ELEMENTS = 2_000_000
 BLOCK_BINS = 512
+#: Ids that a task links with their smallest at a time, about.
+LINKED = 500_000
 #: Rows of one key beyond which a join on it is salted.
 FAN = 256
 #: Words that a Python worker remembers the digests of; beyond that the cache starts anew.
@@ -330,18 +332,16 @@ def match(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def hubs_of(rows: DataFrame, *keys: str) -> list[DataFrame | None]:
-    """Of each key column (value, parts) of the values that more than FAN rows have, or None without any."""
-    degrees = [rows.groupBy(k).agg(F.count("*").alias("n")) for k in keys]
-    most = degrees[0].agg(F.max("n").alias("n0"))
-    for i, d in enumerate(degrees[1:], 1):
-        most = most.join(d.agg(F.max("n").alias(f"n{i}")))  # one row beside one row
-    return [listed_hubs(d) if (n or 0) > FAN else None for d, n in zip(degrees, most.first(), strict=True)]
+    """Of each key column (value, parts) of the values that more than FAN rows have, or None without any.
 
-
-def listed_hubs(degrees: DataFrame) -> DataFrame:
-    """(value, parts) of degrees (value, n), to be broadcast if their count allows."""
-    found = cut(degrees.where(F.col("n") > FAN).withColumn("parts", F.ceil(F.col("n") / FAN).cast("int")).drop("n"))
-    return F.broadcast(found) if found.count() <= BROADCAST else found
+    They hold for any part of rows as well: there they only deal out more than they must.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(k).alias("value")) for i, k in enumerate(keys)]))
+    degrees = rows.select(sides.alias("x")).groupBy("x.side", "x.value").agg(F.count("*").alias("n"))
+    found = cut(degrees.where(F.col("n") > FAN).select("side", "value", F.ceil(F.col("n") / FAN).cast("int").alias("parts")))
+    n = found.count()
+    small = F.broadcast(found) if n <= BROADCAST else found
+    return [small.where(F.col("side") == i).drop("side") if n else None for i in range(len(keys))]
 
 
 def beside(rows: DataFrame, key: str, other: DataFrame, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
@@ -349,7 +349,7 @@ def beside(rows: DataFrame, key: str, other: DataFrame, hubs: DataFrame | None,
     by a hash of the row, and its row of other goes to each of these."""
     if hubs is None:
         return rows.join(other, key, how)
-    parts = F.coalesce("parts", F.lit(1))
+    parts, hubs = F.coalesce("parts", F.lit(1)), hubs.withColumnRenamed("value", key)
     left = rows.join(hubs, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
     right = other.join(hubs, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return left.join(right, [key, "salt"], how).drop("salt")
@@ -391,9 +391,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("cls", "name", "n_shingles"), "name").drop("name").dropDuplicates(["cls"])
 
 
-def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compare_sets(pairs: DataFrame, sets: DataFrame, hubs: list) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
-    hubs = hubs_of(pairs, "a", "b")
     both = beside(pairs, "b", sets.select("cls", "elements").toDF("b", "eb"), hubs[1])
     both = beside(both, "a", sets.select("cls", "elements").toDF("a", "ea"), hubs[0])
 
@@ -409,40 +408,67 @@ def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(each, "a long, b long"))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, that connect what edges connects: within each run of LINKED ids of a
+    partition, every id is linked with the smallest that it reaches there, and named once as u."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = x = up.get(above, above)
+            return x
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+            if len(up) >= LINKED:
+                yield stars()
+                up.clear()
+        yield stars()
+
+    return edges.mapInArrow(each, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of the ends of links (a, b): the smallest id that each can reach.
 
-    Alternating large and small stars: every round hands neighbours to the smallest one nearby,
-    until each is linked with its component's smallest id alone.
+    Alternating large and small stars over contracted edges: every round hands neighbours to the
+    smallest one nearby, until each is linked with its component's smallest id alone.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(contracted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     while True:
-        # done when each id has one neighbour, which has none below it
-        below = edges.groupBy("u").agg(F.count("*").alias("n"))
-        further = edges.select("v").join(below.select(F.col("u").alias("v")), "v", "left_semi")
-        if below.where("n > 1").select("u").union(further).isEmpty():
-            break
         sides = edges.union(edges.select("v", "u"))
-        least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-        hubs = listed_hubs(least.select("u", "n")) if least.agg(F.max("n")).first()[0] > FAN else None
-        large = cut(beside(sides.where("v > u"), "u", least.select("u", "m"), hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()))
-
-
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), (F.min("v") < F.max("v")).alias("several"), F.count("*").alias("n")))
+        # done when each id but the smallest ones has one neighbour: then that is its component's smallest
+        going, hubs = least.agg(F.count_if((F.col("m") < F.col("u")) & F.col("several")), F.count_if(F.col("n") > FAN)).first()
+        if not going:
+            return cut(least.select(F.col("u").alias("id"), F.col("m").alias("component")))
+        listed = least.where(F.col("n") > FAN).select(F.col("u").alias("value"), F.ceil(F.col("n") / FAN).cast("int").alias("parts"))
+        listed = None if not hubs else F.broadcast(listed) if hubs <= BROADCAST else listed
+        large = beside(sides.where("v > u"), "u", least.select("u", "m"), listed).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # an id has at most a row for each partition that named it, so these windows stay small
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        edges = cut(contracted(small.where("u <> v")))
+
+
+def apart(pairs: DataFrame, found: DataFrame, hubs: list) -> DataFrame:
     """The pairs (a, b) that found (id, component) does not put together."""
-    hubs = hubs_of(pairs, "a", "b")
     both = beside(pairs, "a", found.toDF("a", "ca"), hubs[0], "left")
     both = beside(both, "b", found.toDF("b", "cb"), hubs[1], "left")
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of those among pairs."""
-    hubs = hubs_of(pairs, "a", "b")
+def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, hubs: list | None = None) -> DataFrame:
+    """Links (a, b) that span the components of those among pairs, whose hubs may be given."""
+    hubs = hubs or hubs_of(pairs, "a", "b")
     near = cut(screen(cut(screen(pairs, classes, "bins", hubs)), classes, "profile", hubs))
     if near.isEmpty():
         return near
@@ -450,15 +476,13 @@ def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = cut(classes.join(named, "cls").select("cls", "name", "doc_id", "n_shingles"))
     sets = cut(fetch_sets(docs, wanted))
     least = cut(near.groupBy("b").agg(F.min("a").alias("least")))
-    first = compare_sets(cut(least.select(F.col("least").alias("a"), "b")), sets)
+    first = compare_sets(least.select(F.col("least").alias("a"), "b"), sets, hubs)
     # pairs that their smallest partners, or those of these, put together are not compared
     once = first.select(F.col("b").alias("id"), F.col("a").alias("component"))
     twice = once.toDF("component", "further")
-    labels = cut(beside(once, "component", twice, hubs_of(once, "component")[0], "left").select("id", F.coalesce("further", "component").alias("component")))
-    other = cut(beside(near, "b", least, hubs_of(near, "b")[0]).where("a <> least").select("a", "b"))
-    if other.isEmpty():
-        return first
-    return cut(first.union(compare_sets(cut(apart(other, labels)), sets)))
+    labels = cut(beside(once, "component", twice, hubs[0], "left").select("id", F.coalesce("further", "component").alias("component")))
+    other = beside(near, "b", least, hubs[1]).where("a <> least").select("a", "b")
+    return first.union(compare_sets(cut(apart(other, labels, hubs)), sets, hubs))
 
 
 def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -605,9 +629,10 @@ def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
     found = None
     for some in (least.union(heads).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):
         some = cut(some)
-        some = some if found is None else cut(apart(some, found))
+        hubs = hubs_of(some, "a", "b")
+        some = some if found is None else cut(apart(some, found, hubs))
         if found is None or not some.isEmpty():
-            found = joined(found, link(some, classes, docs))
+            found = joined(found, link(some, classes, docs, hubs))
     found = settle(stars, found, classes, docs)
 
     row = F.struct("doc_id", "cls", "digest")
