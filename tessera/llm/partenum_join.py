@@ -338,10 +338,12 @@ def hubs_of(rows: DataFrame, *keys: str) -> list[DataFrame | None]:
     """
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(k).alias("value")) for i, k in enumerate(keys)]))
     degrees = rows.select(sides.alias("x")).groupBy("x.side", "x.value").agg(F.count("*").alias("n"))
-    found = cut(degrees.where(F.col("n") > FAN).select("side", "value", F.ceil(F.col("n") / FAN).cast("int").alias("parts")))
+    found = degrees.where(F.col("n") > FAN).select("side", "value", F.ceil(F.col("n") / FAN).cast("int").alias("parts"))
     n = found.count()
-    small = F.broadcast(found) if n <= BROADCAST else found
-    return [small.where(F.col("side") == i).drop("side") if n else None for i in range(len(keys))]
+    if not n:
+        return [None] * len(keys)
+    small = F.broadcast(cut(found, n)) if n <= BROADCAST else cut(found, n)
+    return [small.where(F.col("side") == i).drop("side") for i in range(len(keys))]
 
 
 def beside(rows: DataFrame, key: str, other: DataFrame, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
@@ -405,7 +407,7 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, hubs: list) -> DataFrame:
                 linked.append(100 * common >= 75 * (len(p) + len(q) - common))
             yield x.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return cut(both.mapInArrow(each, "a long, b long"))
+    return both.mapInArrow(each, "a long, b long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -428,7 +430,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 u, v = root(u), root(v)
                 if u != v:
                     up[max(u, v)] = min(u, v)
-            if len(up) >= LINKED:
+            if len(up) > LINKED:
                 yield stars()
                 up.clear()
         yield stars()
@@ -437,13 +439,21 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of the ends of links (a, b): the smallest id that each can reach.
+    """(id, component) of the ends of links (a, b): the smallest id that each can reach; ids that
+    are this themselves may be missing.
 
     Alternating large and small stars over contracted edges: every round hands neighbours to the
-    smallest one nearby, until each is linked with its component's smallest id alone.
+    smallest one nearby, until each is linked with its component's smallest id alone. As soon as
+    no more edges are left than one task contracts at a time anyway, one finishes them.
     """
-    edges = cut(contracted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    edges, contract = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), True
     while True:
+        if (n := edges.count()) <= LINKED:
+            done = cut(contracted(edges.coalesce(1)), n)
+            return done.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        if contract:
+            edges, contract = cut(contracted(edges)), False
+            continue
         sides = edges.union(edges.select("v", "u"))
         least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), (F.min("v") < F.max("v")).alias("several"), F.count("*").alias("n")))
         # done when each id but the smallest ones has one neighbour: then that is its component's smallest
@@ -468,21 +478,24 @@ def apart(pairs: DataFrame, found: DataFrame, hubs: list) -> DataFrame:
 
 def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, hubs: list | None = None) -> DataFrame:
     """Links (a, b) that span the components of those among pairs, whose hubs may be given."""
-    hubs = hubs or hubs_of(pairs, "a", "b")
-    near = cut(screen(cut(screen(pairs, classes, "bins", hubs)), classes, "profile", hubs))
-    if near.isEmpty():
+    hubs, n = hubs or hubs_of(pairs, "a", "b"), pairs.count()
+    near = cut(screen(screen(pairs, classes, "bins", hubs), classes, "profile", hubs), n)
+    n = near.count()
+    if not n:
         return near
     named = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
-    wanted = cut(classes.join(named, "cls").select("cls", "name", "doc_id", "n_shingles"))
+    wanted = cut(classes.join(named, "cls").select("cls", "name", "doc_id", "n_shingles"), 2 * n)
     sets = cut(fetch_sets(docs, wanted))
-    least = cut(near.groupBy("b").agg(F.min("a").alias("least")))
-    first = compare_sets(least.select(F.col("least").alias("a"), "b"), sets, hubs)
+    least = cut(near.groupBy("b").agg(F.min("a").alias("least")), n)
+    first = cut(compare_sets(least.select(F.col("least").alias("a"), "b"), sets, hubs), n)
     # pairs that their smallest partners, or those of these, put together are not compared
     once = first.select(F.col("b").alias("id"), F.col("a").alias("component"))
     twice = once.toDF("component", "further")
-    labels = cut(beside(once, "component", twice, hubs[0], "left").select("id", F.coalesce("further", "component").alias("component")))
+    labels = cut(beside(once, "component", twice, hubs[0], "left").select("id", F.coalesce("further", "component").alias("component")), n)
     other = beside(near, "b", least, hubs[1]).where("a <> least").select("a", "b")
-    return first.union(compare_sets(cut(apart(other, labels, hubs)), sets, hubs))
+    other = cut(apart(other, labels, hubs), n)
+    m = other.count()
+    return first.union(cut(compare_sets(other, sets, hubs), m)) if m else first
 
 
 def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -545,13 +558,14 @@ def settle(stars: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFra
     if stars.isEmpty():
         return found
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = cut(stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct())
-    before, turn = None, 0
+    members = stars.select("a", F.col("b").alias("cls")).union(stars.select("a", F.col("a").alias("cls"))).distinct()
+    n, before, turn = 2 * stars.count(), None, 0
+    members = cut(members, n)
     while True:
-        placed = cut(members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("a", "cls", F.coalesce("component", "cls").alias("c")))
+        placed = cut(members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("a", "cls", F.coalesce("component", "cls").alias("c")), n)
         sizes = placed.groupBy("a", "c").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("a").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count("*").alias("k")).where("k > 1")
-        open_ = cut(placed.join(mixed.drop("k"), "a"))
+        open_ = cut(placed.join(mixed.drop("k"), "a"), n)
         outside = open_.where("c <> largest").count()
         if not outside:
             return found
@@ -560,7 +574,7 @@ def settle(stars: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFra
         own = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
         chosen = open_.where("c = largest").groupBy("a").agg(F.min(own)["cls"].alias("next"))
         pairs = open_.where("c <> largest").join(chosen, "a").select(F.least("next", "cls").alias("a"), F.greatest("next", "cls").alias("b"))
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), n)
         found = joined(found, link(pairs, classes, docs))
         tested, before, turn = tested.union(pairs), outside, turn + 1
 
@@ -572,10 +586,11 @@ def tell_apart(described: DataFrame, classes: DataFrame) -> tuple[DataFrame, Dat
     Among very many classes a few pairs agree in the first bits of their names. These get another
     number, which is tried until it is free.
     """
-    shared = cut(classes.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"))
+    shared = classes.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
     n = shared.count()
     if not n:
         return described, classes, None
+    shared = cut(shared, n)
     twins = cut(classes.join(F.broadcast(shared) if n <= BROADCAST else shared, "cls").select("name", F.col("cls").alias("was")))
     for seed in count():
         renamed = cut(twins.withColumn("cls", F.xxhash64("name", F.lit(seed))))
@@ -615,30 +630,31 @@ def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
     hot = cut(matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit")).distinct())
     lost = hot.groupBy("cls", "bit").agg(F.count("*").alias("lost"))
     spare = F.when(F.col("bit") == F.col("parity"), F.col("spare0")).otherwise(F.col("spare1"))
-    bound = cut(lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit"))
-    members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls"))
-    firsts = lambda df: cut(df.groupBy("gid").agg(F.min("cls").alias("a")))
+    bound = lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit")
+    members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls"), hot.count())
+    firsts = lambda df: df.groupBy("gid").agg(F.min("cls").alias("a"))
     star_of = lambda df: beside(df, "gid", firsts(df), hubs_of(df, "gid")[0]).where("cls <> a").select("a", F.col("cls").alias("b"))
-    stars = cut(star_of(members).distinct())
+    stars = cut(star_of(members).distinct(), members.count())
 
     # first a pair or two of each class: with its smallest star and with the first of its hot groups;
     # then the other stars, then the other pairs, each only where they are in different components
-    star = cut(pairs.where("kind = 0").select("a", "b").union(stars).distinct())
+    n = matched.count()
+    star = cut(pairs.where("kind = 0").select("a", "b").union(stars).distinct(), n)
     heads = star_of(hot.select("gid", "cls")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     least = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = None
     for some in (least.union(heads).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):
-        some = cut(some)
+        some = cut(some, n)
         hubs = hubs_of(some, "a", "b")
-        some = some if found is None else cut(apart(some, found, hubs))
+        some = some if found is None else cut(apart(some, found, hubs), n)
         if found is None or not some.isEmpty():
             found = joined(found, link(some, classes, docs, hubs))
     found = settle(stars, found, classes, docs)
 
     row = F.struct("doc_id", "cls", "digest")
     named = cut(classes.select("cls", row.alias("row")).join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "row", F.coalesce("component", "cls").alias("c")))
-    smallest = cut(named.groupBy("c").agg(F.min("row").alias("first")))
-    groups = cut(beside(named, "c", smallest, hubs_of(named, "c")[0]).select("cls", "first"))
+    smallest = named.groupBy("c").agg(F.min("row").alias("first"))
+    groups = beside(named, "c", smallest, hubs_of(named, "c")[0]).select("cls", "first")
     rows = beside(described.select("doc_id", "digest", "n_shingles", "cls"), "cls", groups, hubs_of(described, "cls")[0], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than these white space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a file of a small table may have, about.
+FILE_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost
-    executor costs a re-read and not the work before, and statistics are exact."""
+    executor costs a re-read and not the work before, and statistics are exact.
+
+    Where at most so many (narrow) rows are known to come, they are dealt to no more files than
+    these call for, after all other work on them.
+    """
+    if rows is not None and 1 + rows // FILE_ROWS < partitions(df.sparkSession):
+        df = df.repartition(1 + rows // FILE_ROWS)
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
