@@ -230,6 +230,20 @@ def test_op9(spark, hot, bits, monkeypatch):
     assert got == components(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("linked", [2, 50, 500_000])
+def test_components_beyond_one_contraction(spark, linked, monkeypatch):
+    from tessera.llm import partenum_join
+
+    monkeypatch.setattr(partenum_join, "LINKED", linked)
+    chain = [(i, i + 1) for i in range(30)]
+    links = chain + [(100, i) for i in range(101, 130)] + [(201, 200), (200, 201), (5, 5)]
+    found = partenum_join.components(spark.createDataFrame(links, "a long, b long").repartition(5))
+    expected = {i: 0 for i in range(31)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert {i: got.get(i, i) for i in expected} == expected
+    assert got.keys() <= expected.keys()
+
+
 def test_op9_words_are_told_apart(spark):
     """A word and its complement of the Thue-Morse sequence agree under any sum of powers modulo 2^64."""
     from tessera.llm import partenum_join
