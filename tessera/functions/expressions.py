@@ -102,6 +102,29 @@ def top_k(logits: Column, k: int, temperature: float = 1.0) -> Column:
     return F.transform(best, lambda x: F.struct((-x["i"]).cast("int").alias("id"), (weight(x) / total).alias("p")))
 
 
+def choose_token(logits: Column, temperature: float, *key: Column, k: int | None = None, seed: int = 0) -> Column:
+    """The id that is drawn from the softmax of logits at the temperature, among the k largest (the
+    first of equal ones first; all, if not given). At temperature 0 it is the first largest.
+
+    To each logit is added noise (Gumbel's) from a hash of key, seed and id, and the largest sum is taken;
+    so the choice is the same anywhere, and as random as the hash. key should tell rows and steps apart.
+    """
+    if temperature < 0:
+        raise ValueError("the temperature must not be negative")
+    if temperature == 0 or k == 1:
+        return argmax(logits)
+    ranked = F.transform(logits, lambda v, i: F.struct(v.cast("double").alias("v"), (-i).alias("i")))
+    best = F.slice(F.sort_array(ranked, asc=False), 1, k) if k else ranked
+    name = F.concat_ws("|", *(c.cast("string") for c in key), F.lit(str(seed)))
+
+    def noise(i: Column) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat_ws("|", name, i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double")
+        return -F.log(-F.log((number + 0.5) / F.lit(2.0**32)))
+
+    summed = F.transform(best, lambda x: F.struct((x["v"] / temperature + noise(-x["i"])).alias("s"), x["i"].alias("i")))
+    return (-F.array_max(summed)["i"]).cast("int")
+
+
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
     """-log softmax at target, with the largest logit taken off first; smoothing spreads that
     share of the target over all classes."""

@@ -15,17 +15,18 @@ FILES = 4096
 PREFIX = 4
 
 
-def running(rows: DataFrame, cell: Column, order: list, value: str, out: str) -> DataFrame:
-    """rows with column out: the sum of value over all rows before, by cell and then by order.
+def running(rows: DataFrame, cell: Column, order: list, value: str, out: str, *keys: str) -> DataFrame:
+    """rows with column out: per keys (none: over all), the sum of value over all rows before, by cell
+    and then by order. Keys and cells are not null.
 
-    Sums are taken per cell first; only these, one row a cell, pass a single task.
+    Sums are taken per cell first; only these, one row a cell, pass a single task per keys.
     """
     marked = rows.withColumn("_cell", cell)
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = marked.groupBy("_cell").agg(F.sum(value).alias("_s")).select("_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_f"))
-    within = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = marked.groupBy(*keys, "_cell").agg(F.sum(value).alias("_s")).select(*keys, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_f"))
+    within = Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = marked.withColumn("_w", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return summed.join(firsts, "_cell").withColumn(out, (F.col("_f") + F.col("_w")).cast("long")).drop("_cell", "_s", "_f", "_w")
+    return summed.join(firsts, [*keys, "_cell"]).withColumn(out, (F.col("_f") + F.col("_w")).cast("long")).drop("_cell", "_s", "_f", "_w")
 
 
 def build_index(counts: DataFrame, order: str = "file_ord") -> DataFrame:
@@ -35,9 +36,31 @@ def build_index(counts: DataFrame, order: str = "file_ord") -> DataFrame:
     return running(counts.where(F.col("n") > 0), cell, [order], "n", "cum")
 
 
-def with_global_index(blocks: DataFrame, index: DataFrame, on: str = "file_ord") -> DataFrame:
-    """blocks with global_idx, carried along instead of looked up later."""
-    return blocks.join(index.select(on, "cum"), on).withColumn("global_idx", F.col("cum") + F.col("block_idx")).drop("cum")
+def split_index(files: DataFrame, mention: str = "mention", line: str = "line_no") -> DataFrame:
+    """files (split, mention, line_no, n, ...) with cum, the blocks of the same split before, in the
+    order of mention (the place of the manifest that names the file among all) and line.
+
+    Each split has numbers of its own from 0 on. Files without blocks don't count, and so neither do
+    splits without any.
+    """
+    cell = F.struct(F.col(mention).alias("m"), F.floor(F.col(line) / FILES).cast("long").alias("l"))
+    return running(files.where(F.col("n") > 0), cell, [mention, line], "n", "cum", "split")
+
+
+def loaders(index: DataFrame, batch_size: int, train: str = "train") -> DataFrame:
+    """(loader, split, n_blocks, n_batches) of split_index: a row per split that has blocks, the training
+    split first and then by first mention. Splits are few; only a row of each passes one task."""
+    size = F.lit(batch_size)
+    per = index.groupBy("split").agg(F.min("split_ord").alias("_o"), F.sum("n").alias("n_blocks"))
+    place = F.row_number().over(Window.orderBy(F.col("split") != train, "_o")) - 1
+    return per.select(place.cast("int").alias("loader"), "split", "n_blocks", F.ceil(F.col("n_blocks") / size).cast("long").alias("n_batches"))
+
+
+def with_global_index(blocks: DataFrame, index: DataFrame, *on: str) -> DataFrame:
+    """blocks with global_idx, carried along instead of looked up later; on names what tells files
+    apart (file_ord, if nothing is named)."""
+    on = on or ("file_ord",)
+    return blocks.join(index.select(*on, "cum"), list(on)).withColumn("global_idx", F.col("cum") + F.col("block_idx")).drop("cum")
 
 
 #: Index entries per cell of the lookup.

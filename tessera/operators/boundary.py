@@ -37,7 +37,8 @@ class Renderer(Protocol):
 
 def recover(entries: DataFrame, codec: Codec) -> DataFrame:
     """entries (content, subtune, frames, ...) with ids, model ids from 1 on, and error in place of
-    content: an entry that the codec refuses is skipped with its reason and does not fail the job."""
+    content: an entry that the codec refuses is skipped with its reason and does not fail the job. An
+    entry without content is not tried and has neither."""
     rest = [f for f in entries.schema if f.name != "content"]
     schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())])
 
@@ -45,6 +46,10 @@ def recover(entries: DataFrame, codec: Codec) -> DataFrame:
         for frame in frames:
             ids, errors = [], []
             for content, subtune, n in zip(frame["content"], frame["subtune"], frame["frames"], strict=True):
+                if content is None:
+                    ids.append(None)
+                    errors.append(None)
+                    continue
                 try:
                     ids.append([i + 1 for i in codec.encode(content, int(subtune), int(n))])
                     errors.append(None)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def masked_mean(v: Column, y: Column) -> Column:
     """The mean of v where y is no padding; 0 where all is."""
@@ -36,6 +40,14 @@ def micro_macro(partials: DataFrame, split: str = "split") -> DataFrame:
     )
 
 
+def epoch_scores(partials: DataFrame, split: str = "split") -> DataFrame:
+    """One row, what an epoch is judged by: val_loss and val_acc are the token-weighted means over all
+    subsets, or, of a single subset, the plain means of its batches' means."""
+    several = F.min(split) != F.max(split)
+    of = lambda c: F.when(several, F.sum(c) / F.sum("tok_sum")).otherwise(F.avg(F.col(c) / F.col("tok_sum")))
+    return partials.agg(of("loss_sum").alias("val_loss"), of("correct_sum").alias("val_acc"))
+
+
 def micro_rollup(partials: DataFrame, split: str = "split") -> DataFrame:
     """Subsets and the total in one pass; the total's split is null."""
     return partials.rollup(split).agg(F.sum("loss_sum").alias("loss_sum"), F.sum("correct_sum").alias("correct_sum"), F.sum("tok_sum").alias("tok_sum"))
@@ -69,16 +81,35 @@ def best_epoch(history: DataFrame, metric: str = "val_loss", epoch: str = "epoch
     return history.groupBy(*keys).agg(F.min(F.struct(metric, epoch)).alias("b")).select(*keys, f"b.{epoch}", f"b.{metric}")
 
 
-def early_stop(history: DataFrame, metric: str, epoch: str, patience: int, min_delta: float, *keys: str) -> DataFrame:
-    """history with best (the least metric so far) and stop: no gain over min_delta for patience epochs."""
-    from pyspark.sql import Window
+def early_stop(history: DataFrame, metric: str, epoch: str, patience: int, min_delta: float, *keys: str, threshold: float | None = None) -> DataFrame:
+    """history with best, wait, reason, stop and ran, for a metric that should fall, checked epoch by epoch.
 
-    so_far = Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    gain = F.coalesce(F.col(metric) < F.min(metric).over(before) - min_delta, F.lit(True))
-    rows = history.withColumn("best", F.min(metric).over(so_far)).withColumn("_gain", gain)
-    last = F.max(F.when(F.col("_gain"), F.col(epoch))).over(so_far)
-    return rows.withColumn("stop", F.col(epoch) - last >= patience).drop("_gain")
+    The best moves only where a gain is accepted, that is, where metric + min_delta is below it; so slow
+    steady progress adds up until it counts. wait is the number of checks since, and patience bounds it: checks count, not epoch numbers.
+    reason says why training stops: `not finite` (null too), `threshold` (below it, if there is one) or
+    `patience`, tried in this order; the first two leave best and wait as they are. Training ends with
+    the first stop, and ran is false in the rows after it, which repeat the last best and wait.
+    """
+    if patience < 1 or min_delta < 0:
+        raise ValueError("patience must be positive and min_delta not negative")
+
+    def step(state: tuple, value: float | None) -> tuple:
+        best, wait, over = state
+        reason = None
+        if over:
+            return state, (best, wait, None, False, False)
+        if value is None or not math.isfinite(value):
+            reason = "not finite"
+        elif threshold is not None and value < threshold:
+            reason = "threshold"
+        elif best is None or value + min_delta < best:
+            best, wait = float(value), 0
+        else:
+            wait += 1
+            reason = "patience" if wait >= patience else None
+        return (best, wait, reason is not None), (best, wait, reason, reason is not None, True)
+
+    return ordered_fold(history, list(keys), [epoch], lambda: (None, 0, False), step, [metric], "best double, wait int, reason string, stop boolean, ran boolean")
 
 
 def gate_report(scored: DataFrame, min_acc: float, grammar_min: float) -> DataFrame:

@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 from .block_index import PREFIX, lookup, seeded_key
 
 
+def _orders(rows: DataFrame, times: int, key: str, seed: int, epoch: int) -> DataFrame:
+    """Each row once for each of so many orders: _p numbers the order, _k is the row's hash in it and
+    _g the first characters of the hash. The first order's hash doesn't depend on how many there are."""
+    orders = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    which = F.concat(F.lit(str(epoch)), F.when(F.col("_p") > 0, F.concat(F.lit("|"), F.col("_p").cast("string"))).otherwise(F.lit("")))
+    keyed = orders.withColumn("_k", F.md5(F.concat(seeded_key(seed, key), which).cast("binary")))
+    return keyed.withColumn("_g", F.substring("_k", 1, PREFIX))
+
+
 def sample_exact(rows: DataFrame, fraction: float, key: str = "global_idx", seed: int = 0, epoch: int = 0) -> DataFrame:
-    """int(fraction * rows) rows without replacement, fewer than one being none: the first ones in
-    the order of a hash. A fraction over 1 takes all.
+    """int(fraction * rows) draws, in an order: rows with draw, from 0 on without gaps.
+
+    Draws go through all rows in one order, then in another, and so on, and end within an order; so up
+    to a fraction of 1 nothing comes twice, and at 2 each row comes twice. Fewer than one is none. An
+    order is that of a seeded hash, the same anywhere; rows of one key and hash follow in any order.
 
-    Rows are counted by the first characters of the hash; groups before the one where the number is
-    reached are taken whole, and only that one is sorted.
+    Rows are counted by the first characters of the hash. Of the last order, only the groups before the
+    end are sorted; only counts, one a group, pass one task per order.
     """
-    keyed = rows.withColumn("_k", F.md5(F.concat(seeded_key(seed, key), F.lit(str(epoch))).cast("binary"))).withColumn("_g", F.substring("_k", 1, PREFIX))
-    sizes = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(fraction)).cast("long")
-    groups = sizes.select("_g", "_n", wanted.alias("_want"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).where("_before < _want")
-    near = keyed.join(groups, "_g")
-    whole = near.where("_before + _n <= _want").select(*rows.columns)
-    place = F.row_number().over(Window.partitionBy("_g").orderBy("_k", key))
-    rest = near.where("_before + _n > _want").withColumn("_i", place).where("_i <= _want - _before").select(*rows.columns)
-    return whole.union(rest)
+    if fraction < 0:
+        raise ValueError("the fraction must not be negative")
+    n = rows.count()
+    total = int(fraction * n)
+    if not total:
+        return rows.withColumn("draw", F.lit(0).cast("long")).where(F.lit(False))
+    keyed = _orders(rows, -(-total // n), key, seed, epoch)
+    sizes = keyed.groupBy("_p", "_g").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_p").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_p") * F.lit(n).cast("long") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    groups = sizes.select("_p", "_g", first.alias("_first")).where(F.col("_first") < total)
+    place = F.row_number().over(Window.partitionBy("_p", "_g").orderBy("_k", key)) - 1
+    drawn = keyed.join(groups, ["_p", "_g"]).withColumn("draw", (F.col("_first") + place).cast("long"))
+    return drawn.where(F.col("draw") < total).select(*rows.columns, "draw")
 
 
 def draws(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
@@ -40,14 +56,15 @@ def sample_with_replacement(blocks: DataFrame, index: DataFrame, n: int, seed: i
     return lookup(draws(blocks, n, total, seed), index)
 
 
-def batches(rows: DataFrame, size: int, order: str = "global_idx", value: str | None = None) -> DataFrame:
-    """(batch, members): rows in the order of a dense number, size at a time; the last may be short.
+def batches(rows: DataFrame, size: int, order: str = "global_idx", *values: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, batch, members): rows in the order of a dense number, size at a time; the last may be short.
 
-    The number itself gives the batch, so no global sort is needed.
+    With keys (a split, say) each has numbers and batches of its own, and none straddles two. members
+    are structs of the number and of values. The number itself gives the batch, so no global sort is
+    needed, and a group is never more than size rows.
     """
-    member = F.struct(order, *([value] if value else []))
-    grouped = rows.groupBy(F.floor(F.col(order) / size).cast("long").alias("batch")).agg(F.sort_array(F.collect_list(member)).alias("members"))
-    return grouped
+    batch = F.floor(F.col(order) / size).cast("long").alias("batch")
+    return rows.groupBy(*keys, batch).agg(F.sort_array(F.collect_list(F.struct(order, *values))).alias("members"))
 
 
 def fan_out(rows: DataFrame, times: int) -> DataFrame:

@@ -20,11 +20,13 @@ def limit_entries(entries: DataFrame, n: int, order: str = "line_no") -> DataFra
     return entries.orderBy(order).limit(max(0, total + n))
 
 
-def union_splits(splits: list[tuple[str, DataFrame]]) -> DataFrame:
-    """All rows of all splits, duplicates too, with split and split_ord, the place of the split's
-    first mention; a split named again, or `train` among the evaluations, adds to the first."""
+def union_splits(splits: list[tuple[str, DataFrame]], mentions: bool = False) -> DataFrame:
+    """All rows of all splits, duplicates too, with split, split_ord, the place of the split's first
+    mention, and, if asked for, mention, the place of this one; a split named again, or `train` among
+    the evaluations, adds to the first."""
     order = {name: i for i, name in reversed(list(enumerate(dict.fromkeys(n for n, _ in splits))))}
-    parts = [df.withColumn("split", F.lit(n)).withColumn("split_ord", F.lit(order[n])) for n, df in splits]
+    named = lambda i, n: {"split": F.lit(n), "split_ord": F.lit(order[n])} | ({"mention": F.lit(i)} if mentions else {})
+    parts = [df.withColumns(named(i, n)) for i, (n, df) in enumerate(splits)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -18,14 +18,20 @@ def window_count(length: Column, seq_len: int, stride: int) -> Column:
 def windows(df: DataFrame, ids: str, seq_len: int, stride: int | None = None) -> DataFrame:
     """df with block_idx and block in place of ids: a row per window of seq_len + 1 tokens.
 
-    The array is sliced after the explode of indexes, all within a row's own stage; no shuffle.
+    The array is sliced after the explode of indexes, all within a row's own stage; no shuffle. A
+    stream without windows has a null index, which the explode drops: a filter would be pushed below
+    what makes the tokens, and make them twice.
     """
     step, width = stride or seq_len, seq_len + 1
     n = window_count(F.size(ids), seq_len, step)
-    rows = df.where(n > 0).withColumn("block_idx", F.explode(F.sequence(F.lit(0), n - 1)))
-    part = F.slice(F.col(ids), F.col("block_idx") * step + 1, F.lit(width))
-    padded = F.concat(part, F.array_repeat(F.lit(0), F.lit(width) - F.size(part)))
-    return rows.withColumn("block", padded).withColumn("block_idx", F.col("block_idx").cast("long")).drop(ids)
+    rows = df.withColumn("block_idx", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return rows.withColumn("block", window_at(ids, F.col("block_idx"), step, width)).withColumn("block_idx", F.col("block_idx").cast("long")).drop(ids)
+
+
+def window_at(ids: str, block_idx: Column, step: int, width: int) -> Column:
+    """The window of that index, padded at its end."""
+    part = F.slice(F.col(ids), block_idx.cast("int") * step + 1, F.lit(width))
+    return F.concat(part, F.array_repeat(F.lit(0), F.lit(width) - F.size(part)))
 
 
 def toy_tokens(text: Column, vocab: int) -> Column:

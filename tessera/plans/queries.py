@@ -6,14 +6,17 @@ rules that SQL can state as well; sql.py has the same in SQL.
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
+from ..functions import bfloat16
 from ..functions import expressions as X
-from ..operators import block_index, change_log, choose, metrics, prompts, sampling, splits, windowing
-from ..sources import block_store, text_sources
+from ..operators import block_index, build, change_log, choose, metrics, prompts, sampling, splits, windowing
+from ..sources import block_store, file_scan, item_store, npy_blocks, shuffled_store, text_sources
 
 VOCAB = 256
 #: Window length and strides of the queries.
@@ -228,6 +231,79 @@ def block_store_roundtrip(spark, sf_dir):
     return block_store.read_blocks(spark, path, SEQ, SEQ).select("sid", "block_idx", joined("block").alias("block"))
 
 
+class WordLengths:
+    """The stand-in codec on bytes: a word's program id is its length; it refuses a source with a `$`."""
+
+    def encode(self, content: bytes, subtune: int, frames: int) -> list[int]:
+        text = content.decode()
+        if "$" in text:
+            raise ValueError("no driver matches")
+        return [len(w) % VOCAB for w in re.findall(r"[^\x20\x09-\x0D]+", text)][:frames]
+
+    def decodes(self, ids: list[int]) -> bool:
+        return bool(ids)
+
+
+def _manifests(spark, sf_dir) -> list[tuple[str, DataFrame]]:
+    """A manifest per language; some sources are missing, some subtunes have no time."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.when(F.col("doc_id") % 17 != 0, F.col("text").cast("binary"))
+    rows = docs.select("lang", F.col("doc_id").alias("line_no"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".sid")).alias("sid"), (F.col("doc_id") % 4).cast("int").alias("subtune"), content.alias("content"))
+    return [(split, rows.where(F.col("lang") == lang).drop("lang")) for split, lang in (("train", "en"), ("eval-de", "de"), ("eval-x", "fr"), ("eval-x", "es"))]
+
+
+def _built(spark, sf_dir, *when: Column) -> tuple[item_store.ItemStore, DataFrame]:
+    """The store after a build of the entries for which each of when holds, one after the other; the last counts."""
+    store, durations = item_store.ItemStore(spark, scratch(spark)), written(_durations(spark, sf_dir))
+    cfg, counts = EngineConfig(seq_len=SEQ, max_files=0), None
+    for own in when:
+        counts = build.build_store([(split, rows.where(own)) for split, rows in _manifests(spark, sf_dir)], durations, WordLengths(), cfg, store)
+    return store, counts
+
+
+def build_counts(spark, sf_dir):
+    """What a build kept and skipped, observed in the pass that wrote it."""
+    return _built(spark, sf_dir, F.lit(True))[1]
+
+
+def build_blocks(spark, sf_dir):
+    """The blocks that a build stored."""
+    rows = _built(spark, sf_dir, F.lit(True))[0].blocks(SEQ, SEQ)
+    return rows.select("split", "sid", "subtune", "block_idx", joined("block").alias("block"))
+
+
+def build_items(spark, sf_dir):
+    """The items after a build of some entries, then one of all: what the first has is not built again."""
+    store, counts = _built(spark, sf_dir, F.col("line_no") % 3 == 0, F.lit(True))
+    return store.items().select("split", "sid", "status", "reason", "n_blocks", "build")
+
+
+def build_counts_again(spark, sf_dir):
+    """The second build's counts: what is stored counts, too."""
+    return _built(spark, sf_dir, F.col("line_no") % 3 == 0, F.lit(True))[1]
+
+
+def _npy(spark, sf_dir) -> DataFrame:
+    """Files of blocks, one a document, and the manifest of all documents: some name no file."""
+    base = scratch(spark)
+    name = F.concat(F.lit(f"{base}/"), "source", F.lit("/"), X.block_path(F.concat(F.col("doc_id").cast("string"), F.lit(".sid")), F.lit(1)))
+    rows = blocks(spark, sf_dir)
+    npy_blocks.write_npy(rows.where("doc_id % 5 <> 0").withColumn("path", name), SEQ)
+    return written(file_scan.file_sizes(table(spark, sf_dir, "documents").select("doc_id", name.alias("path"))))
+
+
+def npy_roundtrip(spark, sf_dir):
+    """Blocks written as `.npy` files and read again by ranges of rows."""
+    counted = npy_blocks.npy_counts(_npy(spark, sf_dir), SEQ)
+    return npy_blocks.read_npy(counted, SEQ, range_bytes=4096).select("doc_id", "block_idx", joined("block").alias("block"))
+
+
+def scan_manifest(spark, sf_dir):
+    """The files that a manifest names, hashed; missing ones with their reason."""
+    rows = file_scan.scan_files(_npy(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", "size", F.length("content").cast("long").alias("read"), F.md5("content").eqNullSafe(F.col("content_md5")).alias("same"), "missing")
+
+
 def block_counts(spark, sf_dir):
     return block_index.block_counts(blocks(spark, sf_dir), "doc_id")
 
@@ -260,6 +336,59 @@ def sample_exact_n(spark, sf_dir):
     return block_index.lookup(drawn, index, on="global_idx").select("global_idx", "file_ord", "block_idx")
 
 
+def sample_passes(spark, sf_dir):
+    """A fraction over 1: two whole passes in orders of their own and a part of a third, in batches."""
+    index = index_of(spark, sf_dir)
+    numbers = spark.range(index.agg(F.sum("n")).first()[0] or 0).select(F.col("id").alias("global_idx"))
+    drawn = sampling.sample_exact(numbers, 2.3, seed=5, epoch=2)
+    return sampling.batches(drawn, 8, "draw", "global_idx").select("batch", joined(F.transform("members", lambda m: m["global_idx"])).alias("members"))
+
+
+def _sampled(spark, sf_dir) -> DataFrame:
+    rows = numbered(spark, sf_dir).select("global_idx", "block")
+    total = index_of(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
+    path = scratch(spark)
+    shuffled_store.write_shuffled(rows, path, total, seed=7, files=8)
+    return shuffled_store.fetch(spark, path, 0.05, seed=7, epoch=3)
+
+
+def sampled_blocks(spark, sf_dir):
+    """A sample from the store in seeded order: only its range of places is read."""
+    return _sampled(spark, sf_dir).select("draw", "global_idx", joined("x").alias("x"), joined("y").alias("y"))
+
+
+def sampled_batches(spark, sf_dir):
+    """The same sample in batches of inputs and targets."""
+    made = sampling.batches(_sampled(spark, sf_dir), 8, "draw", "x", "y")
+    return made.select("batch", F.size("members").cast("long").alias("n"), *(joined(F.flatten(F.col(f"members.{c}"))).alias(c) for c in ("x", "y")))
+
+
+def _split_files(spark, sf_dir) -> DataFrame:
+    """Files of several manifests: one split is named twice, one has no file."""
+    rows = written(tokens(spark, sf_dir).select("doc_id", "lang", windowing.window_count(F.size("ids"), SEQ, SEQ).cast("long").alias("n")))
+    parts = [("eval-fr", "fr"), ("train", "en"), ("eval-de", "de"), ("none", "xx"), ("eval-fr", "es"), ("eval-de", "de")]
+    return splits.union_splits([(name, rows.where(F.col("lang") == lang).withColumnRenamed("doc_id", "line_no")) for name, lang in parts], mentions=True)
+
+
+def split_index(spark, sf_dir):
+    return block_index.split_index(_split_files(spark, sf_dir)).select("split", "mention", "line_no", "n", "cum")
+
+
+def split_loaders(spark, sf_dir):
+    return block_index.loaders(block_index.split_index(_split_files(spark, sf_dir)), 8)
+
+
+def split_batches(spark, sf_dir):
+    """Batches of each split's blocks in its own numbers."""
+    index = written(block_index.split_index(_split_files(spark, sf_dir)))
+    rows = blocks(spark, sf_dir).select(F.col("doc_id").alias("line_no"), "block_idx", "block")
+    places = index.select("split", "mention", "line_no", "cum")
+    numbered_rows = rows.join(places, "line_no").withColumn("global_idx", F.col("cum") + F.col("block_idx"))
+    made = sampling.batches(numbered_rows, 8, "global_idx", "line_no", "block", keys=("split",))
+    first = F.transform("members", lambda m: F.concat_ws(":", m["line_no"].cast("string"), m["block"][0].cast("string")))
+    return made.select("split", "batch", F.size("members").cast("long").alias("n"), joined(first).alias("members"))
+
+
 def sample_with_replacement(spark, sf_dir):
     index = index_of(spark, sf_dir)
     return sampling.sample_with_replacement(blocks(spark, sf_dir), index, 500, seed=9)
@@ -342,6 +471,19 @@ def top_k(spark, sf_dir):
     return best.select("vec_id", joined(F.transform("best", lambda x: x["id"])).alias("ids"), F.round(F.get("best", F.lit(0))["p"], 6).alias("p"))
 
 
+def choose_token(spark, sf_dir):
+    """Two steps of tokens drawn at a temperature, from all ids and from the three largest."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    key = (F.col("vec_id"), F.col("step"))
+    return rows.select("vec_id", "step", X.choose_token(F.col("embedding"), 0.8, *key, seed=4).alias("any"), X.choose_token(F.col("embedding"), 0.8, *key, k=3, seed=4).alias("of_three"))
+
+
+def narrow_bfloat16(spark, sf_dir):
+    """Vectors as the 16 bits of bfloat16."""
+    rows = bfloat16.narrow_bfloat16(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"], as_bits=True)
+    return rows.select("vec_id", joined("embedding").alias("bits"))
+
+
 def cross_entropy(spark, sf_dir):
     at = (F.col("label") % F.size("embedding")).cast("int")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(X.cross_entropy(F.col("embedding").cast("array<double>"), at), 6).alias("loss"), F.round(X.cross_entropy(F.col("embedding").cast("array<double>"), at, 0.1), 6).alias("smoothed"))
@@ -384,6 +526,20 @@ def early_stop(spark, sf_dir):
     return metrics.early_stop(_history(spark, sf_dir), "val_loss", "epoch", 3, 1.0, "split")
 
 
+def early_stop_threshold(spark, sf_dir):
+    """A falling loss per customer, checked order by order, with a threshold."""
+    loss = (F.lit(100) - F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))) * 4 + F.col("o_orderkey") % 11
+    history = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", loss.cast("double").alias("loss"))
+    return metrics.early_stop(history, "loss", "o_orderkey", 3, 6.0, "o_custkey", threshold=350.0)
+
+
+def epoch_scores(spark, sf_dir):
+    """Of all subsets, and of one alone."""
+    partials = metrics.batch_partials(_scored(spark, sf_dir), "split", "batch")
+    rows = [metrics.epoch_scores(df).withColumn("of", F.lit(of)) for of, df in (("all", partials), ("one", partials.where("split = 'R'")))]
+    return rows[0].unionByName(rows[1]).select("of", F.round("val_loss", 9).alias("val_loss"), F.round("val_acc", 9).alias("val_acc"))
+
+
 def _gate(spark, sf_dir) -> DataFrame:
     rows = _truth_pred(spark, sf_dir).select(F.col("item_id").cast("string").alias("path"), X.overlap_accuracy(F.col("gt"), F.col("pred")).alias("acc"), (F.size("gt") % 4 != 0).alias("decodes"))
     return metrics.gate_report(rows, 0.25, 0.5)

@@ -31,6 +31,31 @@ _REASON = f"""{_TOK}, q AS (SELECT doc_id, max(quality) AS quality FROM labels G
 reason AS (SELECT doc_id, source AS split, CASE WHEN quality IS NULL THEN 'no source' WHEN quality <> 1 THEN 'no budget' WHEN len(ids) < 2 THEN 'too short' END AS skip_reason FROM tok LEFT JOIN q USING (doc_id))"""
 _LABEL = """CASE WHEN id = 0 THEN 'PAD' WHEN id - 1 BETWEEN 0 AND 3 THEN 'BYTE_' || (id - 1) WHEN id - 1 BETWEEN 4 AND 6 THEN 'CMD_' || (id - 5)
   WHEN id - 1 BETWEEN 7 AND 15 THEN 'NOTE_' || CASE WHEN id - 1 >= 11 THEN '+' ELSE '' END || (id - 12) WHEN id - 1 = 16 THEN 'END' ELSE 'RESERVED_' || (id - 1) END"""
+_STORED = f"""{_win(16)}, {_IDX}, t AS (SELECT sum(n)::BIGINT AS n FROM idx),
+g AS (SELECT cum + block_idx AS global_idx, block, t.n AS n FROM win JOIN idx ON doc_id = file_ord, t),
+stored AS (SELECT *, (row_number() OVER (ORDER BY md5(global_idx || '|7'), global_idx) - 1 - ('0x' || md5('7|3|0')[1:8])::BIGINT % n + n) % n AS draw FROM g)"""
+_SPL = f"""{_win(16)}, {_CNT}, men AS (SELECT unnest(['eval-fr', 'train', 'eval-de', 'none', 'eval-fr', 'eval-de']) AS split, unnest(['fr', 'en', 'de', 'xx', 'es', 'de']) AS lang, unnest(range(0, 6))::INT AS mention),
+spl AS (SELECT split, mention, doc_id AS line_no, n, (sum(n) OVER (PARTITION BY split ORDER BY mention, doc_id) - n)::BIGINT AS cum FROM men JOIN documents USING (lang) JOIN cnt ON doc_id = file_ord)"""
+_BUILT = f"""{_TOK}, {_LAST}, men AS (SELECT unnest(['train', 'eval-de', 'eval-x', 'eval-x']) AS split, unnest(['en', 'de', 'fr', 'es']) AS lang, unnest([0, 1, 2, 2]) AS split_ord),
+b AS (SELECT split, split_ord, d.doc_id, d.source || '/' || d.doc_id || '.sid' AS sid, (d.doc_id % 4)::INT AS subtune, d.text, t.ids, CASE WHEN d.doc_id % 4 >= 1 THEN times[d.doc_id % 4] END AS t
+      FROM documents d JOIN men USING (lang) JOIN tok t ON t.doc_id = d.doc_id LEFT JOIN last ON md5(d.text) = last.md5),
+c AS (SELECT *, ids[1:trunc(985248::DOUBLE * (split_part(t, ':', 1)::BIGINT * 60 + split_part(t, ':', 2)::BIGINT)::DOUBLE)::BIGINT // 19656] AS cut FROM b),
+r AS (SELECT * EXCLUDE (ids, cut), cut AS ids, CASE WHEN doc_id % 17 = 0 THEN 'no source' WHEN t IS NULL THEN 'no budget' WHEN contains(text, '$') THEN 'codec' WHEN len(cut) < 2 THEN 'too short' END AS reason FROM c),
+built AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN len(ids) <= 17 THEN 1 ELSE 1 + (len(ids) - 17 + 15) // 16 END AS n_blocks FROM r)"""
+
+
+def _fold(key: str, value: str, delta: float, patience: int, threshold: float | None) -> str:
+    """h (key, i, value) read row by row: f (key, i, best, wait, reason, ran)."""
+    low = f"{{v}} < {threshold}" if threshold is not None else "false"
+    first, later = low.format(v=value), low.format(v=f"h.{value}")
+    return f"""f AS (
+  SELECT {key}, i, CASE WHEN NOT {first} THEN {value} END AS best, 0 AS wait, CASE WHEN {first} THEN 'threshold' END AS reason, true AS ran FROM h WHERE i = 1
+  UNION ALL
+  SELECT {key}, n, CASE WHEN go AND NOT low AND gain THEN v ELSE best END, CASE WHEN NOT go OR low THEN wait WHEN gain THEN 0 ELSE wait + 1 END,
+         CASE WHEN NOT go THEN NULL WHEN low THEN 'threshold' WHEN NOT gain AND wait + 1 >= {patience} THEN 'patience' END, go
+  FROM (SELECT h.{key}, h.i AS n, h.{value} AS v, f.best, f.wait, f.ran AND f.reason IS NULL AS go, {later} AS low, coalesce(h.{value} + {delta} < f.best, true) AS gain FROM f JOIN h ON h.{key} = f.{key} AND h.i = f.i + 1))"""
+
+
 _MD5 = "md5({} || '|{}')"
 
 SQL: dict[str, str] = {
@@ -109,9 +134,34 @@ SELECT vec_id, round(lse - v[k], 6) AS loss, round(0.9 * (lse - v[k]) + 0.1 * (l
     "micro_macro": f"WITH {_SC} SELECT round(sum(loss_sum) / sum(tok_sum), 9) AS micro_loss, round(sum(correct_sum)::DOUBLE / sum(tok_sum), 9) AS micro_acc, round(avg(loss_sum / tok_sum), 9) AS macro_loss, round(avg(correct_sum::DOUBLE / tok_sum), 9) AS macro_acc, count(*) AS subsets FROM sub",
     "micro_rollup": f"WITH {_SC} SELECT split, sum(loss_sum) AS loss_sum, sum(correct_sum)::BIGINT AS correct_sum, sum(tok_sum)::BIGINT AS tok_sum FROM part_ GROUP BY ROLLUP (split)",
     "best_epoch": f"WITH {_HIST} SELECT split, epoch, val_loss FROM hist QUALIFY row_number() OVER (PARTITION BY split ORDER BY val_loss, epoch) = 1",
-    "early_stop": f"""WITH {_HIST}, g AS (SELECT *, min(val_loss) OVER (PARTITION BY split ORDER BY epoch) AS best,
-  coalesce(val_loss < min(val_loss) OVER (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1.0, true) AS gain FROM hist)
-SELECT split, epoch, val_loss, best, epoch - max(CASE WHEN gain THEN epoch END) OVER (PARTITION BY split ORDER BY epoch) >= 3 AS stop FROM g""",
+    "early_stop": f"WITH RECURSIVE {_HIST}, h AS (SELECT split, epoch, val_loss, row_number() OVER (PARTITION BY split ORDER BY epoch) AS i FROM hist), {_fold('split', 'val_loss', 1.0, 3, None)} SELECT h.split, h.epoch, h.val_loss, best, wait, reason, coalesce(reason, '') <> '' AS stop, ran FROM f JOIN h USING (split, i)",
+    "early_stop_threshold": f"""WITH RECURSIVE h AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, ((100 - i) * 4 + o_orderkey % 11)::DOUBLE AS loss FROM orders),
+{_fold('o_custkey', 'loss', 6.0, 3, 350.0)} SELECT h.o_custkey, h.o_orderkey, h.loss, best, wait, reason, coalesce(reason, '') <> '' AS stop, ran FROM f JOIN h USING (o_custkey, i)""",
+    "epoch_scores": f"""WITH {_SC} SELECT 'all' AS "of", round(sum(loss_sum) / sum(tok_sum), 9) AS val_loss, round(sum(correct_sum) / sum(tok_sum), 9) AS val_acc FROM part_
+UNION ALL SELECT 'one', round(avg(loss_sum / tok_sum), 9), round(avg(correct_sum / tok_sum), 9) FROM part_ WHERE split = 'R'""",
+    "sample_passes": f"""WITH {_win(16)}, {_IDX}, t AS (SELECT sum(n)::BIGINT AS n FROM idx), g AS (SELECT unnest(range(0, n)) AS i, n FROM t),
+o AS (SELECT i, p, n, row_number() OVER (PARTITION BY p ORDER BY md5(md5(i || '|5') || '2' || CASE WHEN p > 0 THEN '|' || p ELSE '' END), i) - 1 + p * n AS draw FROM g, (SELECT unnest(range(0, 3)) AS p))
+SELECT draw // 8 AS batch, string_agg(i, ',' ORDER BY draw) AS members FROM o WHERE draw < trunc(2.3::DOUBLE * n) GROUP BY ALL""",
+    "sampled_blocks": f"WITH {_STORED} SELECT draw, global_idx, array_to_string(block[1:16], ',') AS x, array_to_string(block[2:17], ',') AS y FROM stored WHERE draw < trunc(0.05::DOUBLE * n)",
+    "sampled_batches": f"WITH {_STORED} SELECT draw // 8 AS batch, count(*) AS n, string_agg(array_to_string(block[1:16], ','), ',' ORDER BY draw) AS x, string_agg(array_to_string(block[2:17], ','), ',' ORDER BY draw) AS y FROM stored WHERE draw < trunc(0.05::DOUBLE * n) GROUP BY ALL",
+    "split_index": f"WITH {_SPL} SELECT split, mention, line_no, n, cum FROM spl",
+    "split_loaders": f"WITH {_SPL} SELECT (row_number() OVER (ORDER BY split <> 'train', min(mention)) - 1)::INT AS loader, split, sum(n)::BIGINT AS n_blocks, (sum(n)::BIGINT + 7) // 8 AS n_batches FROM spl GROUP BY split",
+    "split_batches": f"WITH {_SPL}, b AS (SELECT split, cum + block_idx AS i, line_no || ':' || block[1] AS m FROM spl JOIN win ON doc_id = line_no) SELECT split, i // 8 AS batch, count(*) AS n, string_agg(m, ',' ORDER BY i) AS members FROM b GROUP BY ALL",
+    "build_counts": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split",
+    "build_counts_again": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split",
+    "build_items": f"WITH {_BUILT} SELECT split, sid, CASE WHEN reason IS NULL THEN 'kept' ELSE 'skipped' END AS status, reason, n_blocks, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS build FROM built",
+    "build_blocks": f"WITH {_BUILT} SELECT split, sid, subtune, s // 16 AS block_idx, array_to_string(list_resize(ids[s + 1:s + 17], 17, 0), ',') AS block FROM (SELECT *, unnest(range(0, n_blocks)) * 16 AS s FROM built)",
+    "npy_roundtrip": f"WITH {_win(16)} SELECT doc_id, block_idx, array_to_string(block, ',') AS block FROM win WHERE doc_id % 5 <> 0",
+    "scan_manifest": f"WITH {_win(16)}, {_CNT} SELECT doc_id, 128 + 34 * n AS size, 128 + 34 * n AS read, true AS same, CASE WHEN n IS NULL THEN 'no file' END AS missing FROM documents LEFT JOIN cnt ON doc_id = file_ord AND doc_id % 5 <> 0",
+    "choose_token": """
+WITH e AS (SELECT vec_id, step, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS i FROM embeddings, (SELECT unnest([0, 1])::INT AS step)),
+g AS (SELECT *, v / 0.8 - ln(-ln((('0x' || md5(vec_id || '|' || step || '|4|' || i)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)) AS s, row_number() OVER (PARTITION BY vec_id, step ORDER BY v DESC, i) AS k FROM e)
+SELECT vec_id, step, arg_max(i, s)::INT AS "any", (arg_max(i, s) FILTER (k <= 3))::INT AS of_three FROM g GROUP BY ALL""",
+    "narrow_bfloat16": """
+WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+x AS (SELECT *, floor(log2(abs(v::DOUBLE)))::INT AS e FROM e),
+b AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE ((e + 127) * 128 + round_even(abs(v::DOUBLE) / pow(2, e - 7), 0)::INT - 128) + CASE WHEN v < 0 THEN -32768 ELSE 0 END END AS w FROM x)
+SELECT vec_id, string_agg(w, ',' ORDER BY i) AS bits FROM b GROUP BY vec_id""",
     "gate_report": f"""WITH {_TP}, {_PAIRS}, a AS (SELECT item_id, CASE WHEN count(gt) > 0 THEN count(*) FILTER (gt = pred)::DOUBLE / count(gt) ELSE 0 END AS acc FROM pairs GROUP BY item_id),
 s AS (SELECT item_id::VARCHAR AS path, acc, len(gt) % 4 <> 0 AS decodes FROM a JOIN tp USING (item_id))
 SELECT avg(acc) >= 0.25 AND avg(decodes::INT) >= 0.5 AS passed, round(avg(acc), 9) AS mean_greedy_acc, round(avg(decodes::INT), 9) AS decode_rate, count(*) AS n_prompts, NULL::VARCHAR AS reason,

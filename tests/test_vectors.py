@@ -119,7 +119,7 @@ def test_sampling(spark):
     rows = spark.range(10).withColumnRenamed("id", "global_idx")
     assert sampling.sample_exact(rows, 0.5).count() == 5
     assert sampling.sample_exact(rows, 0.05).count() == 0
-    assert sampling.sample_exact(rows, 2.0).count() == 10
+    assert sampling.sample_exact(rows, 2.0).count() == 20
     assert sampling.sample_exact(rows, 0.5, epoch=1).collect() == sampling.sample_exact(rows, 0.5, epoch=1).collect()
     assert sampling.draws(spark.range(1), 20, 10).where("idx >= 0 AND idx < 10").count() == 20
     got = {r["batch"]: [m["global_idx"] for m in r["members"]] for r in sampling.batches(rows, 4).collect()}
@@ -241,7 +241,12 @@ def test_sample_exact(spark):
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     order = sorted(range(1000), key=lambda i: md5(md5(f"{i}|4") + "1"))
     rows = spark.range(1000).withColumnRenamed("id", "global_idx")
-    for fraction in (0, 0.0005, 0.31, 1, 2):
-        got = {r[0] for r in sample_exact(rows, fraction, seed=4, epoch=1).collect()}
-        assert got == set(order[: int(fraction * 1000)])
+    later = [sorted(range(1000), key=lambda i, p=p: md5(md5(f"{i}|4") + f"1|{p}")) for p in (1, 2)]
+    for fraction in (0, 0.0005, 0.31, 1, 2, 2.25):
+        got = [r[0] for r in sample_exact(rows, fraction, seed=4, epoch=1).orderBy("draw").collect()]
+        assert got == [*order, *later[0], *later[1]][: int(fraction * 1000)]
+    draws = [r["draw"] for r in sample_exact(rows, 2.25).collect()]
+    assert sorted(draws) == list(range(2250))
     assert sample_exact(rows.where("global_idx < 0"), 0.5).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        sample_exact(rows, -0.1)
