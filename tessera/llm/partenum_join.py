@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, slices, table
+from .shared import cut, release, slices, table
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -68,7 +68,7 @@ BLOCK_BINS = 512
 LINKED = 500_000
 #: Rows of one key beyond which a join on it is salted.
 FAN = 256
-#: Words that a Python worker remembers the digests of; beyond that the cache starts anew.
+#: Words that a task remembers the digests of; beyond that the cache starts anew.
 CACHE_WORDS, CACHE_CHARS = 200_000, 32
 #: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
 PER_BIN = 4
@@ -100,6 +100,17 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def released(each):
+    """each, a function over the batches of a task, after which the worker gives back its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        _WORDS.clear()
+        release()
+
+    return run
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(elements, sizes, names): the sorted shingle hashes of each text, one text after the other,
     and 128 bits that name each set.
@@ -235,7 +246,7 @@ def describe(docs: DataFrame, bits: int = 64) -> DataFrame:
             columns = [part["doc_id"], digests, sizes, names, short(names, bits), *spare, coarse, [p.tobytes() for p in profiles]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, digest binary, n_shingles long, name binary, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(each), "doc_id long, digest binary, n_shingles long, name binary, cls long, spare0 long, spare1 long, parity long, bins binary, profile binary")
 
 
 def bucketed_signatures(docs: DataFrame, buckets: int, bits: int = 64) -> DataFrame:
@@ -283,7 +294,7 @@ def bucketed_signatures(docs: DataFrame, buckets: int, bits: int = 64) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "bucket int, high binary, low binary, place binary, hot binary, cls binary, size binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(each), "bucket int, high binary, low binary, place binary, hot binary, cls binary, size binary")
 
 
 def match(packed: DataFrame, buckets: int) -> DataFrame:
@@ -326,6 +337,8 @@ def match(packed: DataFrame, buckets: int) -> DataFrame:
             found.append(np.stack([kind, cls[:-d], cls[d:]], 1)[near] if d < len(s) else found[0])
         pairs = np.unique(np.concatenate(found), axis=0)
         hot_rows = np.stack([np.ones(len(gid), np.int64), gid, members], 1)
+        del s, cls, size, mark, found, order, keep, same
+        release()
         return pd.DataFrame(np.concatenate([pairs, hot_rows]), columns=["kind", "a", "b"]).astype({"kind": np.int32})
 
     return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long")
@@ -339,10 +352,11 @@ def hubs_of(rows: DataFrame, *keys: str) -> list[DataFrame | None]:
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(k).alias("value")) for i, k in enumerate(keys)]))
     degrees = rows.select(sides.alias("x")).groupBy("x.side", "x.value").agg(F.count("*").alias("n"))
     found = degrees.where(F.col("n") > FAN).select("side", "value", F.ceil(F.col("n") / FAN).cast("int").alias("parts"))
-    n = found.count()
+    found = cut(found)
+    n = found.agg(F.sum("parts")).first()[0]
     if not n:
         return [None] * len(keys)
-    small = F.broadcast(cut(found, n)) if n <= BROADCAST else cut(found, n)
+    small = F.broadcast(found) if n <= BROADCAST else found
     return [small.where(F.col("side") == i).drop("side") for i in range(len(keys))]
 
 
@@ -353,7 +367,8 @@ def beside(rows: DataFrame, key: str, other: DataFrame, hubs: DataFrame | None,
         return rows.join(other, key, how)
     parts, hubs = F.coalesce("parts", F.lit(1)), hubs.withColumnRenamed("value", key)
     left = rows.join(hubs, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
-    right = other.join(hubs, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dealt = hubs.select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    right = other.join(dealt, key, "left").withColumn("salt", F.coalesce("salt", F.lit(0)))
     return left.join(right, [key, "salt"], how).drop("salt")
 
 
@@ -374,7 +389,7 @@ def screen(pairs: DataFrame, classes: DataFrame, counts: str, hubs: list) -> Dat
                 near.append(np.abs(fold(p, bins) - fold(q, bins)).sum() <= bound)
             yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(each, "a long, b long")
+    return both.mapInArrow(released(each), "a long, b long")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -389,7 +404,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             raw, begins = elements.astype("<u8").tobytes(), np.cumsum(sizes) - sizes
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([raw[8 * b : 8 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["name", "elements"])
 
-    found = near.mapInArrow(each, "name binary, elements binary")
+    found = near.mapInArrow(released(each), "name binary, elements binary")
     return found.join(wanted.select("cls", "name", "n_shingles"), "name").drop("name").dropDuplicates(["cls"])
 
 
@@ -407,7 +422,7 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, hubs: list) -> DataFrame:
                 linked.append(100 * common >= 75 * (len(p) + len(q) - common))
             yield x.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(each, "a long, b long")
+    return both.mapInArrow(released(each), "a long, b long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -435,7 +450,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 up.clear()
         yield stars()
 
-    return edges.mapInArrow(each, "u long, v long")
+    return edges.mapInArrow(released(each), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -457,7 +472,7 @@ def components(links: DataFrame) -> DataFrame:
         sides = edges.union(edges.select("v", "u"))
         least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), (F.min("v") < F.max("v")).alias("several"), F.count("*").alias("n")))
         # done when each id but the smallest ones has one neighbour: then that is its component's smallest
-        going, hubs = least.agg(F.count_if((F.col("m") < F.col("u")) & F.col("several")), F.count_if(F.col("n") > FAN)).first()
+        going, hubs = least.agg(F.count_if((F.col("m") < F.col("u")) & F.col("several")), F.sum(F.when(F.col("n") > FAN, F.ceil(F.col("n") / FAN)))).first()
         if not going:
             return cut(least.select(F.col("u").alias("id"), F.col("m").alias("component")))
         listed = least.where(F.col("n") > FAN).select(F.col("u").alias("value"), F.ceil(F.col("n") / FAN).cast("int").alias("parts"))

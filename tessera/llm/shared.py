@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -71,6 +73,14 @@ def repeated(df: DataFrame, times: Column, out: str, step: int = 1000) -> DataFr
     return df.withColumn(out, first).withColumn(out, rest)
 
 
+def release() -> None:
+    """Give back to the system what this process has freed. Python workers live on from task to task,
+    side by side in an executor's memory, and the allocators keep what big arrays have left."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a library of another system has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, rows: int = 20_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows and, but for single long texts, bytes of text.
 
