@@ -7,8 +7,8 @@ hash. A state is a chain of nodes along suffix links that end at the same places
 
 Phrases that all shards together hold at least LEAST times are wanted, and every part of such a phrase
 is held as often. So shards are read three times: the first reading counts hashes of words and pairs,
-the second those of triples whose pairs are frequent, and the third enumerates, as text and with exact
-counts, the states whose words, pairs and triples are all frequent. What is frequent is told by a
+the second those of triples whose pairs are frequent, and of the words of these pairs, and the third
+enumerates, as text and with exact counts, the states whose words, pairs and triples are all wanted. What is frequent is told by a
 filter of bits over the hashes; it errs only by letting too much pass, and the counts of the third
 reading decide. Counts are summed over shards, by Spark, in each reading.
 
@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions, slices, table
+from .shared import cut, partitions, release, slices, table
 
 DEPTH = 5
 #: Occurrences that a phrase has at least.
@@ -125,6 +125,13 @@ class SuffixAutomaton:
         self.levels.append(Level(at, count, own[place], hashes, place))
         return self.levels[-1]
 
+    def in_pairs(self) -> np.ndarray:
+        """Of the nodes of single words, which are in a node of two."""
+        out, place = np.zeros(len(self.levels[0].count), bool), self.levels[1].place
+        out[self.levels[0].at[place]] = True
+        out[self.levels[0].at[place - 1]] = True
+        return out
+
     def states(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(longest, shortest, place, count) of all states, by their longest runs' lengths: the runs of
         all lengths between that end at place are those of the state, and end at count places."""
@@ -190,8 +197,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
 
 
 def _hashed(docs: DataFrame, depth: int, filters: list[Broadcast], least: int, size: int) -> DataFrame:
-    """(h): hashes of runs, of words and pairs without filters, else of one word more than there are filters
-    (the first one holds words and pairs, the second triples), that are held at least so often."""
+    """(h): hashes of runs that are held at least so often: of words and pairs, or with a filter of these,
+    of triples and of the words in pairs (which are held as often as their pairs, wherever these are)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
@@ -200,8 +207,10 @@ def _hashed(docs: DataFrame, depth: int, filters: list[Broadcast], least: int, s
                 if filters:
                     made.prune(filters[0].value)
                 made.deepen()
-            for level in made.levels if not filters else made.levels[-1:]:
+            words = made.levels[0]
+            for level in made.levels if not filters else [words.keep(made.in_pairs()), made.levels[-1]]:
                 yield pa.RecordBatch.from_arrays([pa.array(level.hashes.view(np.int64)), pa.array(level.count.astype(np.int64))], ["h", "c"])
+        release()
 
     counted = docs.mapInArrow(each, "h long, c long").repartition(partitions(docs.sparkSession), "h").groupBy("h").agg(F.sum("c").alias("c"))
     return counted.where(F.col("c") >= least).select("h")
@@ -237,8 +246,8 @@ def count_runs(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: in
             total = np.bincount(of[made.ids[made.ids >= 0]], minlength=len(langs)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([""] * len(langs)), pa.array([0] * len(langs), pa.int32()), pa.array([0] * len(langs), pa.int32()), pa.array(total, pa.int64())], names)
             for k in range(1, depth):
-                if k <= 3:
-                    made.prune(filters[k > 2].value)
+                if k <= 3:  # words and triples by the last filter, pairs by the first
+                    made.prune(filters[0 if k == 2 else -1].value)
                 made.deepen()
             if depth <= 3:
                 made.prune(filters[depth > 2].value)
@@ -251,6 +260,7 @@ def count_runs(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: in
                     yield pa.RecordBatch.from_arrays([
                         pa.array([langs[i] for i in (at // len(words)).tolist()], pa.string()), pa.array([" ".join([plain[w] for w in run]) for run in runs], pa.string()),
                         pa.array(shortest[own].astype(np.int32)), pa.array(np.full(len(at), longest, np.int32)), pa.array(count[own].astype(np.int64))], names)
+        release()
 
     states = docs.mapInArrow(each, "lang string, phrase string, shortest int, longest int, c long")
     runs = states.withColumn("m", F.explode(F.sequence("shortest", "longest")))
