@@ -112,9 +112,10 @@ def early_stop(history: DataFrame, metric: str, epoch: str, patience: int, min_d
     return ordered_fold(history, list(keys), [epoch], lambda: (None, 0, False), step, [metric], "best double, wait int, reason string, stop boolean, ran boolean")
 
 
-def gate_report(scored: DataFrame, min_acc: float, grammar_min: float) -> DataFrame:
-    """One row over scored (path, acc, decodes): means, thresholds, verdict and the prompts; with
-    no prompts the gate fails and says so."""
+def gate_report(scored: DataFrame, min_acc: float, grammar_min: float, with_prompts: bool = True) -> DataFrame:
+    """One row over scored (path, acc, decodes): means, thresholds, verdict and, if wanted, the prompts;
+    with no prompts the gate fails and says so. Prompts meet in this row, so they should be few, as a
+    limit makes them; without them, only sums do, and gate_lines writes each prompt by itself."""
     n = F.count("*")
     each = F.sort_array(F.collect_list(F.struct("path", "acc", "decodes")))
     rate = F.avg(F.col("decodes").cast("int"))
@@ -122,10 +123,16 @@ def gate_report(scored: DataFrame, min_acc: float, grammar_min: float) -> DataFr
     return scored.agg(
         ok.alias("passed"), F.avg("acc").alias("mean_greedy_acc"), rate.alias("decode_rate"), n.alias("n_prompts"),
         F.lit(min_acc).alias("min_acc"), F.lit(grammar_min).alias("grammar_min"),
-        F.when(n == 0, F.lit("no prompts")).alias("reason"), each.alias("per_prompt"),
+        F.when(n == 0, F.lit("no prompts")).alias("reason"), *([each.alias("per_prompt")] if with_prompts else []),
     )
 
 
+def gate_lines(scored: DataFrame, min_acc: float, grammar_min: float) -> DataFrame:
+    """(line): the report without prompts as one line of JSON, and a line for each prompt, however many."""
+    report = gate_json(gate_report(scored, min_acc, grammar_min, with_prompts=False))
+    return report.unionByName(scored.select(F.to_json(F.struct("path", "acc", "decodes")).alias("line")))
+
+
 def gate_json(report: DataFrame) -> DataFrame:
     """The report as one line of JSON; the prefix is a fixed value that readers look for."""
     return report.select(F.concat(F.lit("EVENT_GATE_RESULT "), F.to_json(F.struct("*"))).alias("line"))

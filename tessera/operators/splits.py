@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import frame_budget, duration_seconds, pick_time
+from .block_index import FILES, running
 
 
 def limit_entries(entries: DataFrame, n: int, order: str = "line_no") -> DataFrame:
-    """The first n entries (0: all; below 0: all but the last -n), before anything is skipped."""
+    """The first n entries (0: all; below 0: all but the last -n) by order, a number that isn't null,
+    before anything is skipped. Below 0, entries are counted in cells; they don't pass one task."""
     if n == 0:
         return entries
     if n > 0:
         return entries.orderBy(order).limit(n)
-    total = entries.count()
-    return entries.orderBy(order).limit(max(0, total + n))
+    placed = running(entries.withColumn("_one", F.lit(1)), F.floor(F.col(order) / FILES).cast("long"), [order], "_one", "_place")
+    return placed.where(F.col("_place") < entries.count() + n).drop("_one", "_place")
 
 
 def union_splits(splits: list[tuple[str, DataFrame]], mentions: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import bfloat16
 from ..functions import expressions as X
-from ..operators import block_index, build, change_log, choose, metrics, prompts, sampling, splits, windowing
+from ..operators import block_index, boundary, build, change_log, choose, metrics, prompts, runs, sampling, splits, windowing
 from ..sources import block_store, file_scan, item_store, npy_blocks, shuffled_store, text_sources
 
 VOCAB = 256
@@ -151,8 +151,10 @@ def token_label(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    """The dense table of all model ids and labels."""
-    return spark.range(VOCAB + 1).select(F.col("id"), X.token_label(F.col("id"), RANGES).alias("label"))
+    """The dense table of all model ids, their labels and how often the documents have them."""
+    ids = tokens(spark, sf_dir).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    dense = spark.range(VOCAB + 1).select(F.col("id"), X.token_label(F.col("id"), RANGES).alias("label"))
+    return dense.join(ids, "id", "left").select("id", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _windows(stride: int):
@@ -241,7 +243,7 @@ class WordLengths:
         return [len(w) % VOCAB for w in re.findall(r"[^\x20\x09-\x0D]+", text)][:frames]
 
     def decodes(self, ids: list[int]) -> bool:
-        return bool(ids)
+        return sum(ids) % 3 != 0
 
 
 def _manifests(spark, sf_dir) -> list[tuple[str, DataFrame]]:
@@ -551,6 +553,29 @@ def gate_report(spark, sf_dir):
         F.array_join(F.transform("per_prompt", lambda p: F.concat_ws(":", p["path"], F.round(p["acc"] * 1000000).cast("long").cast("string"), p["decodes"].cast("string"))), ",").alias("per_prompt"))
 
 
+def gate_run(spark, sf_dir):
+    """The gate from a listing of block files to its report."""
+    cfg = EngineConfig(seq_len=SEQ, prompt_seq_len=6, gen_tokens=5, n_prompts=100, vocab=VOCAB, min_acc=0.01, grammar_min=0.5)
+    counted = written(npy_blocks.npy_counts(_npy(spark, sf_dir), SEQ))
+    report = runs.run_gate(counted, boundary.ToyGenerator(), WordLengths(), cfg)
+    hits = F.array_join(F.transform("per_prompt", lambda p: F.concat_ws(":", F.regexp_extract(p["path"], r"[^/]+/[^/]+$", 0), F.round(p["acc"] * 1000000).cast("long").cast("string"), p["decodes"].cast("string"))), ",")
+    return report.select("passed", F.round("mean_greedy_acc", 9).alias("mean_greedy_acc"), F.round("decode_rate", 9).alias("decode_rate"), "n_prompts", hits.alias("per_prompt"))
+
+
+def predict_run(spark, sf_dir):
+    """Three predictions each from the first block of a file of the split wanted, and of the one that stands in for it."""
+    docs = tokens(spark, sf_dir)
+    files = docs.select("doc_id", "source", F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id")).alias("r"))
+    order = docs.groupBy("source").agg(F.min("doc_id").alias("split_ord"))
+    rows = windowing.windows(docs, "ids", SEQ, SEQ).join(files, ["doc_id", "source"]).join(order, "source")
+    rows = written(rows.select(F.col("source").alias("split"), "split_ord", (F.col("r") - 1).cast("long").alias("file_ord"), "block_idx", "block"))
+    made = []
+    for wanted in ("src3", "no such split"):
+        cfg = EngineConfig(seq_len=SEQ, prompt_seq_len=4, max_seq_len=10, predictions=3, predict_set=wanted, vocab=VOCAB)
+        made.append(runs.predict(rows, boundary.ToyGenerator(), WordLengths(), cfg, start_seq=1).withColumn("wanted", F.lit(wanted)))
+    return made[0].unionByName(made[1]).select("wanted", "p", joined("ids").alias("ids"), F.round("acc", 9).alias("acc"), "decodes", joined("program").alias("program"))
+
+
 def gate_json(spark, sf_dir):
     """The report's line of JSON, read again by its fields."""
     line = metrics.gate_json(_gate(spark, sf_dir).drop("per_prompt")).select(F.substring_index("line", "EVENT_GATE_RESULT ", -1).alias("j"))

@@ -79,7 +79,7 @@ SELECT doc_id, subtune, t IS NOT NULL AS found, coalesce(trunc(985248::DOUBLE *
     "token_encode": f"WITH {_TOK} SELECT doc_id, array_to_string(list_transform(ids, lambda x: x + 1), ',') AS ids FROM tok",
     "token_decode": f"WITH {_TOK} SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(ids, lambda x: (x * 7) % 19 - 1), lambda x: x BETWEEN 1 AND 12), lambda x: x - 1), ',') AS ids FROM tok",
     "token_label": f"WITH {_TOK}, e AS (SELECT unnest(ids)::INT AS id FROM tok) SELECT id, {_LABEL} AS label, count(*) AS n FROM e GROUP BY ALL",
-    "vocabulary": f"SELECT id, {_LABEL} AS label FROM (SELECT unnest(range(0, 257)) AS id)",
+    "vocabulary": f"WITH {_TOK}, v AS (SELECT unnest(range(0, 257)) AS id), e AS (SELECT unnest(ids) AS id FROM tok) SELECT v.id, {_LABEL.replace('id', 'v.id')} AS label, count(e.id) AS n FROM v LEFT JOIN e ON e.id = v.id GROUP BY v.id",
     "xy_shift": f"WITH {_win(16)} SELECT doc_id, block_idx, array_to_string(block[1:16], ',') AS x, array_to_string(block[2:17], ',') AS y FROM win",
     "block_path": """
 WITH p AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.sid' ELSE '' END AS sid FROM pages),
@@ -151,6 +151,21 @@ SELECT draw // 8 AS batch, string_agg(i, ',' ORDER BY draw) AS members FROM o WH
     "build_counts_again": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split",
     "build_items": f"WITH {_BUILT} SELECT split, sid, CASE WHEN reason IS NULL THEN 'kept' ELSE 'skipped' END AS status, reason, n_blocks, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS build FROM built",
     "build_blocks": f"WITH {_BUILT} SELECT split, sid, subtune, s // 16 AS block_idx, array_to_string(list_resize(ids[s + 1:s + 17], 17, 0), ',') AS block FROM (SELECT *, unnest(range(0, n_blocks)) * 16 AS s FROM built)",
+    "gate_run": f"""WITH {_win(16)}, r AS (SELECT source || '/' || doc_id || '.1.blocks.npy' AS path, block_idx, list_filter(block, lambda x: x > 0) AS r FROM win WHERE doc_id % 5 <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY block_idx) AS k FROM r WHERE len(r) >= 7), p AS (SELECT path, r[1:6] AS prompt, r[7:11] AS truth FROM f WHERE k = 1 ORDER BY path LIMIT 100),
+s AS (SELECT path, truth, list_transform(range(1, len(truth) + 1), lambda i: prompt[6] + i) AS pred, prompt FROM p),
+a AS (SELECT path, len(list_filter(range(1, len(truth) + 1), lambda i: truth[i] = pred[i]))::DOUBLE / len(truth) AS acc,
+             list_sum(list_transform(list_filter(list_concat(prompt, pred), lambda x: x BETWEEN 1 AND 256), lambda x: x - 1)) % 3 <> 0 AS decodes FROM s)
+SELECT avg(acc) >= 0.01 AND avg(decodes::INT) >= 0.5 AS passed, round(avg(acc), 9) AS mean_greedy_acc, round(avg(decodes::INT), 9) AS decode_rate, count(*) AS n_prompts,
+       string_agg(path || ':' || round(acc * 1000000)::BIGINT || ':' || decodes, ',' ORDER BY path) AS per_prompt FROM a""",
+    "predict_run": f"""WITH {_win(16)}, fo AS (SELECT doc_id, source, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT 'src3' AS wanted, 'src3' AS source UNION ALL SELECT 'no such split', arg_min(source, doc_id) FROM documents),
+b AS (SELECT wanted, block[1:10] AS c FROM w JOIN fo USING (source) JOIN win ON win.doc_id = fo.doc_id WHERE r = 2 AND block_idx = 0),
+s AS (SELECT wanted, c, c[1:4] AS prompt, list_transform(range(1, 7), lambda i: c[4] + i) AS pred FROM b),
+d AS (SELECT *, list_concat(prompt, pred) AS ids, len(list_filter(range(1, 7), lambda i: c[4 + i] = pred[i])) / 6 AS acc FROM s),
+e AS (SELECT *, list_sum(list_transform(list_filter(ids, lambda x: x BETWEEN 1 AND 256), lambda x: x - 1)) % 3 <> 0 AS decodes FROM d)
+SELECT wanted, unnest(range(0, 3))::INT AS p, array_to_string(ids, ',') AS ids, round(acc, 9) AS acc, decodes,
+       array_to_string(list_transform(list_filter(CASE WHEN decodes THEN ids ELSE c END, lambda x: x BETWEEN 1 AND 256), lambda x: x - 1), ',') AS program FROM e""",
     "npy_roundtrip": f"WITH {_win(16)} SELECT doc_id, block_idx, array_to_string(block, ',') AS block FROM win WHERE doc_id % 5 <> 0",
     "scan_manifest": f"WITH {_win(16)}, {_CNT} SELECT doc_id, 128 + 34 * n AS size, 128 + 34 * n AS read, true AS same, CASE WHEN n IS NULL THEN 'no file' END AS missing FROM documents LEFT JOIN cnt ON doc_id = file_ord AND doc_id % 5 <> 0",
     "choose_token": """
