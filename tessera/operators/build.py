@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.expressions import resolve
+from ..sources.file_scan import file_sizes, scan_files
 from ..sources.item_store import KEY, ItemStore, same_key
+from ..sources.text_sources import read_manifest
 from .boundary import Codec, recover
 from .splits import attach_budget, limit_entries, skip_reason, union_splits
 from .windowing import window_at, window_count, windows
 
 
+COUNTS = "split string, split_ord int, kept long, skipped long"
+
+
 def with_budget(entries: DataFrame, durations: DataFrame, cfg: EngineConfig) -> DataFrame:
     """entries (content, subtune, ...) with content_md5 and frames."""
     named = entries.withColumn("content_md5", F.md5("content"))
@@ -52,11 +58,32 @@ def build_store(manifests: list[tuple[str, DataFrame]], durations: DataFrame, co
     counts once. An entry that is listed several times counts each time and is stored once. A build
     that has nothing to write leaves no number.
     """
-    kinds = "split string, split_ord int, kept long, skipped long"
     if not manifests:
-        return store.spark.createDataFrame([], kinds)
+        return store.spark.createDataFrame([], COUNTS)
     limited = [(split, limit_entries(df.select("line_no", "sid", "subtune", "content"), cfg.max_files)) for split, df in manifests]
-    entries = with_budget(union_splits(limited, mentions=True), durations, cfg)
+    return _build(union_splits(limited, mentions=True), [split for split, _ in manifests], durations, codec, cfg, store, name)
+
+
+def build_corpus(
+    spark: SparkSession, manifests: list[tuple[str, str]], root: str, durations: DataFrame, codec: Codec, cfg: EngineConfig, store: ItemStore, staging: str, name: str = "codec"
+) -> DataFrame:
+    """As build_store, from manifest files: (split, path) each, with paths of sources below root.
+
+    Manifests are limited first; then only the files they name are opened, each once. staging is a new
+    folder for the listing of these. A missing manifest is an empty one.
+    """
+    if not manifests:
+        return build_store([], durations, codec, cfg, store)
+    limited = [(split, limit_entries(read_manifest(spark, path), cfg.max_files)) for split, path in manifests]
+    named = union_splits(limited, mentions=True).withColumn("sid", resolve(F.col("relpath"), root))
+    file_sizes(named, "sid").write.parquet(staging)
+    entries = scan_files(spark.read.parquet(staging), ["mention", "line_no"], "sid").drop("size", "content_md5", "missing")
+    return _build(entries, [split for split, _ in manifests], durations, codec, cfg, store, name)
+
+
+def _build(entries: DataFrame, named: list[str], durations: DataFrame, codec: Codec, cfg: EngineConfig, store: ItemStore, name: str) -> DataFrame:
+    """The build of entries (split, split_ord, mention, line_no, sid, subtune, content), whose splits are named in order."""
+    entries = with_budget(entries, durations, cfg)
     entries = entries.withColumns({"seq_len": F.lit(cfg.seq_len), "stride": F.lit(cfg.stride), "codec": F.lit(name)})
     again = F.row_number().over(Window.partitionBy(*KEY).orderBy("mention", "line_no")) > 1
     entries = entries.withColumn("again", again)
@@ -66,10 +93,9 @@ def build_store(manifests: list[tuple[str, DataFrame]], durations: DataFrame, co
     status = F.coalesce("held", F.when(F.col("skip_reason").isNull(), F.lit("kept")).otherwise(F.lit("skipped")))
     n = F.when(F.col("skip_reason").isNull(), window_count(F.size("ids"), cfg.seq_len, cfg.stride)).otherwise(F.lit(0))
     items = done.withColumns({"status": status, "n_blocks": n.cast("long")}).withColumnRenamed("skip_reason", "reason")
-    splits = list(dict.fromkeys(split for split, _ in manifests))
+    splits = list(dict.fromkeys(named))
     seen = Observation()
-    count = lambda i, s: F.count_if((F.col("split_ord") == order[i]) & (F.col("status") == s)).alias(f"{s} {i}")
-    order = [next(i for i, (split, _) in enumerate(manifests) if split == own) for own in splits]
+    count = lambda i, s: F.count_if((F.col("split_ord") == i) & (F.col("status") == s)).alias(f"{s} {i}")
     counted = items.observe(seen, *(count(i, s) for i in range(len(splits)) for s in ("kept", "skipped")))
     # one row for the item, with index -1, and one for each of its blocks
     rows = counted.where("NOT known AND NOT again").withColumn("block_idx", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("n_blocks") - 1)))
@@ -77,5 +103,5 @@ def build_store(manifests: list[tuple[str, DataFrame]], durations: DataFrame, co
     rows = rows.withColumns({"block": block, "kind": F.when(F.col("block_idx") < 0, "item").otherwise("block"), "width": F.when(F.col("block_idx") >= 0, F.lit(cfg.seq_len + 1))})
     store.append(rows, store.next_build())
     got = seen.get
-    made = [(split, order[i], got[f"kept {i}"], got[f"skipped {i}"]) for i, split in enumerate(splits)]
-    return store.spark.createDataFrame(made, kinds)
+    made = [(split, i, got[f"kept {i}"], got[f"skipped {i}"]) for i, split in enumerate(splits)]
+    return store.spark.createDataFrame(made, COUNTS)

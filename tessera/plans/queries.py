@@ -285,6 +285,32 @@ def build_counts_again(spark, sf_dir):
     return _built(spark, sf_dir, F.col("line_no") % 3 == 0, F.lit(True))[1]
 
 
+def _corpus(spark, sf_dir) -> tuple[item_store.ItemStore, DataFrame]:
+    """From manifest files, sources and a file of durations to the store; some sources are missing."""
+    base = scratch(spark)
+    parts = _manifests(spark, sf_dir)
+    for i, (_, rows) in enumerate(parts):
+        file_scan.write_files(rows.where("content IS NOT NULL").select(F.concat(F.lit(f"{base}/in/"), "sid").alias("path"), "content"))
+        lines = rows.repartition(1).sortWithinPartitions("line_no").select(F.concat("sid", F.lit("\t"), F.col("subtune").cast("string")).alias("value"))
+        lines.write.text(f"{base}/manifest{i}")
+    times = written(_durations(spark, sf_dir))
+    times.repartition(1).select(F.concat("md5", F.lit("="), F.array_join("times", " ")).alias("value")).write.text(f"{base}/durations")
+    cfg, store = EngineConfig(seq_len=SEQ, max_files=0), item_store.ItemStore(spark, f"{base}/store")
+    named = [(split, f"{base}/manifest{i}") for i, (split, _) in enumerate(parts)] + [("eval-none", f"{base}/no such manifest")]
+    counts = build.build_corpus(spark, named, f"{base}/in", text_sources.read_durations(spark, f"{base}/durations"), WordLengths(), cfg, store, f"{base}/listing")
+    return store, counts
+
+
+def corpus_counts(spark, sf_dir):
+    """Kept and skipped of each split, from manifest files to stored blocks in one build."""
+    return _corpus(spark, sf_dir)[1]
+
+
+def corpus_blocks(spark, sf_dir):
+    rows = _corpus(spark, sf_dir)[0].blocks(SEQ, SEQ)
+    return rows.select("split", F.regexp_extract("sid", r"[^/]+/[^/]+$", 0).alias("sid"), "subtune", "block_idx", joined("block").alias("block"))
+
+
 def _npy(spark, sf_dir) -> DataFrame:
     """Files of blocks, one a document, and the manifest of all documents: some name no file."""
     base = scratch(spark)

@@ -149,6 +149,8 @@ SELECT draw // 8 AS batch, string_agg(i, ',' ORDER BY draw) AS members FROM o WH
     "split_batches": f"WITH {_SPL}, b AS (SELECT split, cum + block_idx AS i, line_no || ':' || block[1] AS m FROM spl JOIN win ON doc_id = line_no) SELECT split, i // 8 AS batch, count(*) AS n, string_agg(m, ',' ORDER BY i) AS members FROM b GROUP BY ALL",
     "build_counts": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split",
     "build_counts_again": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split",
+    "corpus_counts": f"WITH {_BUILT} SELECT split, min(split_ord)::INT AS split_ord, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS skipped FROM built GROUP BY split UNION ALL SELECT 'eval-none', 3, 0, 0",
+    "corpus_blocks": f"WITH {_BUILT} SELECT split, sid, subtune, s // 16 AS block_idx, array_to_string(list_resize(ids[s + 1:s + 17], 17, 0), ',') AS block FROM (SELECT *, unnest(range(0, n_blocks)) * 16 AS s FROM built)",
     "build_items": f"WITH {_BUILT} SELECT split, sid, CASE WHEN reason IS NULL THEN 'kept' ELSE 'skipped' END AS status, reason, n_blocks, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS build FROM built",
     "build_blocks": f"WITH {_BUILT} SELECT split, sid, subtune, s // 16 AS block_idx, array_to_string(list_resize(ids[s + 1:s + 17], 17, 0), ',') AS block FROM (SELECT *, unnest(range(0, n_blocks)) * 16 AS s FROM built)",
     "gate_run": f"""WITH {_win(16)}, r AS (SELECT source || '/' || doc_id || '.1.blocks.npy' AS path, block_idx, list_filter(block, lambda x: x > 0) AS r FROM win WHERE doc_id % 5 <> 0),

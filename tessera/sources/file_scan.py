@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,6 +23,28 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
 
 
+def write_files(files: DataFrame, path: str = "path", content: str = "content") -> int:
+    """Write each row's content (binary) to its path, and return how many. Folders are made; a file appears
+    under its name when it is whole, so a task that is run again does no harm."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, whole in zip(batch[path].to_pylist(), batch[content].to_pylist(), strict=True):
+                save(p, whole)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select(path, content).mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def save(path: str, content: bytes) -> None:
+    system, own = opened(path)
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    part = f"{own}.{uuid4().hex}"
+    with system.open_output_stream(part) as stream:
+        stream.write(content)
+    system.move(part, own)
+
+
 def file_sizes(entries: DataFrame, path: str = "path") -> DataFrame:
     """entries with size, null where there is no such file. Files are asked for, not opened, and no folder is listed."""
     schema = T.StructType([*entries.schema, T.StructField("size", T.LongType())])

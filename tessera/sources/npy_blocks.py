@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .file_scan import opened
+from .file_scan import opened, save
 
 #: Bytes of a file that hold any header, and of a row range, about.
 HEAD_BYTES = 4096
@@ -100,16 +99,10 @@ def write_npy(blocks: DataFrame, seq_len: int, path: str = "path") -> tuple[int,
     width = seq_len + 1
     dealt = blocks.select(path, "block_idx", F.col("block").cast("array<smallint>").alias("block")).repartition(path).sortWithinPartitions(path, "block_idx")
 
-    def save(p: str, rows: list[np.ndarray]) -> None:
-        system, own = opened(p)
-        whole = np.concatenate(rows).reshape(-1, width)
+    def put(p: str, rows: list[np.ndarray]) -> None:
         out = io.BytesIO()
-        npy.write_array(out, whole, version=(1, 0), allow_pickle=False)
-        system.create_dir(own.rpartition("/")[0], recursive=True)
-        part = f"{own}.{uuid4().hex}"
-        with system.open_output_stream(part) as stream:
-            stream.write(out.getvalue())
-        system.move(part, own)
+        npy.write_array(out, np.concatenate(rows).reshape(-1, width), version=(1, 0), allow_pickle=False)
+        save(p, out.getvalue())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, files, n = None, [], 0, 0
@@ -124,13 +117,13 @@ def write_npy(blocks: DataFrame, seq_len: int, path: str = "path") -> tuple[int,
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 if names[lo] != held:
                     if rows:
-                        save(held, rows)
+                        put(held, rows)
                         files += 1
                     held, rows = names[lo], []
                 rows.append(values[lo * width : hi * width])
             n += len(names)
         if rows:
-            save(held, rows)
+            put(held, rows)
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([files]), pa.array([n])], ["files", "n"])
 

@@ -16,7 +16,7 @@ from tessera.functions import bfloat16
 from tessera.functions import expressions as X
 from tessera.operators import block_index, build, metrics, sampling, splits
 from tessera.operators.fold import ordered_fold
-from tessera.sources import file_scan, npy_blocks, shuffled_store
+from tessera.sources import file_scan, npy_blocks, shuffled_store, text_sources
 from tessera.sources.item_store import ItemStore
 
 
@@ -289,3 +289,27 @@ def test_bfloat16(spark):
     for r in plain.where("i >= 0").collect():
         back = np.uint32(expected[r["i"]] << 16).view(np.float32)
         assert r["d"] == back or math.isnan(r["d"]) and math.isnan(back)
+
+
+def test_corpus_from_manifest_files(spark, tmp_path):
+    """Files beyond the limit are not opened; a missing manifest is empty; relative and whole paths; one codec run each."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    root = tmp_path / "root"
+    root.mkdir()
+    for name, content in (("a.sid", bytes(range(12))), ("b.sid", b"bb"), ("c.sid", b"!no")):
+        (root / name).write_bytes(content)
+    os.mkfifo(root / "never.sid")
+    (tmp_path / "train").write_text(f"a.sid\t1\n# none\n\n{root}/b.sid\ngone.sid\t3\nnever.sid\n")
+    (tmp_path / "eval").write_text("c.sid 1\n")
+    (tmp_path / "times").write_text("".join(f"{__import__('hashlib').md5(c).hexdigest().upper()}=0:30 0:20\n" for c in (bytes(range(12)), b"bb", b"!no")))
+    durations = text_sources.read_durations(spark, str(tmp_path / "times"))
+    store = ItemStore(spark, str(tmp_path / "store"))
+    named = [("train", f"{tmp_path}/train"), ("eval", f"{tmp_path}/eval"), ("empty", f"{tmp_path}/none"), ("eval", f"{tmp_path}/eval")]
+    cfg = EngineConfig(seq_len=4, max_files=3)
+    counts = build.build_corpus(spark, named, str(root), durations, counting(str(marks)), cfg, store, str(tmp_path / "listing"))
+    assert [tuple(r) for r in counts.orderBy("split_ord").collect()] == [("train", 0, 2, 1), ("eval", 1, 0, 2), ("empty", 2, 0, 0)]
+    got = {os.path.basename(r["sid"]): (r["split"], r["status"], r["reason"], r["n_blocks"]) for r in store.items().collect()}
+    assert got == {"a.sid": ("train", "kept", None, 3), "b.sid": ("train", "kept", None, 1), "gone.sid": ("train", "skipped", "no source", 0), "c.sid": ("eval", "skipped", "codec", 0)}
+    assert [list(r["block"]) for r in store.blocks(4, 4).where(F.col("sid").endswith("b.sid")).collect()] == [[ord("b") + 1] * 2 + [0] * 3]
+    assert len(os.listdir(marks)) == 4  # c.sid is listed twice
