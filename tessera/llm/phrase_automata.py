@@ -30,6 +30,7 @@ million frequent runs more of the rare ones pass; that costs time and changes no
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ DEPTH = 5
 LEAST = 100
 #: Phrases listed per language: the report's length.
 TOP = 2000
-#: Words in a shard, about.
-SHARD = 2_000_000
+#: Words in a shard, about: some 400 MB while its automaton is built. Fewer shards report a phrase fewer times.
+SHARD = 5_000_000
 MAX_BITS = 1 << 27
 #: Salts of what is dealt by a word or a language.
 SALTS = 16
@@ -88,7 +89,7 @@ class Level:
 
     def keep(self, which: np.ndarray) -> Level:
         """The nodes of which alone; the others end nowhere."""
-        new = np.where(which, np.cumsum(which) - 1, -1)
+        new = np.where(which, np.cumsum(which) - 1, -1).astype(np.int32)
         at = np.where(self.at >= 0, new[self.at], -1)
         return Level(at, self.count[which], self.link[which], self.hashes[which], self.place[which])
 
@@ -99,7 +100,7 @@ class SuffixAutomaton:
 
     def __init__(self, ids: np.ndarray, word_hashes: np.ndarray):
         self.ids = ids
-        at = ids.astype(np.int64)
+        at = ids.astype(np.int32)
         count = np.bincount(at[at >= 0], minlength=len(word_hashes))
         place = np.zeros(len(word_hashes), np.int64)
         place[at[at >= 0]] = np.flatnonzero(at >= 0)
@@ -112,13 +113,14 @@ class SuffixAutomaton:
     def deepen(self) -> Level:
         """Add the runs of one word more, of which both parts of one word less are nodes."""
         above = self.levels[-1]
-        before, own = np.concatenate([[-1], above.at[:-1]]), above.at
+        before, own = np.concatenate([np.array([-1], np.int32), above.at[:-1]]), above.at
         ends = np.flatnonzero((before >= 0) & (own >= 0))
         # a run is its first k - 1 words and its last k - 1 words
-        key = before[ends] * np.int64(len(above.count) + 1) + own[ends]
+        key = before[ends] * np.int64(len(above.count) + 1) + own[ends]  # 64 bits, as the factor has
         _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        at = np.full(len(own), -1, np.int64)
+        at = np.full(len(own), -1, np.int32)
         at[ends] = inverse
+        del key, inverse
         place = ends[first]
         words = self.levels[0].hashes[self.levels[0].at[place]]
         hashes = _mixed(above.hashes[before[place]] + _mixed(words + np.uint64(len(self.levels))))
@@ -149,40 +151,39 @@ class SuffixAutomaton:
 
 
 class Shard:
-    """Words of some texts as they come, and their automaton."""
+    """Some texts as numbers, as they come. A word of two languages is two words."""
 
     def __init__(self):
-        self.chunks, self.langs, self.size = [], [], 0
+        self.known: dict[str, dict[bytes, int]] = {}
+        self.words, self.langs, self.parts, self.size = [], [], [], 0
 
     def add(self, texts: list[bytes | None], langs: list[str | None]) -> None:
         by: dict[str, list[bytes]] = {}
         for text, lang in zip(texts, langs, strict=True):
             if text:
                 by.setdefault("und" if lang is None else lang, []).append(text)
+        end = bytes([END])
         for lang, own in by.items():
-            end = bytes([END])
+            known = self.known.setdefault(lang, {end: -1})
             words = (end + end.join(own)).translate(BYTES).replace(end, b" " + end + b" ").split()
-            self.chunks.append(pa.array(words, pa.large_binary()))
-            self.langs.append((lang, len(words)))
+            coded = pa.array(words, pa.large_binary()).dictionary_encode()
+            numbers = []
+            for word in coded.dictionary.to_pylist():
+                number = known.get(word)
+                if number is None:
+                    number = known[word] = len(self.words)
+                    self.words.append(word)
+                    self.langs.append(lang)
+                numbers.append(number)
+            self.parts.append(np.array(numbers, np.int32)[coded.indices.to_numpy(zero_copy_only=False)])
             self.size += len(words)
 
-    def automaton(self) -> tuple[SuffixAutomaton, np.ndarray, list[bytes], list[str]]:
-        """(automaton, words as numbers, the words' bytes, the languages), with a word of two languages
-        being two words: a word's number // len(bytes) is its language's."""
-        coded = pa.chunked_array(self.chunks).combine_chunks().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = list(dict.fromkeys(lang for lang, _ in self.langs))
-        lang = np.repeat([names.index(x) for x, _ in self.langs], [n for _, n in self.langs])
-        breaks = ids == (words.index(bytes([END])) if bytes([END]) in words else -1)
-        pairs = lang * len(words) + ids
-        used, dense = np.unique(np.where(breaks, -1, pairs), return_inverse=True)
-        if len(used) and used[0] == -1:
-            used, dense = used[1:], dense - 1
-        seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in names]
-        plain = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        hashes = _mixed(plain[used % len(words)] + np.array(seeds, np.uint64)[used // len(words)])
-        return SuffixAutomaton(dense, hashes), used, words, names
+    def automaton(self) -> SuffixAutomaton:
+        """The automaton of the shard's words, by their numbers."""
+        ids, self.parts, self.known = np.concatenate(self.parts), [], {}
+        seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in set(self.langs)}
+        plain = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        return SuffixAutomaton(ids, _mixed(plain + np.array([seeds[x] for x in self.langs], np.uint64)))
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
@@ -202,7 +203,7 @@ def _hashed(docs: DataFrame, depth: int, filters: list[Broadcast], least: int, s
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
-            made = shard.automaton()[0]
+            made = shard.automaton()
             for k in range(1, depth):
                 if filters:
                     made.prune(filters[0].value)
@@ -241,25 +242,24 @@ def count_runs(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: in
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "shortest", "longest", "c"]
         for shard in shards(batches, size):
-            made, used, words, langs = shard.automaton()
-            of = used // len(words)
-            total = np.bincount(of[made.ids[made.ids >= 0]], minlength=len(langs)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([""] * len(langs)), pa.array([0] * len(langs), pa.int32()), pa.array([0] * len(langs), pa.int32()), pa.array(total, pa.int64())], names)
+            made, total = shard.automaton(), Counter()
+            for lang, n in zip(shard.langs, made.levels[0].count.tolist(), strict=True):
+                total[lang] += n
+            none = pa.array([0] * len(total), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([""] * len(total)), none, none, pa.array(list(total.values()), pa.int64())], names)
             for k in range(1, depth):
                 if k <= 3:  # words and triples by the last filter, pairs by the first
                     made.prune(filters[0 if k == 2 else -1].value)
                 made.deepen()
             if depth <= 3:
                 made.prune(filters[depth > 2].value)
-            plain = [w.decode(errors="replace") for w in words]  # the break is no text
             for longest, shortest, place, count in made.states():
                 for lo in range(0, len(place), 100_000):
                     own = slice(lo, lo + 100_000)
-                    at = used[made.ids[place[own]]]
-                    runs = np.stack([used[made.ids[place[own] - d]] % len(words) for d in range(longest - 1, -1, -1)], axis=1).tolist() if len(at) else []
+                    runs = np.stack([made.ids[place[own] - d] for d in range(longest - 1, -1, -1)], axis=1).tolist()
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([langs[i] for i in (at // len(words)).tolist()], pa.string()), pa.array([" ".join([plain[w] for w in run]) for run in runs], pa.string()),
-                        pa.array(shortest[own].astype(np.int32)), pa.array(np.full(len(at), longest, np.int32)), pa.array(count[own].astype(np.int64))], names)
+                        pa.array([shard.langs[run[-1]] for run in runs], pa.string()), pa.array([b" ".join([shard.words[w] for w in run]).decode() for run in runs], pa.string()),
+                        pa.array(shortest[own].astype(np.int32)), pa.array(np.full(len(runs), longest, np.int32)), pa.array(count[own].astype(np.int64))], names)
         release()
 
     states = docs.mapInArrow(each, "lang string, phrase string, shortest int, longest int, c long")
