@@ -102,7 +102,7 @@ class SuffixAutomaton:
         self.ids = ids
         at = ids.astype(np.int32)
         count = np.bincount(at[at >= 0], minlength=len(word_hashes))
-        place = np.zeros(len(word_hashes), np.int64)
+        place = np.zeros(len(word_hashes), np.int32)
         place[at[at >= 0]] = np.flatnonzero(at >= 0)
         self.levels = [Level(at, count, np.full(len(word_hashes), -1), word_hashes, place)]
 
@@ -117,14 +117,13 @@ class SuffixAutomaton:
         ends = np.flatnonzero((before >= 0) & (own >= 0))
         # a run is its first k - 1 words and its last k - 1 words
         key = before[ends] * np.int64(len(above.count) + 1) + own[ends]  # 64 bits, as the factor has
-        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        at = np.full(len(own), -1, np.int32)
-        at[ends] = inverse
-        del key, inverse
-        place = ends[first]
+        names, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        at, place = np.full(len(own), -1, np.int32), np.empty(len(names), np.int32)
+        at[ends], place[inverse] = inverse, ends
+        del key, inverse, ends, names
         words = self.levels[0].hashes[self.levels[0].at[place]]
         hashes = _mixed(above.hashes[before[place]] + _mixed(words + np.uint64(len(self.levels))))
-        self.levels.append(Level(at, count, own[place], hashes, place))
+        self.levels.append(Level(at, count.astype(np.int32), own[place], hashes, place))
         return self.levels[-1]
 
     def in_pairs(self) -> np.ndarray:
