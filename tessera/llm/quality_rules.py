@@ -11,7 +11,8 @@ at most RISK of the good documents of every stratum that the base rules let pass
 rules themselves reject is not bounded). Of the certified levels, the one that separates the labels
 best is taken, the more lenient one of equal ones, or none if none separates.
 
-Strata with fewer than LEAST good labels, or none, are pooled and tested as one.
+Each stratum is tested by its own labels alone. Where these are too few to refute anything (under 149
+good ones with ALPHA to itself, 252 among eight strata), it has no certificate and nothing is rejected.
 
 Defined results: a null text has no words; a null stratum is the empty one; documents without
 labels, and labels without documents, don't count; a document with several labels counts as good
@@ -31,8 +32,6 @@ from .shared import cut, split_words, table, whole
 RISK = 0.02
 #: The probability that this fails in some stratum.
 ALPHA = 0.05
-#: Good labels that a stratum needs to be tested on its own: so many without an error are enough for 16 strata.
-LEAST = 300
 #: Words in a window whose repetition counts.
 WINDOW = 8
 #: Per rule the cutoffs of the levels, in thousandths; a level's cutoffs are one step on one path.
@@ -118,12 +117,6 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(F.aggregate(terms, start, step)["s"])).otherwise(F.lit(1.0))
 
 
-def with_group(measured: DataFrame, sizes: DataFrame, least: int = LEAST) -> DataFrame:
-    """measured with group: the stratum behind a `=`, or `*` where sizes (stratum, n) has too few labels for it."""
-    own = sizes.where(F.col("n") >= least).select("stratum", F.concat(F.lit("="), "stratum").alias("group"))
-    return measured.join(own, "stratum", "left").withColumn("group", F.coalesce("group", F.lit("*")))
-
-
 def first_level(path: dict[str, tuple[int, ...]]) -> Column:
     """The first level that rejects a document; the number of levels if none does."""
     allowed = lambda rule, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c >= F.col(rule)))
@@ -131,33 +124,31 @@ def first_level(path: dict[str, tuple[int, ...]]) -> Column:
     return F.least(*passed) if len(passed) > 1 else passed[0]
 
 
-def choose_levels(measured: DataFrame, labels: DataFrame, path: dict[str, tuple[int, ...]] = PATH, risk: float = RISK, alpha: float = ALPHA, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(sizes, chosen): sizes (stratum, n) has the good labels of each stratum, chosen (group, level)
-    the level of each group that has one.
+def choose_levels(measured: DataFrame, labels: DataFrame, path: dict[str, tuple[int, ...]] = PATH, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
+    """(stratum, level): the level of each stratum that has one.
 
-    Labelled documents are reduced to counts per group and level before anything else.
+    Labelled documents are reduced to counts per stratum and level before anything else.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = cut(measured.join(good, "doc_id").where(F.col("quality").isNotNull() & ~F.col("base_failed")).select("stratum", "quality", first_level(path).alias("first")).groupBy("stratum", "quality", "first").agg(F.count("*").alias("c")))
-    sizes = cut(seen.groupBy("stratum").agg(F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("c"))), F.lit(0)).alias("n")))
     sums = lambda q, when=F.lit(True): F.coalesce(F.sum(F.when((F.col("quality") == q) & when, F.col("c"))), F.lit(0))
     levels = len(next(iter(path.values())))
     tried = F.array(*(F.struct(F.lit(i).alias("level"), sums(1, F.col("first") <= i).alias("k"), sums(0, F.col("first") <= i).alias("b")) for i in range(levels)))
-    tests = cut(with_group(seen, sizes, least).groupBy("group").agg(sums(1).alias("n"), sums(0).alias("m"), tried.alias("t")))
+    tests = cut(seen.groupBy("stratum").agg(sums(1).alias("n"), sums(0).alias("m"), tried.alias("t")))
     level = alpha / max(1, tests.count())
-    tests = tests.select("group", "n", "m", F.inline("t"))
-    lenient_first = Window.partitionBy("group").orderBy("level")
+    tests = tests.select("stratum", "n", "m", F.inline("t"))
+    lenient_first = Window.partitionBy("stratum").orderBy("level")
     sure = F.max(binomial_tail(F.col("k"), F.col("n"), risk)).over(lenient_first) <= F.lit(level)
     # b/m - k/n, compared in whole numbers
     gain = F.col("b") * F.col("n") - F.col("k") * F.col("m")
     best = F.max(F.struct(gain.alias("gain"), (-F.col("level")).alias("less")))
-    chosen = tests.withColumn("sure", sure).where("sure").groupBy("group").agg(best.alias("best")).where("best.gain > 0")
-    return sizes, cut(chosen.select("group", (-F.col("best.less")).alias("level")))
+    chosen = tests.withColumn("sure", sure).where("sure").groupBy("stratum").agg(best.alias("best")).where("best.gain > 0")
+    return cut(chosen.select("stratum", (-F.col("best.less")).alias("level")))
 
 
-def apply_levels(measured: DataFrame, sizes: DataFrame, chosen: DataFrame, path: dict[str, tuple[int, ...]] = PATH, least: int = LEAST) -> DataFrame:
-    """measured with group, level, rejected_by (rules above their cutoff) and kept."""
-    rows = with_group(measured, sizes, least).join(chosen, "group", "left")
+def apply_levels(measured: DataFrame, chosen: DataFrame, path: dict[str, tuple[int, ...]] = PATH) -> DataFrame:
+    """measured with level, rejected_by (rules above their cutoff) and kept."""
+    rows = measured.join(chosen, "stratum", "left")
     above = F.array_compact(F.array(*(F.when(F.col(rule) > F.get(F.array(*map(F.lit, grid)), F.col("level")), F.lit(rule)) for rule, grid in path.items())))
     return rows.withColumn("rejected_by", F.array_join(above, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
@@ -165,8 +156,7 @@ def apply_levels(measured: DataFrame, sizes: DataFrame, chosen: DataFrame, path:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the level chosen by all labels, by language."""
     measured = cut(measure(table(spark, sf_dir, "documents")))
-    sizes, chosen = choose_levels(measured, table(spark, sf_dir, "labels"))
-    return apply_levels(measured, sizes, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return apply_levels(measured, choose_levels(measured, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 def _oracle() -> str:
@@ -195,17 +185,16 @@ c AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_str
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stats} FROM c),
 g AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
 x AS (SELECT stratum, quality, least({first}) AS first FROM m JOIN g USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
-own AS (SELECT stratum FROM x GROUP BY stratum HAVING count(*) FILTER (quality = 1) >= {LEAST}),
-k AS (SELECT CASE WHEN own.stratum IS NULL THEN '*' ELSE '=' || own.stratum END AS grp, level,
+k AS (SELECT stratum, level,
              count(*) FILTER (quality = 1 AND first <= level) AS k, count(*) FILTER (quality = 0 AND first <= level) AS b,
              count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS m
-      FROM x LEFT JOIN own USING (stratum) CROSS JOIN (SELECT unnest(range({levels})) AS level) GROUP BY ALL),
+      FROM x CROSS JOIN (SELECT unnest(range({levels})) AS level) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k < n * {p} THEN list_sum(list_transform(range(0, k + 1), lambda i:
         exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) ELSE 1 END AS p FROM k),
-s AS (SELECT *, max(p) OVER (PARTITION BY grp ORDER BY level) <= {ALPHA} / (SELECT count(DISTINCT grp) FROM k) AS sure FROM p),
-best AS (SELECT grp, level FROM s WHERE sure AND b * n - k * m > 0
-         QUALIFY row_number() OVER (PARTITION BY grp ORDER BY b * n - k * m DESC, level) = 1),
-r AS (SELECT m.*, level FROM m LEFT JOIN own USING (stratum) LEFT JOIN best ON grp = CASE WHEN own.stratum IS NULL THEN '*' ELSE '=' || own.stratum END),
+s AS (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY level) <= {ALPHA} / (SELECT count(DISTINCT stratum) FROM k) AS sure FROM p),
+best AS (SELECT stratum, level FROM s WHERE sure AND b * n - k * m > 0
+         QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY b * n - k * m DESC, level) = 1),
+r AS (SELECT m.*, level FROM m LEFT JOIN best USING (stratum)),
 z AS (SELECT *, array_to_string(list_filter([{above}], lambda r: r IS NOT NULL), ',') AS rejected_by FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rejected_by = '' AS kept, rejected_by

@@ -378,22 +378,23 @@ def test_ledger(spark, tmp_path):
 
 
 def test_levels_control_risk(spark):
-    """Level 2 would reject 1 % of the good ones of s: not sure enough at 2 % of 3600 only if they are few; t is pooled."""
+    """Level 2 would reject 5 % of the good ones of s; t and u have too few labels for a certificate, v has enough;
+    w is a small stratum whose good ones all look bad."""
     from tessera.llm import quality_rules as q
 
     rows = [(i, "s", 0 if i % 10 else 100, int(i % 10 != 0), False) for i in range(4000)]
     rows += [(i, "s", 60, 1, False) for i in range(4000, 4200)] + [(i, "s", 99, 1, True) for i in range(4200, 5000)]  # 5 % of the good ones; and such as fail the base
     rows += [(i, "t", i % 2 * 95, i % 2 == 0, False) for i in range(5000, 5100)] + [(i, "u", 0, 1, False) for i in range(5100, 5300)]
+    rows += [(i, "v", 0 if i % 2 else 95, i % 2, False) for i in range(6000, 6500)] + [(i, "w", 95, 1, False) for i in range(7000, 7004)]
     measured = spark.createDataFrame([(i, s, x, f) for i, s, x, _, f in rows], "doc_id long, stratum string, r long, base_failed boolean")
     labels = spark.createDataFrame([(i, int(y)) for i, _, _, y, _ in rows], "doc_id long, quality int")
     path = {"r": (90, 70, 50)}
-    sizes, chosen = q.choose_levels(measured, labels, path)
-    assert {r["group"]: r["level"] for r in chosen.collect()} == {"=s": 0, "*": 0}
-    got = q.apply_levels(measured, sizes, chosen, path).groupBy("stratum", "kept").count().collect()
-    assert {(r["stratum"], r["kept"]): r["count"] for r in got} == {("s", True): 3800, ("s", False): 1200, ("t", True): 50, ("t", False): 50, ("u", True): 200}
-    # of 250 good labels, too few to be sure, nothing follows
-    few = measured.where("stratum = 't'")
-    assert q.choose_levels(few, labels, path)[1].count() == 0
+    chosen = q.choose_levels(measured, labels, path)
+    assert {r["stratum"]: r["level"] for r in chosen.collect()} == {"s": 0, "v": 0}
+    got = q.apply_levels(measured, chosen, path).groupBy("stratum", "kept").count().collect()
+    assert {(r["stratum"], r["kept"]): r["count"] for r in got} == {("s", True): 3800, ("s", False): 1200, ("t", True): 100, ("u", True): 200, ("v", True): 250, ("v", False): 250, ("w", True): 4}
+    # of 50 good labels, too few to be sure, nothing follows, even with all of the error to them
+    assert q.choose_levels(measured.where("stratum = 't'"), labels, path).count() == 0
     p = spark.range(1).select(q.binomial_tail(F.lit(3).cast("long"), F.lit(500).cast("long"), 0.02)).first()[0]
     from math import comb
 
