@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib import format as npy
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .file_scan import opened, save
 
@@ -62,6 +64,20 @@ def npy_counts(sized: DataFrame, seq_len: int, path: str = "path") -> DataFrame:
     return sized.mapInArrow(each, schema)
 
 
+def _rows(path: str, size: int, width: int, begin: int, step: int) -> np.ndarray:
+    """Up to step rows from begin on; nothing else of the file but its header is read."""
+    system, own = opened(path)
+    with system.open_input_file(own) as file:
+        rows, start, kind = _shape(file.read(HEAD_BYTES), size, width)
+        n = min(step, rows - begin)
+        file.seek(start + begin * width * kind.itemsize)
+        return np.frombuffer(file.read(n * width * kind.itemsize), kind).astype(np.int64).reshape(n, width)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+
+
 def read_npy(counted: DataFrame, seq_len: int, path: str = "path", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row per block of counted (path, size, n_blocks, ...; see npy_counts): its columns, block_idx
     and block. Misses have no rows. Ranges of rows are dealt out, so a long file is read by many tasks."""
@@ -74,17 +90,11 @@ def read_npy(counted: DataFrame, seq_len: int, path: str = "path", range_bytes:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (p, size, begin) in enumerate(zip(batch[path].to_pylist(), batch["size"].to_pylist(), batch["block_idx"].to_pylist(), strict=True)):
-                system, own = opened(p)
-                with system.open_input_file(own) as file:
-                    rows, start, kind = _shape(file.read(HEAD_BYTES), size, width)
-                    n = min(step, rows - begin)
-                    file.seek(start + begin * width * kind.itemsize)
-                    data = np.frombuffer(file.read(n * width * kind.itemsize), kind).astype(np.int64)
-                blocks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(data))
+                rows = _rows(p, size, width, begin, step)
                 at = batch.schema.get_field_index("block_idx")
-                columns = [batch.column(j).take(pa.array(np.full(n, i))) for j in range(batch.num_columns)]
-                columns[at] = pa.array(np.arange(begin, begin + n))
-                yield pa.RecordBatch.from_arrays([*columns, blocks], [*batch.schema.names, "block"])
+                columns = [batch.column(j).take(pa.array(np.full(len(rows), i))) for j in range(batch.num_columns)]
+                columns[at] = pa.array(np.arange(begin, begin + len(rows)))
+                yield pa.RecordBatch.from_arrays([*columns, _lists(rows)], [*batch.schema.names, "block"])
 
     return dealt.mapInArrow(each, schema)
 
@@ -129,3 +139,54 @@ def write_npy(blocks: DataFrame, seq_len: int, path: str = "path") -> tuple[int,
 
     done = dealt.mapInArrow(each, "files long, n long").agg(F.sum("files"), F.sum("n")).first()
     return done[0] or 0, done[1] or 0
+
+
+class RowRange(InputPartition):
+    def __init__(self, path: str, size: int, begin: int, step: int):
+        self.path, self.size, self.begin, self.step = path, size, begin, step
+
+
+class NpySource(DataSource):
+    """spark.read.format("npy_blocks").option("seq_len", n).load(path): all `.npy` files below a folder,
+    or one file, a row per block (path, block_idx, block), a partition per range of rows.
+
+    What is no file of blocks of this width is a miss and has no rows. The driver lists the files and
+    reads their headers; for very many, take npy_counts and read_npy, where tasks do. Register it by
+    spark.dataSource.register(NpySource). Option range_bytes: bytes of a range, about.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_blocks"
+
+    def schema(self) -> str:
+        return "path string, block_idx long, block array<bigint>"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return NpyReader(self.options)
+
+
+class NpyReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.width = options["path"], int(options["seq_len"]) + 1
+        self.step = max(1, int(options.get("range_bytes", RANGE_BYTES)) // (8 * self.width))
+
+    def partitions(self) -> list[RowRange]:
+        system, own = opened(self.path)
+        top = system.get_file_info(own)
+        infos = system.get_file_info(fs.FileSelector(own, recursive=True)) if top.type == fs.FileType.Directory else [top]
+        files = sorted((x.path, x.size) for x in infos if x.type == fs.FileType.File and x.path.endswith(".npy"))
+        out = []
+        for path, size in files:
+            named = path if "://" not in self.path else self.path[: len(self.path) - len(own)] + path
+            with system.open_input_file(path) as file:
+                found = _shape(file.read(HEAD_BYTES), size, self.width)
+            out += [RowRange(named, size, begin, self.step) for begin in range(0, found[0] if found else 0, self.step)]
+        return out
+
+    def read(self, partition: RowRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # of no ranges, Spark reads none as one
+            return
+        rows = _rows(partition.path, partition.size, self.width, partition.begin, self.step)
+        at = np.arange(partition.begin, partition.begin + len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows), pa.string()), pa.array(at), _lists(rows)], ["path", "block_idx", "block"])

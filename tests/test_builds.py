@@ -231,6 +231,13 @@ def test_npy_files(spark, tmp_path):
     for size in (1, 200, 1 << 20):
         got = {(r["name"], r["block_idx"]): list(r["block"]) for r in npy_blocks.read_npy(counted, 8, range_bytes=size).collect()}
         assert got == {(n, i): row for n, a in cases.items() for i, row in enumerate(a.tolist())}
+    spark.dataSource.register(npy_blocks.NpySource)
+    source = spark.read.format("npy_blocks").option("seq_len", 8)
+    for at in (str(tmp_path), f"file://{tmp_path}"):
+        found = {(os.path.basename(r["path"]), r["block_idx"]): list(r["block"]) for r in source.option("range_bytes", 100).load(at).collect()}
+        assert found == {(f"{n}.npy", i): row for n, a in cases.items() for i, row in enumerate(a.tolist())}
+    one = source.option("range_bytes", 72).load(f"{tmp_path}/good.npy")
+    assert one.count() == 4 and one.rdd.getNumPartitions() == 4 and source.load(f"{tmp_path}/none.npy").count() == 0
     rows = [(f"{tmp_path}/out/{k}/x.npy", i, [k * 100 + i * 9 + j for j in range(9)]) for k in range(5) for i in range(k + 1)]
     df = spark.createDataFrame(rows, "path string, block_idx long, block array<int>").repartition(3)
     assert npy_blocks.write_npy(df, 8) == (5, 15)
