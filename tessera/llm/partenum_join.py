@@ -70,7 +70,7 @@ LINKED = 500_000
 FAN = 256
 #: Words that a task remembers the digests of; beyond that the cache starts anew.
 CACHE_WORDS, CACHE_CHARS = 200_000, 32
-#: Elements per bin of the finer test, about, and the most classes whose names are broadcast to find their texts.
+#: Elements per bin of the finer test, about, and the most classes whose numbers are broadcast to find them or their texts.
 PER_BIN = 4
 BROADCAST = 1_000_000
 
@@ -494,6 +494,9 @@ def apart(pairs: DataFrame, found: DataFrame, hubs: list) -> DataFrame:
 def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, hubs: list | None = None) -> DataFrame:
     """Links (a, b) that span the components of those among pairs, whose hubs may be given."""
     hubs, n = hubs or hubs_of(pairs, "a", "b"), pairs.count()
+    if 2 * n <= BROADCAST:  # of few pairs, only the classes they name are dealt out
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        classes = classes.join(F.broadcast(ends), "cls", "left_semi")
     near = cut(screen(screen(pairs, classes, "bins", hubs), classes, "profile", hubs), n)
     n = near.count()
     if not n:
