@@ -7,17 +7,24 @@ language of the centroid with the greatest cosine, and is rejected if it is furt
 nearly all training texts of its length are from theirs. These distance limits come from a second
 pass over all training texts, as cosines counted in bins.
 
+Every label is learned. The centroids are a table, read in blocks of about BLOCK languages: a task
+holds one block at a time, and with more than one the documents pass once for each and carry the
+best language so far.
+
 Defined results: a text that is null or has no letter is `und` with score 0, and rejected; with
 nothing to learn from, every text is `und`; ties go to the language that sorts first; repeated
 rows each get a row; a null doc_id is not held out, and its text may teach; a very long text is read
 whole, as a batch of its own; an empty table gives an empty result. The results named lang_pred,
-score and rejected take the place of input columns of these names.
+score and rejected take the place of input columns of these names, in whatever case; all other
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,9 +39,10 @@ GRAMS = (1, 2, 3)
 #: Centroids of a language, and the most training texts (in expectation) that they are fitted on.
 CENTROIDS = 4
 SAMPLE = 1500
-#: Languages that are learned, those with the most training texts: so the model, which every task
-#: holds, stays small. Texts labelled otherwise are classified like all, but teach nothing.
-LANGUAGES = 1000
+#: Languages (in expectation) whose centroids a task holds at a time.
+BLOCK = 1000
+#: Bytes that the sizes of the languages with more than SAMPLE texts may have to be broadcast.
+BROADCAST_SIZES = 4 << 20
 #: Lengths in n-grams that part the bands with a distance limit of their own.
 BANDS = (16, 32, 64, 128, 256, 1024)
 #: The limit is the cosine that all but this share of the band's training texts reach, times MARGIN.
@@ -49,10 +57,10 @@ _LETTER[[i for i in range(0x3000) if chr(i).isalpha()]] = True
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
-    """Counts of hashed n-grams, a row per text."""
-    joined = "\n".join(t.lower().replace("\n", " ") for t in texts)
+    """Counts of hashed n-grams, a row per text, whatever texts are beside it."""
+    joined = "".join("\n" + t.lower().replace("\n", " ") for t in texts)
     c = np.frombuffer((joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    doc = np.cumsum(c == 10) - (c == 10)
+    doc = np.cumsum(c == 10) - 1  # the border before a text is its own
     letter = (c >= 0x3000) | _LETTER[np.minimum(c, 0x2FFF).astype(np.int64)]
     c = np.where(letter, c, 0)
     out = np.zeros(len(texts) * DIMENSIONS)
@@ -105,21 +113,63 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
-def fit(training: DataFrame) -> dict:
+@dataclass
+class Model:
+    """Document frequencies' weights and a table of centroids (lang, c) and one of limits (lang, bands)."""
+
+    idf: np.ndarray | None = None
+    blocks: int = 0
+    parts: DataFrame | None = None
+    limits: DataFrame | None = None
+
+    def centroids(self, block: int) -> dict[str, np.ndarray]:
+        """The centroids of a block's languages, by language."""
+        rows = self.parts.where(self.inside(block)).collect()
+        return {r["lang"]: np.frombuffer(r["c"], "<f4").reshape(-1, DIMENSIONS) for r in sorted(rows, key=lambda r: r["lang"])}
+
+    def block(self, block: int) -> dict:
+        """What a task needs to score texts by the block's languages, a row per centroid."""
+        parts = self.centroids(block)
+        overall, *_ = [_by_band(r) for r in self.limits.where("lang IS NULL").collect()]
+        bands = {r["lang"]: _by_band(r) for r in self.limits.where(F.col("lang").isNotNull() & self.inside(block)).collect()}
+
+        def limit(lang: str, band: int) -> float:
+            some = [x for x in (bands[lang].get(band), overall.get(band), bands[lang].get(-1), overall.get(-1)) if x]
+            return next((y for n, y in some if n >= ENOUGH), some[-1][1])
+
+        return {
+            "langs": [lang for lang, c in parts.items() for _ in c], "idf": self.idf,
+            "centroids": np.concatenate([*parts.values()]) if parts else np.zeros((0, DIMENSIONS), np.float32),
+            "limits": np.array([[limit(lang, b) for b in range(len(BANDS) + 1)] for lang, c in parts.items() for _ in c]),
+        }
+
+    def inside(self, block: int) -> Column:
+        return F.pmod(F.xxhash64("lang"), F.lit(self.blocks)) == block if self.blocks > 1 else F.lit(True)
+
+
+def _by_band(row) -> dict[int, tuple[int, float]]:
+    return {x["band"]: (x["n"], x["limit"]) for x in row["bands"]}
+
+
+def fit(training: DataFrame) -> Model:
     """The model of training (key, text, lang; no nulls in text and lang).
 
-    The key only helps to decide which texts are in the sample. Gathered on the driver: counts per
-    language, document frequencies (DIMENSIONS numbers), the centroids and the distance limits. Only
-    the centroids are fitted on the sample.
+    The key only helps to decide which texts are in the sample. Gathered on the driver: document
+    frequencies (DIMENSIONS numbers) and, of one block at a time, centroids and distance limits.
+    Only the centroids are fitted on the sample.
     """
     training = training.where(has_letter(F.col("text")))
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return {"langs": [], "idf": None, "centroids": None, "limits": None}
-    share = F.create_map(*(x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))))
+    sizes = cut(training.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sizes.count()
+    if not languages:
+        return Model()
+    large = sizes.where(F.col("n") > SAMPLE).select("lang", (SAMPLE / F.col("n")).alias("share"))
+    if (large.agg(F.sum(F.octet_length("lang") + 16).alias("n")).first()["n"] or 0) <= BROADCAST_SIZES:
+        large = F.broadcast(large)
     # the row's place counts, too: rows that share a key, or are the same, enter one by one
     uniform = F.pmod(F.xxhash64("key", "text", F.monotonically_increasing_id()), F.lit(1_000_000)) / 1_000_000.0
-    marked = training.select("text", "lang", F.coalesce(uniform < F.try_element_at(share, F.col("lang")), F.lit(False)).alias("sampled"))
+    marked = training.select("text", "lang", uniform.alias("u")).join(large, "lang", "left")
+    marked = marked.select("text", "lang", (F.col("u") < F.coalesce("share", F.lit(1.0))).alias("sampled"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -153,25 +203,20 @@ def fit(training: DataFrame) -> dict:
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "c": [centroids(weighted(counts, idf)).astype("<f4").tobytes()]})
 
     sampled = rows.where(F.col("lang").isNotNull()).select("lang", "v")
-    found = sorted(sampled.groupBy("lang").applyInPandas(cluster, "lang string, c binary").collect(), key=lambda r: r["lang"])
-    parts = {r["lang"]: np.frombuffer(r["c"], "<f4").reshape(-1, DIMENSIONS) for r in found}
-    limits = distance_limits(training, idf, parts)
-    return {
-        "langs": [lang for lang, c in parts.items() for _ in c], "idf": idf,
-        "centroids": np.concatenate([*parts.values()]) if parts else None,
-        "limits": np.array([limits[lang] for lang, c in parts.items() for _ in c]),
-    }
+    model = Model(idf, -(-languages // BLOCK), cut(sampled.groupBy("lang").applyInPandas(cluster, "lang string, c binary")))
+    model.limits = distance_limits(training, model)
+    return model
 
 
-def distance_limits(training: DataFrame, idf: np.ndarray, parts: dict[str, np.ndarray]) -> dict[str, list[float]]:
-    """Of each language, the least cosine of each band, by all training texts.
+def distance_limits(training: DataFrame, model: Model) -> DataFrame:
+    """(lang, bands): of each language and, as null, of all, the texts and the least cosine of each
+    band, by all training texts; band -1 is any length. At most eight bands a language.
 
     A band with fewer than ENOUGH texts has the limit of all languages' texts of the band; where
     these are too few as well, of the language's texts of any length, then of all texts.
     """
-    shared = training.sparkSession.sparkContext.broadcast((idf, parts))
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         idf, parts = shared.value
         seen: Counter = Counter()
         for part in _batches(frames):
@@ -183,7 +228,15 @@ def distance_limits(training: DataFrame, idf: np.ndarray, parts: dict[str, np.nd
                 seen.update(zip([name] * len(bins), band[own].tolist(), bins.tolist(), strict=True))
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "band", "bin", "n"])
 
-    binned = training.select("text", "lang").mapInPandas(measure, "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n"))
+    counted = []
+    for block in range(model.blocks):
+        shared = training.sparkSession.sparkContext.broadcast((model.idf, model.centroids(block)))
+        own = training.where(model.inside(block)).select("text", "lang")
+        counted.append(own.mapInPandas(partial(measure, shared=shared), "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n")))
+        if model.blocks > 1:
+            counted[-1] = cut(counted[-1])
+            shared.unpersist()
+    binned = reduce(DataFrame.unionByName, counted)
     # null stands for all languages, -1 for any length
     scopes = F.array(*(F.struct(lang.alias("lang"), band.alias("band")) for lang in (F.col("lang"), F.lit(None).cast("string")) for band in (F.col("band"), F.lit(-1))))
     summed = binned.select(F.explode(scopes).alias("s"), "bin", "n").groupBy("s", "bin").agg(F.sum("n").alias("n"))
@@ -194,38 +247,53 @@ def distance_limits(training: DataFrame, idf: np.ndarray, parts: dict[str, np.nd
         return F.struct(below.alias("below"), F.when((acc["bin"] < 0) & (below > F.col("n") * QUANTILE), x["bin"]).otherwise(acc["bin"]).alias("bin"))
 
     least = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("below"), F.lit(-1).alias("bin")), step)["bin"]
-    found = {(r["lang"], r["band"]): r for r in summed.select("s.lang", "s.band", "n", (least / BINS * MARGIN).alias("limit")).collect()}
+    found = summed.select("s.lang", F.struct("s.band", "n", (least / BINS * MARGIN).alias("limit")).alias("x"))
+    return cut(found.groupBy("lang").agg(F.collect_list("x").alias("bands")))
 
-    def limit(lang: str, band: int) -> float:
-        some = [found[k] for k in ((lang, band), (None, band), (lang, -1), (None, -1)) if k in found]
-        return next((r["limit"] for r in some if r["n"] >= ENOUGH), some[-1]["limit"])
 
-    return {lang: [limit(lang, b) for b in range(len(BANDS) + 1)] for lang in parts}
-
-
-def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs, without the text unless it is to be kept, with lang_pred, score and rejected; only
     the column text is an input."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if (keep_text or c != "text") and c not in ("lang_pred", "score", "rejected")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
+    results = ("lang_pred", "score", "rejected")
+    rest = [c for c in docs.columns if (keep_text or c != "text") and c.lower() not in results]
+    letter = "_letter"
+    while letter in {c.lower() for c in docs.columns}:
+        letter += "_"
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nearest(frames: Iterator[pd.DataFrame], shared, kept: list[str], first: bool, last: bool) -> Iterator[pd.DataFrame]:
         m = shared.value
-        names = np.array([*m["langs"], "und"], object)
+        names = np.array(m["langs"], object)
         for part in _batches(frames):
-            score, at, rejected = np.zeros(len(part)), np.full(len(part), len(names) - 1), np.ones(len(part), bool)
-            own = part["_letter"].to_numpy()
-            if own.any() and m["langs"]:
-                counts = gram_counts(part["text"][own].tolist())
+            if first:
+                pred, score, rejected = np.full(len(part), None, object), np.zeros(len(part)), np.ones(len(part), bool)
+            else:
+                pred, score, rejected = (part[c].to_numpy(copy=True) for c in results)
+            own = np.flatnonzero(part[letter].to_numpy())
+            if len(own) and len(names):
+                counts = gram_counts(part["text"].iloc[own].tolist())
                 cosine = weighted(counts, m["idf"]) @ m["centroids"].T
-                at[own] = cosine.argmax(axis=1)
-                score[own] = np.clip(cosine.max(axis=1), 0, 1)
-                rejected[own] = score[own] < m["limits"][at[own], np.searchsorted(BANDS, counts.sum(axis=1))]
-            yield part[rest].assign(lang_pred=names[at], score=score, rejected=rejected)
-
-    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInPandas(nearest, f"{kinds}, lang_pred string, score double, rejected boolean")
+                at, found = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0, 1).astype(float)
+                far = found < m["limits"][at, np.searchsorted(BANDS, counts.sum(axis=1))]
+                better = [pred[i] is None or (-x, names[j]) < (-score[i], pred[i]) for i, j, x in zip(own, at, found)]
+                own, at, found, far = own[better], at[better], found[better], far[better]
+                pred[own], score[own], rejected[own] = names[at], found, far
+            if last:
+                pred[pd.isna(pred)] = "und"
+            yield part[kept].assign(lang_pred=pred, score=score, rejected=rejected)
+
+    docs = docs.select(*(c for c in docs.columns if c == "text" or c in rest)).withColumn(letter, has_letter(F.col("text")))
+    blocks = max(model.blocks, 1)
+    for block in range(blocks):
+        last = block == blocks - 1
+        kept = rest if last else [*(c for c in docs.columns if c not in results)]
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
+        shared = docs.sparkSession.sparkContext.broadcast(model.block(block) if model.blocks else {"langs": []})
+        task = partial(nearest, shared=shared, kept=kept, first=block == 0, last=last)
+        docs = docs.mapInPandas(task, f"{kinds}, lang_pred string, score double, rejected boolean")
+        if not last:
+            docs = cut(docs)
+            shared.unpersist()
+    return docs
 
 
 def held_out(doc_id: Column) -> Column:

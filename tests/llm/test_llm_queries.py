@@ -158,7 +158,7 @@ def test_distance_limits_cover_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(m, "SAMPLE", 50)
     sf_dir = "/root/testdata/sf0.01"
     docs = m.training_rows(table(spark, sf_dir, "documents")).where(m.has_letter(F.col("text")))
-    model = m.fit(docs)
+    model = m.fit(docs).block(0)
     assert (model["limits"] > 0).all()
     rows = docs.toPandas()
     counts = np.concatenate([m.gram_counts(part["text"].tolist()) for part in m._batches(iter([rows]))])
@@ -176,6 +176,82 @@ def test_distance_limits_cover_all_training_texts(spark, monkeypatch):
     assert {0, 2} <= tried
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    from tessera.llm import language_id as m
+
+    def text(i):
+        return " ".join("".join(chr(97 + x) for x in np.random.default_rng(1000 * i + j).integers(0, 26, 6)) for j in range(6))
+
+    labels = 1500
+    rows = spark.createDataFrame([(str(i), text(i), f"l{i:04}") for i in range(labels)], "key string, text string, lang string")
+    model = m.fit(rows)
+    assert model.blocks == 2 and sum(len(model.centroids(b)) for b in range(2)) == labels
+    out = m.predict(rows, model).collect()
+    assert len(out) == labels and all(r["lang_pred"] == r["lang"] and r["score"] > 0.999 and not r["rejected"] for r in out)
+
+
+def test_blocks_change_nothing(spark, sf_dir, odd_docs, monkeypatch):
+    from tessera.llm import language_id as m
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.union(odd_docs.select("doc_id", "text", "lang")).withColumns({"_letter": F.lit("x"), "Score": F.lit("y")})
+    one = {}
+    for size in (1000, 1):
+        monkeypatch.setattr(m, "BLOCK", size)
+        model = m.fit(m.training_rows(docs))
+        assert (model.blocks > 1) == (size == 1)
+        out = m.predict(docs, model, keep_text=True)
+        assert out.columns == ["doc_id", "text", "lang", "_letter", "lang_pred", "score", "rejected"] and out.where("_letter = 'x'").count() == docs.count()
+        one[size] = sorted((str(r["doc_id"]), str(r["text"]), r["lang_pred"], round(r["score"], 4), r["rejected"]) for r in out.collect())
+    assert one[1000] == one[1]
+
+
+def test_op7_against_plain_python(spark, sf_dir):
+    """Grams, weights, cosines and distances restated without numpy, for texts of every band and odd ones."""
+    from tessera.llm import language_id as m
+
+    docs = table(spark, sf_dir, "documents")
+    model = m.fit(m.training_rows(docs))
+    block = model.block(0)
+    texts = [t for _, t in sorted(texts_of(spark, sf_dir).items()) if t][:60] + ["", "12 34", "a", "Ä", "é中𝄞", "a\nb", "x" * 50, "the", "el la", "𝒳 -- q", "İ"]
+
+    def grams(text):
+        c = [ord(x) if x.isalpha() else 0 for x in text.lower().replace("\n", " ")]
+        # letters beyond U+3000 and all else there count as letters
+        c = [ord(x) if ord(x) >= 0x3000 else y for x, y in zip(text.lower().replace("\n", " "), c)]
+        found, after, size = Counter(), [*c, 0, 0], len(c)
+        for i in range(-1, size):
+            h = 0
+            for n in (1, 2, 3):
+                if i + n > size + 1:
+                    break
+                h = (h + after[i + n - 1] + 1) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+                use = after[i] if n == 1 else after[i] or after[i + 1] if n == 2 else after[i + 1]
+                if use:
+                    found[h % m.DIMENSIONS] += 1
+        return found
+
+    seen = Counter(x for r in m.training_rows(docs).collect() if re.search(r"[^\W\d_]", r["text"]) for x in grams(r["text"]))
+    n = m.training_rows(docs).where(m.has_letter(F.col("text"))).count()
+    idf = {x: np.log((1 + n) / (1 + seen[x])) + 1 for x in range(m.DIMENSIONS)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in m.predict(rows, model, keep_text=True).collect():
+        if not re.search(r"[^\W\d_]", r["text"]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        g = grams(r["text"])
+        v = {x: k**0.5 * idf[x] for x, k in g.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(c[x] * y for x, y in v.items()) / norm for c in block["centroids"].tolist()]
+        assert r["score"] == pytest.approx(max(cosines), abs=1e-4)
+        likely = [i for i, x in enumerate(cosines) if x >= max(cosines) - 1e-4]
+        assert r["lang_pred"] in {block["langs"][i] for i in likely}
+        band = sum(sum(g.values()) > x for x in m.BANDS)
+        if len(likely) == 1 and abs(r["score"] - block["limits"][likely[0]][band]) > 1e-4:
+            assert r["rejected"] == (r["score"] < block["limits"][likely[0]][band])
+
+
 def components(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
