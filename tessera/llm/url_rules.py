@@ -5,7 +5,8 @@ A rule is a pattern: `*` is any run of characters, `^` one separator character o
 literal. From each pattern the tokens that any matching url must hold whole are taken, and the
 one that is rarest in the urls at hand becomes the rule's key. The tokens of a url fetch its
 candidate rules, and regular expressions run on those alone. Rules without such a token are
-candidates of every url, so nothing is missed.
+candidates of every url, so nothing is missed. Rules are a table of any size: written in Python,
+read from a list of lines (list_rules) or made otherwise and compiled (compile_rules).
 
 Defined results: a url that is null or has no `://` has an empty host and path, matches no rule
 and is allowed; of several fitting rules the lowest tier wins, then the longest pattern, then
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .shared import cut, repeated, table
 
-#: The rule table may be broadcast while it has no more rows than this; a larger one is joined by shuffle.
-BROADCAST_RULES = 100_000
+#: The index may be broadcast while its rules have no more bytes than this; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Rules (in expectation) that a row of the index has at most, however many share a token.
+CHUNK = 64
 #: Runs of these are the tokens of urls and patterns.
 TOKEN = "[a-z0-9]+"
 
@@ -48,6 +51,22 @@ def rule_table(spark: SparkSession, rows: list[tuple[str, str, str, int]]) -> Da
     return compile_rules(spark.range(1).select(F.inline(F.array(*each))))
 
 
+def list_rules(lines: DataFrame, tier: int = 1) -> DataFrame:
+    """The rules of a filter list, a line (value) each, compiled.
+
+    A line is a pattern to block, or after `@@` one to allow, which comes before all that block.
+    White space around a line is not part of it; empty lines, those that begin with `!` and nulls
+    are none; repeated lines are one rule.
+    """
+    line = F.regexp_replace(F.col("value"), r"^\s+|\s+$", "")
+    rules = lines.select(line.alias("name")).where("name <> '' AND name <> '@@' AND NOT startswith(name, '!')").distinct()
+    allow = F.col("name").startswith("@@")
+    return compile_rules(rules.select(
+        "name", F.when(allow, F.expr("substr(name, 3)")).otherwise(F.col("name")).alias("pattern"),
+        F.when(allow, "allow").otherwise("block").alias("verdict"), F.when(allow, tier).otherwise(tier + 1).alias("tier"),
+    ))
+
+
 def compile_rules(rules: DataFrame) -> DataFrame:
     """Add regex and tokens to rules (name, pattern, verdict, tier)."""
     p = F.col("pattern")
@@ -82,24 +101,29 @@ def tokens(subject: Column) -> Column:
     return F.array_distinct(F.concat(found, F.array(F.lit(""))))
 
 
-def index_rules(rules: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(token, candidates): the rules of each token, every rule under its rarest one.
+def _measure(rules: DataFrame) -> tuple[int, bool]:
+    """(parts, small): into how many parts a token's rules go, and whether all may be broadcast. A
+    rule is in one row of the index, and its tokens are parts of its pattern, so that this bounds both."""
+    width = sum(F.octet_length(c) for c in ("name", "pattern", "verdict", "regex")) + 100
+    r = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return max(1, -(-r["n"] // CHUNK)), r["bytes"] <= BROADCAST_BYTES
+
+
+def index_rules(rules: DataFrame, subjects: DataFrame, parts: int = 1, small: bool = False) -> DataFrame:
+    """(token, candidates): the rules of each token, every rule under its rarest one, those of a token
+    in one row or more.
 
     Counts are over the tokens of all subjects, reduced map-side, and only of tokens that
     occur in a rule. A token in no url comes first: such a rule can match nothing here.
     """
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    seen = subjects.select(F.explode(tokens(F.col("subject"))).alias("token")).join(_small(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
+    seen = subjects.select(F.explode(tokens(F.col("subject"))).alias("token")).join(F.broadcast(wanted) if small else wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
     each = rules.select("name", "verdict", "tier", "regex", F.length("pattern").alias("width"), F.explode_outer("tokens").alias("token"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), F.col("token").alias("token"))
     keyed = each.join(seen, "token", "left").groupBy("name", "verdict", "tier", "regex", "width").agg(F.min(rank)["token"].alias("token"))
     rule = F.struct((-F.col("tier")).alias("t"), F.col("width").alias("w"), F.col("name").alias("name"), F.col("verdict").alias("verdict"), F.col("regex").alias("regex"))
-    return keyed.groupBy(F.coalesce("token", F.lit("")).alias("token")).agg(F.collect_list(rule).alias("candidates"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it may."""
-    return F.broadcast(df) if df.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else df
+    part = F.pmod(F.xxhash64("name"), F.lit(parts))
+    return keyed.groupBy(F.coalesce("token", F.lit("")).alias("token"), part.alias("part")).agg(F.collect_list(rule).alias("candidates")).drop("part")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -110,15 +134,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     host, path, subject = url_parts(F.col("url"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), subject.alias("subject"))
-    index = cut(index_rules(rules, parts))
+    pieces, small = _measure(rules)
+    index = cut(index_rules(rules, parts, pieces, small))
     fitting = F.filter("candidates", lambda r: (F.col("subject") != "") & F.regexp_like(F.col("subject"), r["regex"]))
-    best = (
-        parts.withColumn("token", F.explode(tokens(F.col("subject"))))
-        .join(_small(index), "token", "left")
-        .withColumn("best", F.array_max(fitting))
-        .groupBy("page_id", "url", "host", "path")
-        .agg(F.max("best").alias("best"), F.count_if(F.col("token") == "").alias("rows"))
-    )
+    keyed = parts.withColumn("token", F.explode(tokens(F.col("subject"))))
+    # rows without a token of a rule stay: one a page says how often it is there
+    counted = parts.select("page_id", "url", "host", "path", F.lit(None).cast(index.schema["candidates"].dataType.elementType).alias("best"), F.lit(1).alias("one"))
+    matched = keyed.join(F.broadcast(index) if small else index, "token")
+    matched = matched.select("page_id", "url", "host", "path", F.array_max(fitting).alias("best"), F.lit(0).alias("one")).where("best IS NOT NULL")
+    best = matched.unionByName(counted).groupBy("page_id", "url", "host", "path").agg(F.max("best").alias("best"), F.sum("one").alias("rows"))
     return repeated(best, F.col("rows"), "_").select(
         "page_id", "url", "host", "path", F.col("best.name").alias("rule"), (-F.col("best.t")).alias("tier"),
         F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),

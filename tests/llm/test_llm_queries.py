@@ -143,6 +143,58 @@ def test_op4_with_scores(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("broadcast, chunk", [(1 << 25, 64), (0, 3)])
+def test_rule_lists(spark, tmp_path, monkeypatch, broadcast, chunk):
+    """Thousands of rules and urls with shared tokens, against regular expressions one by one."""
+    import random
+
+    from tessera.llm import url_rules as m
+
+    monkeypatch.setattr(m, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+
+    def word():
+        return words[min(int(r.expovariate(0.02)), 299)]
+
+    lines = {f"||{word()}.{r.choice(['com', 'org'])}^" for _ in range(400)} | {f"/{word()}/{word()}/" for _ in range(1500)}
+    lines |= {f"@@||{word()}.com/{word()}/" for _ in range(300)} | {f"?{word()}={word()}|" for _ in range(400)} | {f"/{word()}/*/{word()}^" for _ in range(500)}
+    lines |= {f"{word()}x*y" for _ in range(20)} | {"*q*z*", "a.b+c", "|w1.", "w299"}
+    (tmp_path / "list.txt").write_text("\n".join([*sorted(lines), "! a comment", "", "  ", "@@", *sorted(lines)[:50]]) + "\n")
+    urls = [f"http://{word()}.{r.choice(['com', 'org', 'net'])}/{'/'.join(word() for _ in range(r.randint(0, 4)))}{r.choice(['', '/', f'?{word()}={word()}'])}" for _ in range(2500)]
+    urls += urls[:20] + [None, "", "none", "x://", "x://a.b+c", "x://aXb+c", "x://w1.com"]
+
+    def regex(pattern):
+        out, body = "", pattern
+        if body.startswith("||"):
+            out, body = r"^(?:[^/?#]*\.)?", body[2:]
+        elif body.startswith("|"):
+            out, body = "^", body[1:]
+        end = body.endswith("|")
+        for c in body[:-1] if end else body:
+            out += ".*" if c == "*" else r"(?:[^A-Za-z0-9_.%\-]|$)" if c == "^" else re.escape(c)
+        return re.compile(out + ("$" if end else ""), re.S)
+
+    rules = [(2 if x.startswith("@@") else 1, x, regex(x.removeprefix("@@"))) for x in lines]
+    expected = Counter()
+    for i, u in enumerate(urls):
+        s = u.partition("://")[2] if u else ""
+        fits = [(t, len(x.removeprefix("@@")), x) for t, x, e in rules if s and e.search(s)]
+        expected[i // 2, u, max(fits)[2] if fits else None, "block" if fits and max(fits)[0] == 1 else "allow"] += 1
+    pages = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table_ = m.list_rules(spark.read.text(str(tmp_path / "list.txt")))
+    assert table_.count() == len(lines)
+    out = m.judge(pages, table_).select("page_id", "url", "rule", "verdict").collect()
+    assert Counter(map(tuple, out)) == expected
+    assert len({x[2] for x in expected}) > 300 and {"allow", "block"} == {x[3] for x in expected}
+    # the index spares nearly all runs of regular expressions
+    parts = pages.select(m.url_parts(F.col("url"))[2].alias("subject"))
+    runs = parts.select(F.explode(m.tokens(F.col("subject"))).alias("token")).join(m.index_rules(table_, parts, 7), "token").agg(F.sum(F.size("candidates"))).first()[0]
+    assert runs < 0.05 * len(lines) * len(urls)
+    print("regular expressions run:", runs, "of", len(lines) * len(urls))
+
+
 def test_op7(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op7_language_id"](spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").collect()
