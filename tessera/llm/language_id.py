@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, release, table
 
 DIMENSIONS = 4096
 #: Letters in an n-gram, word boundaries counted as letters.
@@ -109,6 +109,12 @@ def _batches(frames: Iterator[pd.DataFrame], column: str = "text", chars: int =
             yield frame.iloc[start:]
 
 
+def _released(frames: Iterator[pd.DataFrame], task) -> Iterator[pd.DataFrame]:
+    """What task makes of the frames; then the worker gives back what it has freed."""
+    yield from task(frames)
+    release()
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
@@ -182,7 +188,7 @@ def fit(training: DataFrame) -> Model:
                 yield pd.DataFrame({"lang": part["lang"].to_numpy()[own], "n": 1, "v": [x.tobytes() for x in counts[own].astype("<f4")]})
         yield pd.DataFrame({"lang": [None], "n": [n], "v": [df.astype("<i8").tobytes()]})
 
-    rows = cut(marked.mapInPandas(count, "lang string, n long, v binary"))
+    rows = cut(marked.mapInPandas(partial(_released, task=count), "lang string, n long, v binary"))
 
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -200,7 +206,10 @@ def fit(training: DataFrame) -> Model:
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         counts = np.stack([np.frombuffer(x, "<f4") for x in sorted(frame["v"])])
-        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "c": [centroids(weighted(counts, idf)).astype("<f4").tobytes()]})
+        found = centroids(weighted(counts, idf)).astype("<f4").tobytes()
+        del counts
+        release()
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "c": [found]})
 
     sampled = rows.where(F.col("lang").isNotNull()).select("lang", "v")
     model = Model(idf, -(-languages // BLOCK), cut(sampled.groupBy("lang").applyInPandas(cluster, "lang string, c binary")))
@@ -232,7 +241,7 @@ def distance_limits(training: DataFrame, model: Model) -> DataFrame:
     for block in range(model.blocks):
         shared = training.sparkSession.sparkContext.broadcast((model.idf, model.centroids(block)))
         own = training.where(model.inside(block)).select("text", "lang")
-        counted.append(own.mapInPandas(partial(measure, shared=shared), "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n")))
+        counted.append(own.mapInPandas(partial(_released, task=partial(measure, shared=shared)), "lang string, band int, bin int, n long").groupBy("lang", "band", "bin").agg(F.sum("n").alias("n")))
         if model.blocks > 1:
             counted[-1] = cut(counted[-1])
             shared.unpersist()
@@ -289,7 +298,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
         shared = docs.sparkSession.sparkContext.broadcast(model.block(block) if model.blocks else {"langs": []})
         task = partial(nearest, shared=shared, kept=kept, first=block == 0, last=last)
-        docs = docs.mapInPandas(task, f"{kinds}, lang_pred string, score double, rejected boolean")
+        docs = docs.mapInPandas(partial(_released, task=task), f"{kinds}, lang_pred string, score double, rejected boolean")
         if not last:
             docs = cut(docs)
             shared.unpersist()
