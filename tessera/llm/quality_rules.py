@@ -7,12 +7,16 @@ pass the base rules: a level is certified if the exact binomial test refutes, at
 significance, that all rules together reject more than RISK of the good ones. Multiple testing is
 corrected by Bonferroni over strata and by a fixed sequence within: levels are tested from the most
 lenient on, up to the first that is not certified. So with probability 1 - ALPHA the rules reject
-at most RISK of the good documents of every stratum that the base rules let pass (what the base
-rules themselves reject is not bounded). Of the certified levels, the one that separates the labels
+at most RISK of the good documents of every stratum, or pool, that the base rules let pass (what the
+base rules themselves reject is not bounded). Of the certified levels, the one that separates the labels
 best is taken, the more lenient one of equal ones, or none if none separates.
 
-Each stratum is tested by its own labels alone. Where these are too few to refute anything (under 149
-good ones with ALPHA to itself, 252 among eight strata), it has no certificate and nothing is rejected.
+Every stratum with enough labels to refute anything (149 good ones with ALPHA to itself, 252 among
+eight strata) is tested by its own. Strata with fewer than LEAST good labels, or too few for that, those
+without labels too, are tested together as well, as one pool. A stratum takes the level of its own
+certificate or, if it is in the pool, the pool's where that is stricter: there the bound holds for the
+pool's good documents as a whole, not for each of its strata. But a stratum whose own labels speak
+against the pool's level (more than RISK of its good ones would go) does not take it.
 
 Defined results: a null text has no words; a null stratum is the empty one; documents without
 labels, and labels without documents, don't count; a document with several labels counts as good
@@ -32,6 +36,8 @@ from .shared import cut, split_words, table, whole
 RISK = 0.02
 #: The probability that this fails in some stratum.
 ALPHA = 0.05
+#: Good labels below which a stratum is tested in the pool, too.
+LEAST = 300
 #: Words in a window whose repetition counts.
 WINDOW = 8
 #: Per rule the cutoffs of the levels, in thousandths; a level's cutoffs are one step on one path.
@@ -124,26 +130,32 @@ def first_level(path: dict[str, tuple[int, ...]]) -> Column:
     return F.least(*passed) if len(passed) > 1 else passed[0]
 
 
-def choose_levels(measured: DataFrame, labels: DataFrame, path: dict[str, tuple[int, ...]] = PATH, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """(stratum, level): the level of each stratum that has one.
+def choose_levels(measured: DataFrame, labels: DataFrame, path: dict[str, tuple[int, ...]] = PATH, risk: float = RISK, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
+    """(stratum, level): the level of each stratum of measured that has one.
 
-    Labelled documents are reduced to counts per stratum and level before anything else.
+    Labelled documents are reduced to counts per stratum and level before anything else. The
+    groups tested are single strata, named with a `=`, and the pool, `*`.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = cut(measured.join(good, "doc_id").where(F.col("quality").isNotNull() & ~F.col("base_failed")).select("stratum", "quality", first_level(path).alias("first")).groupBy("stratum", "quality", "first").agg(F.count("*").alias("c")))
     sums = lambda q, when=F.lit(True): F.coalesce(F.sum(F.when((F.col("quality") == q) & when, F.col("c"))), F.lit(0))
     levels = len(next(iter(path.values())))
     tried = F.array(*(F.struct(F.lit(i).alias("level"), sums(1, F.col("first") <= i).alias("k"), sums(0, F.col("first") <= i).alias("b")) for i in range(levels)))
-    tests = cut(seen.groupBy("stratum").agg(sums(1).alias("n"), sums(0).alias("m"), tried.alias("t")))
-    level = alpha / max(1, tests.count())
-    tests = tests.select("stratum", "n", "m", F.inline("t"))
-    lenient_first = Window.partitionBy("stratum").orderBy("level")
+    strata = measured.select("stratum").distinct().join(seen, "stratum", "left").groupBy("stratum")
+    strata = cut(strata.agg(sums(1).alias("n"), sums(0).alias("m"), tried.alias("t"), (F.count("quality") > 0).alias("labelled")))
+    alone = F.pow(F.lit(1 - risk), F.col("n")) <= F.lit(alpha / max(1, strata.where("labelled").count()))
+    groups = F.array_compact(F.array(F.when(alone, F.concat(F.lit("="), "stratum")), F.when((F.col("n") < least) | ~alone, F.lit("*"))))
+    own = cut(strata.withColumn("group", F.explode(groups)).select("stratum", "group", "labelled", "n", "m", F.inline("t")))
+    level = alpha / max(1, own.where("labelled").select("group").distinct().count())
+    tests = own.groupBy("group", "level").agg(*(F.sum(c).alias(c) for c in ("n", "m", "k", "b")))
+    lenient_first = Window.partitionBy("group").orderBy("level")
     sure = F.max(binomial_tail(F.col("k"), F.col("n"), risk)).over(lenient_first) <= F.lit(level)
     # b/m - k/n, compared in whole numbers
     gain = F.col("b") * F.col("n") - F.col("k") * F.col("m")
     best = F.max(F.struct(gain.alias("gain"), (-F.col("level")).alias("less")))
-    chosen = tests.withColumn("sure", sure).where("sure").groupBy("stratum").agg(best.alias("best")).where("best.gain > 0")
-    return cut(chosen.select("stratum", (-F.col("best.less")).alias("level")))
+    chosen = tests.withColumn("sure", sure).where("sure").groupBy("group").agg(best.alias("best")).where("best.gain > 0").select("group", (-F.col("best.less")).alias("level"))
+    fits = (F.col("group") != "*") | (F.col("k") <= F.col("n") * F.lit(risk))
+    return cut(own.join(chosen, ["group", "level"]).where(fits).groupBy("stratum").agg(F.max("level").alias("level")))
 
 
 def apply_levels(measured: DataFrame, chosen: DataFrame, path: dict[str, tuple[int, ...]] = PATH) -> DataFrame:
@@ -154,7 +166,7 @@ def apply_levels(measured: DataFrame, chosen: DataFrame, path: dict[str, tuple[i
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under the level chosen by all labels, by language."""
+    """All documents under the level chosen by all labels, by language or for the pool of small ones."""
     measured = cut(measure(table(spark, sf_dir, "documents")))
     return apply_levels(measured, choose_levels(measured, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
@@ -185,15 +197,19 @@ c AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_str
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {stats} FROM c),
 g AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
 x AS (SELECT stratum, quality, least({first}) AS first FROM m JOIN g USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
-k AS (SELECT stratum, level,
-             count(*) FILTER (quality = 1 AND first <= level) AS k, count(*) FILTER (quality = 0 AND first <= level) AS b,
-             count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS m
-      FROM x CROSS JOIN (SELECT unnest(range({levels})) AS level) GROUP BY ALL),
+own AS (SELECT stratum, level, count(quality) > 0 AS labelled,
+               count(*) FILTER (quality = 1 AND first <= level) AS k, count(*) FILTER (quality = 0 AND first <= level) AS b,
+               count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS m
+        FROM (SELECT DISTINCT stratum FROM m) LEFT JOIN x USING (stratum) CROSS JOIN (SELECT unnest(range({levels})) AS level) GROUP BY ALL),
+sized AS (SELECT *, pow({1 - p}, n) <= {ALPHA} / (SELECT count(DISTINCT stratum) FROM own WHERE labelled) AS alone FROM own),
+grouped AS (SELECT *, '=' || stratum AS grp FROM sized WHERE alone UNION ALL SELECT *, '*' FROM sized WHERE n < {LEAST} OR alone IS NOT TRUE),
+k AS (SELECT grp, level, sum(k)::BIGINT AS k, sum(b)::BIGINT AS b, sum(n)::BIGINT AS n, sum(m)::BIGINT AS m FROM grouped GROUP BY grp, level),
 p AS (SELECT *, CASE WHEN k < n * {p} THEN list_sum(list_transform(range(0, k + 1), lambda i:
         exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) ELSE 1 END AS p FROM k),
-s AS (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY level) <= {ALPHA} / (SELECT count(DISTINCT stratum) FROM k) AS sure FROM p),
-best AS (SELECT stratum, level FROM s WHERE sure AND b * n - k * m > 0
-         QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY b * n - k * m DESC, level) = 1),
+s AS (SELECT *, max(p) OVER (PARTITION BY grp ORDER BY level) <= {ALPHA} / (SELECT count(DISTINCT grp) FROM grouped WHERE labelled) AS sure FROM p),
+top AS (SELECT grp, level FROM s WHERE sure AND b * n - k * m > 0
+        QUALIFY row_number() OVER (PARTITION BY grp ORDER BY b * n - k * m DESC, level) = 1),
+best AS (SELECT stratum, max(level) AS level FROM grouped JOIN top USING (grp, level) WHERE grp <> '*' OR k <= n * {p} GROUP BY stratum),
 r AS (SELECT m.*, level FROM m LEFT JOIN best USING (stratum)),
 z AS (SELECT *, array_to_string(list_filter([{above}], lambda r: r IS NOT NULL), ',') AS rejected_by FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

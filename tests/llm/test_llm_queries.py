@@ -505,6 +505,22 @@ def test_ledger(spark, tmp_path):
     assert {r["path"]: r["t"] for r in clean.collect()} == {"p": 'x [SECRET]" y', "q": "clean", "r": 'x [SECRET]" y'}
 
 
+def test_small_strata_are_judged_together(spark):
+    """Three strata with 110 good labels each have no certificate of their own, but one together; of a fourth, whose
+    only good label would go, nothing is rejected; a fifth has no labels and goes with the pool."""
+    from tessera.llm import quality_rules as q
+
+    rows = [(1000 * s + i, f"s{s}", 0 if i < 110 else 95, int(i < 110)) for s in range(3) for i in range(150)]
+    rows += [(9000, "bad", 95, 1), (9001, "bad", 95, 0), (9100, "none", 95, None), (9101, "none", 0, None)]
+    measured = spark.createDataFrame([(i, s, x, False) for i, s, x, _ in rows], "doc_id long, stratum string, r long, base_failed boolean")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows if y is not None], "doc_id long, quality int")
+    path = {"r": (90, 70, 50)}
+    chosen = q.choose_levels(measured, labels, path)
+    assert {r["stratum"]: r["level"] for r in chosen.collect()} == {"s0": 0, "s1": 0, "s2": 0, "none": 0}
+    got = q.apply_levels(measured, chosen, path).where("NOT kept").groupBy("stratum").count().collect()
+    assert {r["stratum"]: r["count"] for r in got} == {"s0": 40, "s1": 40, "s2": 40, "none": 1}
+
+
 def test_levels_control_risk(spark):
     """Level 2 would reject 5 % of the good ones of s; t and u have too few labels for a certificate, v has enough;
     w is a small stratum whose good ones all look bad."""
