@@ -18,21 +18,25 @@ from ..operators.block_index import PREFIX, seeded_key
 
 #: Bytes of a row group, about: small enough that a range begins and ends near one's border.
 GROUP_BYTES = 4 << 20
+#: Blocks of a file, at most, about: a task sorts one file.
+FILE_BLOCKS = 100_000
 
 
-def write_shuffled(blocks: DataFrame, path: str, total: int, seed: int = 0, files: int = 64, group_bytes: int = GROUP_BYTES) -> None:
+def write_shuffled(blocks: DataFrame, path: str, total: int, seed: int = 0, files: int = 64, group_bytes: int = GROUP_BYTES, file_blocks: int = FILE_BLOCKS) -> None:
     """Write blocks (global_idx, which are all numbers below total, block, ...) with their place.
 
     Blocks move once: a place is the number of hashes in lower cells, counted over the numbers alone,
     and the rank within the cell. The counts are a row for each of the 16 ** PREFIX cells at most, and are
-    broadcast; files hold adjacent cells.
+    broadcast; files hold adjacent cells. There are `files` of them, or more, so that none has much over
+    file_blocks: a task sorts one of them, however many blocks there are.
     """
     spark, cells = blocks.sparkSession, 16**PREFIX
+    files = min(cells, max(files, -(-total // file_blocks)))
     named = lambda df: df.withColumn("_k", seeded_key(seed, "global_idx")).withColumn("_g", F.conv(F.substring("_k", 1, PREFIX), 16, 10).cast("long"))
     sizes = named(spark.range(total).withColumnRenamed("id", "global_idx")).groupBy("_g").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    dealt = named(blocks).withColumn("_file", F.floor(F.col("_g") * files / cells).cast("int")).repartition(files, "_file")
+    dealt = named(blocks).withColumn("_file", F.floor(F.col("_g") * files / cells).cast("int")).repartitionById(files, F.col("_file"))
     rank = F.row_number().over(Window.partitionBy("_file", "_g").orderBy("_k", "global_idx")) - 1
     placed = dealt.withColumn("_r", rank).join(F.broadcast(firsts), "_g").withColumn("place", (F.col("_first") + F.col("_r")).cast("long"))
     placed = placed.drop("_k", "_g", "_file", "_first", "_r").sortWithinPartitions("place")

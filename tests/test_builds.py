@@ -96,6 +96,17 @@ def test_splits_have_indexes_of_their_own(spark):
     assert wrong.count() == 0
 
 
+def test_files_of_a_shuffled_store_stay_small(spark, tmp_path):
+    """The more blocks, the more files; each has places of its own, next to each other."""
+    n, path = 2000, str(tmp_path / "store")
+    rows = spark.range(n).select(F.col("id").alias("global_idx"), F.array("id").cast("array<int>").alias("block"))
+    shuffled_store.write_shuffled(rows, path, n, seed=1, files=3, file_blocks=200)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
+    found = files.orderBy("a").collect()
+    assert len(found) == 10 and max(r["n"] for r in found) < 300
+    assert sum(r["n"] for r in found) == n and all(r["b"] - r["a"] + 1 == r["n"] for r in found)
+
+
 def test_sample_reads_its_range_only(spark, tmp_path):
     """Any fraction draws each block as often as it should; a small one touches few row groups."""
     n, path = 20_000, str(tmp_path / "store")
