@@ -10,10 +10,13 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow_batches import released, slices
+
 
 class Codec(Protocol):
     """Source bytes to program ids, and whether ids decode to a program."""
@@ -38,14 +41,15 @@ class Renderer(Protocol):
 def recover(entries: DataFrame, codec: Codec) -> DataFrame:
     """entries (content, subtune, frames, ...) with ids, model ids from 1 on, and error in place of
     content: an entry that the codec refuses is skipped with its reason and does not fail the job. An
-    entry without content is not tried and has neither."""
+    entry without content is not tried and has neither. A worker holds the content and ids of a slice, not
+    of a batch, as objects."""
     rest = [f for f in entries.schema if f.name != "content"]
     schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())])
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "content"):
             ids, errors = [], []
-            for content, subtune, n in zip(frame["content"], frame["subtune"], frame["frames"], strict=True):
+            for content, subtune, n in zip(*(part[c].to_pylist() for c in ("content", "subtune", "frames")), strict=True):
                 if content is None:
                     ids.append(None)
                     errors.append(None)
@@ -56,9 +60,10 @@ def recover(entries: DataFrame, codec: Codec) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  any refusal is a skip
                     ids.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield frame.drop(columns="content").assign(ids=ids, error=errors)
+            columns = [*(part[f.name] for f in rest), pa.array(ids, pa.list_(pa.int32())), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return entries.mapInPandas(each, schema)
+    return entries.mapInArrow(released(each), schema)
 
 
 def decodes(codec: Codec, ids: Column) -> Column:

@@ -7,6 +7,7 @@ import random
 import stat
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.config import EngineConfig
 from tessera.functions import bfloat16
 from tessera.functions import expressions as X
-from tessera.operators import block_index, build, metrics, sampling, splits
+from tessera.functions.arrow_batches import slices
+from tessera.operators import block_index, boundary, build, metrics, sampling, splits
 from tessera.operators.fold import ordered_fold
 from tessera.sources import file_scan, npy_blocks, shuffled_store, text_sources
 from tessera.sources.item_store import ItemStore
@@ -107,6 +109,40 @@ def test_files_of_a_shuffled_store_stay_small(spark, tmp_path):
     assert sum(r["n"] for r in found) == n and all(r["b"] - r["a"] + 1 == r["n"] for r in found)
 
 
+def test_codec_sees_bounded_slices():
+    """Python objects are made of a few rows and bytes at a time, whatever a batch has, and of a long value alone."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * 100] * 2500 + [None, b"y" * (3 << 20), b"z"])], ["content"])
+    sizes = [part.num_rows for part in slices([batch], "content")]
+    assert sum(sizes) == batch.num_rows and max(sizes) <= 1000
+    assert all(part.num_rows == 1 or sum(len(x or b"") for x in part["content"].to_pylist()) <= 1 << 20 for part in slices([batch], "content"))
+
+
+def test_codec_holds_a_slice(spark):
+    """recover hands on the results of a slice before it takes the next, and loses no row."""
+
+    class Numbers:
+        def __init__(self):
+            self.n = 0
+
+        def encode(self, content, subtune, frames):
+            self.n += 1
+            return [int(content)]
+
+    class Frame:  # entries whose tasks run here
+        schema = spark.createDataFrame([], "subtune int, frames long, content binary").schema
+
+        def mapInArrow(self, each, schema):
+            return each
+
+    codec = Numbers()
+    columns = [pa.array([1] * 5000, pa.int32()), pa.array([9] * 5000), pa.array([str(i).encode() if i % 5 else None for i in range(5000)], pa.binary())]
+    out = boundary.recover(Frame(), codec)(iter([pa.RecordBatch.from_arrays(columns, ["subtune", "frames", "content"])]))
+    first = next(out)
+    assert first.num_rows == 1000 and codec.n == 800
+    ids = first["ids"].to_pylist() + [x for part in out for x in part["ids"].to_pylist()]
+    assert ids == [[i + 1] if i % 5 else None for i in range(5000)]
+
+
 def test_sample_reads_its_range_only(spark, tmp_path):
     """Any fraction draws each block as often as it should; a small one touches few row groups."""
     n, path = 20_000, str(tmp_path / "store")
