@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow_batches import released, slices
 from ..operators.block_index import running
 
 #: Bytes that a task reads, about, and at a time where content isn't asked for.
@@ -28,17 +29,22 @@ def write_files(files: DataFrame, path: str = "path", content: str = "content")
     under its name when it is whole, so a task that is run again does no harm."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, whole in zip(batch[path].to_pylist(), batch[content].to_pylist(), strict=True):
-                save(p, whole)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+        made: set[str] = set()
+        for part in slices(batches, content):
+            for p, whole in zip(part[path].to_pylist(), part[content].to_pylist(), strict=True):
+                save(p, whole, made)
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], ["n"])
 
-    return files.select(path, content).mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+    return files.select(path, content).mapInArrow(released(each), "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def save(path: str, content: bytes) -> None:
+def save(path: str, content: bytes, made: set[str]) -> None:
+    """Write a file; made has the folders that the caller has made so far."""
     system, own = opened(path)
-    system.create_dir(own.rpartition("/")[0], recursive=True)
+    folder = path.rpartition("/")[0]
+    if folder not in made:
+        system.create_dir(own.rpartition("/")[0], recursive=True)
+        made.add(folder)
     part = f"{own}.{uuid4().hex}"
     with system.open_output_stream(part) as stream:
         stream.write(content)
@@ -82,6 +88,7 @@ def scan_files(sized: DataFrame, order: list[str], path: str = "path", with_cont
     content = [T.StructField("content", T.BinaryType())] if with_content else []
     schema = T.StructType([*dealt.schema, T.StructField("content_md5", T.StringType()), *content, T.StructField("missing", T.StringType())])
     names = [f.name for f in schema]
+    kinds = [pa.string(), *([pa.binary()] if with_content else []), pa.string()]
 
     def read(p: str) -> tuple[str, bytes | None]:
         system, own = opened(p)
@@ -96,6 +103,7 @@ def scan_files(sized: DataFrame, order: list[str], path: str = "path", with_cont
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            begin, held, found = 0, 0, []
             for i, (p, size) in enumerate(zip(batch[path].to_pylist(), batch["size"].to_pylist(), strict=True)):
                 digest = whole = None
                 missing = "no file" if size is None else None
@@ -104,7 +112,12 @@ def scan_files(sized: DataFrame, order: list[str], path: str = "path", with_cont
                         digest, whole = read(p)
                     except OSError as e:
                         missing = f"unreadable: {type(e).__name__}"
-                more = [pa.array([digest], pa.string()), *([pa.array([whole], pa.binary())] if with_content else []), pa.array([missing], pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *more], names)
-
-    return dealt.mapInArrow(each, schema)
+                found.append((digest, whole, missing) if with_content else (digest, missing))
+                held += len(whole or b"")
+                # files go on together, but of content no more is held than CHUNK and a file
+                if held >= CHUNK or i + 1 == batch.num_rows:
+                    more = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(found)).columns, *more], names)
+                    begin, held, found = i + 1, 0, []
+
+    return dealt.mapInArrow(released(each), schema)

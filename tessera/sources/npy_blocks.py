@@ -109,13 +109,13 @@ def write_npy(blocks: DataFrame, seq_len: int, path: str = "path") -> tuple[int,
     width = seq_len + 1
     dealt = blocks.select(path, "block_idx", F.col("block").cast("array<smallint>").alias("block")).repartition(path).sortWithinPartitions(path, "block_idx")
 
-    def put(p: str, rows: list[np.ndarray]) -> None:
+    def put(p: str, rows: list[np.ndarray], made: set[str]) -> None:
         out = io.BytesIO()
         npy.write_array(out, np.concatenate(rows).reshape(-1, width), version=(1, 0), allow_pickle=False)
-        save(p, out.getvalue())
+        save(p, out.getvalue(), made)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, files, n = None, [], 0, 0
+        held, rows, files, n, made = None, [], 0, 0, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,13 +127,13 @@ def write_npy(blocks: DataFrame, seq_len: int, path: str = "path") -> tuple[int,
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 if names[lo] != held:
                     if rows:
-                        put(held, rows)
+                        put(held, rows, made)
                         files += 1
                     held, rows = names[lo], []
                 rows.append(values[lo * width : hi * width])
             n += len(names)
         if rows:
-            put(held, rows)
+            put(held, rows, made)
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([files]), pa.array([n])], ["files", "n"])
 

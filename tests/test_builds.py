@@ -143,6 +143,29 @@ def test_codec_holds_a_slice(spark):
     assert ids == [[i + 1] if i % 5 else None for i in range(5000)]
 
 
+def test_a_folder_is_made_once(tmp_path, monkeypatch):
+    """Files of one folder ask for it once; the folder is named as the caller names it."""
+    made, asked = set(), []
+
+    class Asked:
+        def __init__(self, system):
+            self.system = system
+
+        def create_dir(self, folder, recursive):
+            asked.append(folder)
+            self.system.create_dir(folder, recursive=recursive)
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+    was = file_scan.opened
+    monkeypatch.setattr(file_scan, "opened", lambda path: (Asked(was(path)[0]), was(path)[1]))
+    for i, folder in enumerate("aab"):
+        file_scan.save(f"{tmp_path}/{folder}/{i}", b"x", made)
+    assert asked == [f"{tmp_path}/a", f"{tmp_path}/b"]
+    assert sorted(os.listdir(tmp_path / "a")) == ["0", "1"] and os.listdir(tmp_path / "b") == ["2"]
+
+
 def test_sample_reads_its_range_only(spark, tmp_path):
     """Any fraction draws each block as often as it should; a small one touches few row groups."""
     n, path = 20_000, str(tmp_path / "store")
