@@ -1,47 +1,21 @@
-"""Token ids of whole texts by a public byte-level BPE vocabulary, a word at a time from a cache."""
+"""Token ids of whole texts by a public byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
 import base64
-import re
 import struct
 from functools import lru_cache
 
-#: Words of at most CACHE_CHARS characters that a Python worker remembers; beyond that the cache
-#: starts anew. Together these hold some 90 MB at most, as workers live on from task to task.
-CACHE_WORDS, CACHE_CHARS = 400_000, 32
 #: The vocabulary, by its name among the public tokenizer files, as JSON and as ranks.
 VOCABULARY = "byte_bpe_50k"
 
-#: A space with white space, or nothing, beside it; and a space with neither.
-_BESIDE_SPACE = re.compile(r"\s |^ | $| \s")
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= CACHE_CHARS:
-            self[word] = found
-        return found
-
 
 class Encoder:
     """encode(text): the ids that `tokenizers` gives with add_special_tokens=False, as bytes.
 
-    A space between two other characters always begins a new piece of the vocabulary's pattern,
-    so a text's ids are those of its words, each with the space before it. tiktoken holds the
-    same vocabulary as ranks and is faster on single words. A text with the string of a special
-    token goes to `tokenizers` whole.
+    tiktoken holds the same vocabulary as ranks, cuts by the same pattern and is faster; a text goes
+    to it whole, in one call, so nothing is kept from one text to the next. A text with the string
+    of a special token goes to `tokenizers`.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -52,7 +26,7 @@ class Encoder:
         self.json_path = json_path
         #: Ids lie below this; the one beyond the ranks is the special token's.
         self.size = max(ranks.values()) + 2
-        self.words = _Words(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @lru_cache(maxsize=1)  # noqa: B019
     def whole(self):
@@ -63,19 +37,13 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|endoftext|>" in text:
-            ids = self.whole().encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        # other white space next to a space could take it into its own piece
-        parts = _SAFE_SPACE.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
-        if len(parts) == 1:
-            return self.words[text]
-        return b"".join(map(self.words.__getitem__, [parts[0], *map(" ".__add__, parts[1:])]))
+        ids = self.whole().encode(text, add_special_tokens=False).ids if "<|endoftext|>" in text else self.plain(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """One per Python worker; its cache serves all tasks of that worker."""
+    """One per Python worker, for all tasks of that worker."""
     import public_tokenizers
 
     return Encoder(public_tokenizers.path(f"{vocabulary}.json"), public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN)
