@@ -24,8 +24,8 @@ the number of buckets follows the number of shingles. Parts are named by 48 bits
 which only costs a comparison where it errs; classes travel by 64 bits of a name of 128, and those
 that agree in these are told apart before anything is compared.
 
-What is probabilistic: two different words count as one if 128 bits of their BLAKE2 digests agree,
-two sets as equal if 128 bits over both hashes of their shingles do, and in an intersection two
+What is probabilistic: two different words count as one if their XXH3 hashes of 128 bits agree (not
+a cryptographic hash: among words not made to agree, that is no likelier than with one), two sets as equal if 128 bits over both hashes of their shingles do, and in an intersection two
 shingles as one if a hash of 64 bits does (for two sets of 10,000 shingles, a chance of 1e-11).
 
 Defined results: a document without words (or a null text) has an empty set and is linked with
@@ -41,11 +41,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +69,11 @@ BLOCK_BINS = 512
 LINKED = 500_000
 #: Rows of one key beyond which a join on it is salted.
 FAN = 256
-#: Words that a task remembers the digests of; beyond that the cache starts anew.
-CACHE_WORDS, CACHE_CHARS = 200_000, 32
 #: Elements per bin of the finer test, about, and the most classes whose numbers are broadcast to find them or their texts.
 PER_BIN = 4
 BROADCAST = 1_000_000
+#: The most rows (of a few numbers and a name) that go whole to every task rather than have sets or hot members shuffled.
+FEW = 100_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -85,27 +86,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """word -> 128 bits of its BLAKE2 digest."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = hashlib.blake2b(word, digest_size=16).digest()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= CACHE_CHARS:
-            self[word] = found
-        return found
-
-
-_WORDS = _Words()
-
-
 def released(each):
     """each, a function over the batches of a task, after which the worker gives back its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(batches)
-        _WORDS.clear()
         release()
 
     return run
@@ -115,18 +100,18 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[
     """(elements, sizes, names): the sorted shingle hashes of each text, one text after the other,
     and 128 bits that name each set.
 
-    Words are told apart by 128 bits of a cryptographic digest, shingles by two hashes of 64 bits
+    Words are told apart by a hash of 128 bits, shingles by two hashes of 64 bits
     over different halves of these. Elements are the first; the name covers both.
     """
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: ASCII letters and white space only
     n_words = np.array([len(w) for w in words], np.int64)
-    ids = np.frombuffer(b"".join([x for w in words for x in map(_WORDS.__getitem__, w)]), "<u8").reshape(-1, 2)
+    ids = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(words))), "<u8").reshape(-1, 2)
     del words
     first = np.cumsum(n_words) - n_words
     size = max(0, len(ids) - SHINGLE + 1)
-    chain, other = np.zeros(size, _U), np.zeros(size, _U)
+    rolled, other = np.zeros(size, _U), np.zeros(size, _U)
     for i in range(SHINGLE):
-        chain = mix(chain * _P + ids[i : i + size, 0] + _U(1))
+        rolled = mix(rolled * _P + ids[i : i + size, 0] + _U(1))
         other = other * _P + ids[i : i + size, 1]
     other = mix(other)
     n = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, (n_words > 0).astype(np.int64))
@@ -135,7 +120,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[
     at = np.arange(len(owner)) - begins[owner] + first[owner]
     out, more = np.zeros(len(owner), _U), np.zeros(len(owner), _U)
     long = n_words[owner] >= SHINGLE
-    out[long], more[long] = chain[at[long]], other[at[long]]
+    out[long], more[long] = rolled[at[long]], other[at[long]]
     for i in np.flatnonzero(~long):  # fewer words than a shingle: all of them as one
         d = owner[i]
         raw = ids[first[d] : first[d] + n_words[d]].tobytes()
@@ -298,15 +283,16 @@ def bucketed_signatures(docs: DataFrame, buckets: int, bits: int = 64) -> DataFr
 
 
 def match(packed: DataFrame, buckets: int) -> DataFrame:
-    """(kind, a, b): kinds 0 and 2 are pairs of classes a < b that share a signature, 0 with the
-    smallest class that has it; kind 1 is the class b of hot signature a, more than once if several
-    slices have it."""
+    """(kind, a, b, first): kinds 0 and 2 are pairs of classes a < b that share a signature, 0 with the
+    smallest class that has it; kind 1 is the class b of hot signature a. Where all classes of such a
+    signature are here, first is the smallest of them; where slices have sent theirs elsewhere, first is
+    null and a class may come more than once."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         get = lambda column, kind: [np.frombuffer(x, kind) for x in frame[column]]
         if frame["bucket"].iloc[0] >= buckets:  # classes of signatures that are hot within a slice
             numbers, members = np.concatenate(get("high", "<u8")).view(np.int64), np.concatenate(get("cls", "<i8"))
-            return pd.DataFrame({"kind": np.ones(len(numbers), np.int32), "a": numbers, "b": members})
+            return pd.DataFrame({"kind": np.ones(len(numbers), np.int32), "a": numbers, "b": members, "first": pd.array([pd.NA] * len(numbers), "Int64")})
         place = get("place", "<u2")
         s = np.concatenate(get("high", "<u4")).astype(_U) << _U(16) | np.concatenate(get("low", "<u2")).astype(_U)
         cls = np.concatenate([c[p] for c, p in zip(get("cls", "<i8"), place, strict=True)])
@@ -324,9 +310,11 @@ def match(packed: DataFrame, buckets: int) -> DataFrame:
         new[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1]) | (size[1:] != size[:-1])
         s, cls, size, mark = s[new], cls[new], size[new], mark[new]
         _, which, n = np.unique(s, return_inverse=True, return_counts=True)
-        hot = (n[which] > HOT) | (np.bincount(which, mark, len(n)) > 0)[which] if len(s) else np.zeros(0, bool)
+        spread = (np.bincount(which, mark, len(n)) > 0)[which] if len(s) else np.zeros(0, bool)
+        hot = (n[which] > HOT) | spread if len(s) else spread
         gid = (s[hot & ~mark] | (_U(frame["bucket"].iloc[0]) << _U(48))).view(np.int64)
-        members = cls[hot & ~mark]
+        members, open_ = cls[hot & ~mark], spread[hot & ~mark]
+        least = cls[(np.cumsum(n) - n)[which[hot & ~mark]]]  # classes of a signature ascend
         s, cls, size = s[~hot], cls[~hot], size[~hot]
         start = np.ones(len(s), bool)
         start[1:] = s[1:] != s[:-1]
@@ -337,11 +325,12 @@ def match(packed: DataFrame, buckets: int) -> DataFrame:
             found.append(np.stack([kind, cls[:-d], cls[d:]], 1)[near] if d < len(s) else found[0])
         pairs = np.unique(np.concatenate(found), axis=0)
         hot_rows = np.stack([np.ones(len(gid), np.int64), gid, members], 1)
-        del s, cls, size, mark, found, order, keep, same
+        first = pd.arrays.IntegerArray(np.concatenate([np.zeros(len(pairs), np.int64), least]), np.concatenate([np.ones(len(pairs), bool), open_]))
+        del s, cls, size, mark, found, order, keep, same, which, spread
         release()
-        return pd.DataFrame(np.concatenate([pairs, hot_rows]), columns=["kind", "a", "b"]).astype({"kind": np.int32})
+        return pd.DataFrame(np.concatenate([pairs, hot_rows]), columns=["kind", "a", "b"]).astype({"kind": np.int32}).assign(first=first)
 
-    return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long")
+    return packed.groupBy("bucket").applyInPandas(each, "kind int, a long, b long, first long")
 
 
 def hubs_of(rows: DataFrame, *keys: str) -> list[DataFrame | None]:
@@ -404,12 +393,14 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([raw[8 * b : 8 * (b + n)] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["name", "elements"])
 
     found = near.mapInArrow(released(each), "name binary, elements binary")
-    return found.join(wanted.select("cls", "name", "n_shingles"), "name").drop("name").dropDuplicates(["cls"])
+    names = wanted.select("cls", "name", "n_shingles")
+    return found.join(F.broadcast(names) if wanted.count() <= FEW else names, "name").drop("name").dropDuplicates(["cls"])
 
 
 def compare_sets(pairs: DataFrame, sets: DataFrame, hubs: list) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
-    both = beside(pairs, "b", sets.select("cls", "elements").toDF("b", "eb"), hubs[1])
+    """The pairs (a, b) of classes that are linked. Few pairs go to the sets, so that these are shuffled once."""
+    few = hubs[1] is None and pairs.count() <= FEW
+    both = beside(F.broadcast(pairs) if few else pairs, "b", sets.select("cls", "elements").toDF("b", "eb"), hubs[1])
     both = beside(both, "a", sets.select("cls", "elements").toDF("a", "ea"), hubs[0])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -620,10 +611,11 @@ def translate(matched: DataFrame, renamed: DataFrame) -> DataFrame:
     """matched by the numbers that tell_apart() gave; classes that had shared one are pairs as well."""
     to = renamed.select("was", "cls")
     ends = lambda df, c: df.join(to.toDF(c, "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-    both = ends(ends(matched.where("kind <> 1"), "a"), "b")
+    both = ends(ends(matched.where("kind <> 1").drop("first"), "a"), "b")
     twins = to.toDF("was", "a").join(to.toDF("was", "b"), "was").select(F.lit(2).alias("kind"), "a", "b")
     pairs = both.select("kind", "a", "b").union(twins).where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.union(ends(matched.where("kind = 1"), "b").select("kind", "a", "b"))
+    pairs = pairs.withColumn("first", F.lit(None).cast("long"))
+    return pairs.union(ends(ends(matched.where("kind = 1"), "b"), "first").select("kind", "a", "b", "first"))
 
 
 def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -643,12 +635,17 @@ def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
         matched = cut(translate(matched, renamed))
     pairs = matched.where("kind <> 1")
 
-    # of hot groups, the members that may have no other signature in common with a partner
-    hot = cut(matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit")).distinct())
-    lost = hot.groupBy("cls", "bit").agg(F.count("*").alias("lost"))
+    # of hot groups, the members that may have no other signature in common with a partner; a group that
+    # slices have as hot comes from many places, any other from one
+    hot = matched.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("cls"), F.col("a").bitwiseAND(1).alias("bit"), "first")
+    closed, spread = hot.where("first IS NOT NULL"), cut(hot.where("first IS NULL").drop("first").distinct())
+    of_all = closed.drop("first").union(spread)
+    lost = of_all.groupBy("cls", "bit").agg(F.count("*").alias("lost"))
     spare = F.when(F.col("bit") == F.col("parity"), F.col("spare0")).otherwise(F.col("spare1"))
-    bound = lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit")
-    members = cut(hot.join(bound, ["cls", "bit"]).select("gid", "cls"), hot.count())
+    bound = cut(lost.join(classes.select("cls", "spare0", "spare1", "parity"), "cls").where(spare <= F.col("lost")).select("cls", "bit"))
+    n_bound = bound.count()
+    members = of_all.join(F.broadcast(bound) if n_bound <= FEW else bound, ["cls", "bit"]).select("gid", "cls")
+    members = cut(members, of_all.count())
     firsts = lambda df: df.groupBy("gid").agg(F.min("cls").alias("a"))
     star_of = lambda df: beside(df, "gid", firsts(df), hubs_of(df, "gid")[0]).where("cls <> a").select("a", F.col("cls").alias("b"))
     stars = cut(star_of(members).distinct(), members.count())
@@ -657,7 +654,8 @@ def join_documents(docs: DataFrame, bits: int = 64) -> DataFrame:
     # then the other stars, then the other pairs, each only where they are in different components
     n = matched.count()
     star = cut(pairs.where("kind = 0").select("a", "b").union(stars).distinct(), n)
-    heads = star_of(hot.select("gid", "cls")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    heads = star_of(spread.select("gid", "cls")).union(closed.where("cls <> first").select("first", "cls"))
+    heads = heads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     least = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = None
     for some in (least.union(heads).distinct(), star, pairs.where("kind = 2").select("a", "b").distinct()):

@@ -20,3 +20,16 @@ def test_a_text_is_encoded_in_one_call_and_as_the_library_does():
     for text in texts:
         assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
     assert asked == texts  # not word by word
+
+
+def test_members_of_a_hot_signature_that_meet_in_a_bucket_come_with_their_first(spark):
+    from tessera.llm import partenum_join as p
+
+    passage = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{passage} {' '.join(f'own{i}_{k}' for k in range(30))}") for i in range(20)], "doc_id long, text string")
+    rows = [r for r in p.match(p.bucketed_signatures(docs.repartition(5), 1), 1).collect() if r["kind"] == 1]
+    members = {}
+    for r in rows:
+        members.setdefault(r["a"], []).append(r)
+    assert any(len(own) == 20 for own in members.values())
+    assert all(r["first"] == min(x["b"] for x in own) for own in members.values() for r in own)
