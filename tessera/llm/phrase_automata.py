@@ -6,11 +6,14 @@ knows at how many places it ends (endpos), its suffix link (the run without its
 hash. A state is a chain of nodes along suffix links that end at the same places.
 
 Phrases that all shards together hold at least LEAST times are wanted, and every part of such a phrase
-is held as often. So shards are read three times: the first reading counts hashes of words and pairs,
-the second those of triples whose pairs are frequent, and of the words of these pairs, and the third
-enumerates, as text and with exact counts, the states whose words, pairs and triples are all wanted. What is frequent is told by a
-filter of bits over the hashes; it errs only by letting too much pass, and the counts of the third
-reading decide. Counts are summed over shards, by Spark, in each reading.
+is held as often. So shards are read three times: the first reading counts all words and pairs, the
+second the triples whose pairs are frequent, and the third the states of four words and more whose
+triples are. What is frequent is told by a filter of bits over hashes; it errs only by letting too much
+pass. Counts are summed over shards, by Spark, in each reading, and no run is counted in a second one.
+
+A run is named by the numbers of its words, 64 bits each. Words come with their text from the first
+reading, every one of the table; should two of them have the same number, all is read again with
+other numbers. So a run's number stands for its text, and text is joined to the frequent runs alone.
 
 A phrase is dropped if a longer one holds it as often. Such a longer phrase can be shortened to one of
 one word more, at the front or at the back, that is as frequent; so it is enough to follow each
@@ -24,14 +27,14 @@ Defined results:
 - A very long text is read as a whole, in the shard that it fills.
 - An empty table gives an empty result. Columns other than text and lang are ignored.
 
-The filter has 16 bits for each frequent run, MAX_BITS (16 MB) at most, whatever the data. Beyond 8
-million frequent runs more of the rare ones pass; that costs time and changes no result.
+The filter has 16 bits for each frequent run, of which PROBES are set, MAX_BITS (16 MB) at most, whatever
+the data. Beyond 8 million frequent runs more of the rare ones pass; that costs time and changes no result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ TOP = 2000
 #: Words in a shard, about: some 400 MB while its automaton is built. Fewer shards report a phrase fewer times.
 SHARD = 5_000_000
 MAX_BITS = 1 << 27
+#: Bits that a run sets, in one word of 64.
+PROBES = 4
 #: Salts of what is dealt by a word or a language.
 SALTS = 16
 #: A byte that no text in UTF-8 holds; it stands for a break.
@@ -70,14 +75,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A set of hashes as bits: what was put in is always found, little else is."""
+    """A set of hashes as bits: what was put in is always found, little else is. A hash's low bits name a
+    word and a bit there; its highest ones, six at a time, the further bits that it sets in this word."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+    def __init__(self, words: np.ndarray, probes: int = 1):
+        self.words, self.mask, self.probes = words, np.uint64(64 * len(words) - 1), probes
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        words = self.words[((hashes & self.mask) >> np.uint64(6)).astype(np.int64)]
+        for k in range(self.probes):
+            bit = (hashes >> np.uint64(64 - 6 * k) if k else hashes) & np.uint64(63)
+            words = np.where((words >> bit) & np.uint64(1) == 1, words, np.uint64(0))
+        return words != 0
+
+
+def run_hashes(numbers: list[np.ndarray]) -> np.ndarray:
+    """The hashes of runs, by the numbers of their first words, second words, ..."""
+    out = numbers[0]
+    for k, own in enumerate(numbers[1:], 1):
+        out = _mixed(out + _mixed(own + np.uint64(k)))
+    return out
 
 
 class Level:
@@ -99,7 +116,7 @@ class SuffixAutomaton:
     and -1 between pieces; word_hashes has a hash per number."""
 
     def __init__(self, ids: np.ndarray, word_hashes: np.ndarray):
-        self.ids = ids
+        self.ids, self.word_hashes = ids, word_hashes
         at = ids.astype(np.int32)
         count = np.bincount(at[at >= 0], minlength=len(word_hashes))
         place = np.zeros(len(word_hashes), np.int32)
@@ -121,17 +138,14 @@ class SuffixAutomaton:
         at, place = np.full(len(own), -1, np.int32), np.empty(len(names), np.int32)
         at[ends], place[inverse] = inverse, ends
         del key, inverse, ends, names
-        words = self.levels[0].hashes[self.levels[0].at[place]]
-        hashes = _mixed(above.hashes[before[place]] + _mixed(words + np.uint64(len(self.levels))))
+        words = self.word_hashes[self.ids[place]]
+        hashes = _mixed(above.hashes[before[place]] + _mixed(words + np.uint64(len(self.levels))))  # as run_hashes has it
         self.levels.append(Level(at, count.astype(np.int32), own[place], hashes, place))
         return self.levels[-1]
 
-    def in_pairs(self) -> np.ndarray:
-        """Of the nodes of single words, which are in a node of two."""
-        out, place = np.zeros(len(self.levels[0].count), bool), self.levels[1].place
-        out[self.levels[0].at[place]] = True
-        out[self.levels[0].at[place - 1]] = True
-        return out
+    def numbers(self, place: np.ndarray, length: int) -> list[np.ndarray]:
+        """The hashes of the words, first to last, of the runs that end at place."""
+        return [self.word_hashes[self.ids[place - d]] for d in range(length - 1, -1, -1)]
 
     def states(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(longest, shortest, place, count) of all states, by their longest runs' lengths: the runs of
@@ -177,11 +191,11 @@ class Shard:
             self.parts.append(np.array(numbers, np.int32)[coded.indices.to_numpy(zero_copy_only=False)])
             self.size += len(words)
 
-    def automaton(self) -> SuffixAutomaton:
-        """The automaton of the shard's words, by their numbers."""
+    def automaton(self, seed: int = 0) -> SuffixAutomaton:
+        """The automaton of the shard's words."""
         ids, self.parts, self.known = np.concatenate(self.parts), [], {}
-        seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in set(self.langs)}
-        plain = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        seeds = {lang: xxhash.xxh3_64_intdigest(b" " + lang.encode(), seed) for lang in set(self.langs)}  # no word: `de` of en isn't `en` of de
+        plain = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words], np.uint64)
         return SuffixAutomaton(ids, _mixed(plain + np.array([seeds[x] for x in self.langs], np.uint64)))
 
 
@@ -196,75 +210,106 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
         yield shard
 
 
-def _hashed(docs: DataFrame, depth: int, filters: list[Broadcast], least: int, size: int) -> DataFrame:
-    """(h): hashes of runs that are held at least so often: of words and pairs, or with a filter of these,
-    of triples and of the words in pairs (which are held as often as their pairs, wherever these are)."""
+def _words_and_pairs(docs: DataFrame, depth: int, least: int, size: int, seed: int) -> DataFrame:
+    """(a, b, lang, word, c): all words, by their number a and with their text, and the pairs of words a
+    and b that are held at least so often."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "lang", "word", "c"]
         for shard in shards(batches, size):
-            made = shard.automaton()
-            for k in range(1, depth):
-                if filters:
-                    made.prune(filters[0].value)
+            made = shard.automaton(seed)
+            words, n = made.levels[0], len(shard.words)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(words.hashes.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(shard.langs, pa.string()),
+                pa.array([w.decode() for w in shard.words], pa.string()), pa.array(words.count.astype(np.int64))], names)
+            if depth > 1:
+                pairs = made.deepen()
+                n = len(pairs.count)
+                both = [pa.array(x.view(np.int64)) for x in made.numbers(pairs.place, 2)]
+                yield pa.RecordBatch.from_arrays([*both, pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(pairs.count.astype(np.int64))], names)
+        release()
+
+    counted = docs.mapInArrow(each, "a long, b long, lang string, word string, c long").repartition(partitions(docs.sparkSession), "a", "b")
+    return counted.groupBy("a", "b", "lang", "word").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | F.col("b").isNull())
+
+
+def _longer(docs: DataFrame, shortest: int, longest: int, filters: list[Broadcast], least: int, size: int, seed: int) -> DataFrame:
+    """(ids, c): the runs of these lengths, by their words' numbers, that are held at least so often. Words
+    and pairs are those of the first filter, triples those of the second, if there is one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, size):
+            made = shard.automaton(seed)
+            for k in range(1, longest):
+                if k < shortest:
+                    made.prune(filters[k > 2].value)
                 made.deepen()
-            words = made.levels[0]
-            for level in made.levels if not filters else [words.keep(made.in_pairs()), made.levels[-1]]:
-                yield pa.RecordBatch.from_arrays([pa.array(level.hashes.view(np.int64)), pa.array(level.count.astype(np.int64))], ["h", "c"])
+            for most, fewest, place, times in made.states():
+                for lo in range(0, len(place) if most >= shortest else 0, 100_000):
+                    own = slice(lo, lo + 100_000)
+                    ids = np.stack(made.numbers(place[own], most), axis=1).view(np.int64)
+                    ends = pa.array(np.arange(0, ids.size + 1, most, dtype=np.int32))
+                    fewer = np.maximum(fewest[own], shortest).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids.ravel())), pa.array(fewer), pa.array(times[own].astype(np.int64))], ["ids", "shortest", "c"])
         release()
 
-    counted = docs.mapInArrow(each, "h long, c long").repartition(partitions(docs.sparkSession), "h").groupBy("h").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= least).select("h")
+    states = docs.mapInArrow(each, "ids array<long>, shortest int, c long")
+    if longest > shortest:  # all runs of a state
+        states = states.withColumn("m", F.explode(F.sequence("shortest", F.size("ids")))).select(F.expr("slice(ids, -m, m)").alias("ids"), "c")
+    counted = states.select("ids", "c").repartition(partitions(docs.sparkSession), "ids").groupBy("ids").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= least)
 
 
-def make_filter(frequent: DataFrame) -> Filter:
-    """The filter of hashes in frequent (h). At most MAX_BITS bits come to the driver."""
-    n = frequent.count()
+def make_filter(runs: DataFrame) -> Filter:
+    """The filter of the runs (ids). At most MAX_BITS bits come to the driver."""
+    n = runs.count()
     bits = min(MAX_BITS, max(1 << 16, 1 << (16 * n - 1).bit_length() if n else 0))
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    rows = frequent.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & 63) as int))")).alias("w"))
-    got = rows.toArrow()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch["ids"].flatten().to_numpy().view(np.uint64), batch["ids"].value_lengths().to_numpy()
+            begin = np.cumsum(sizes) - sizes
+            for m in np.unique(sizes):
+                h = run_hashes([ids[begin[sizes == m] + k] for k in range(m)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    hashed = runs.select("ids").mapInArrow(each, "h long")
+    marks = " | ".join(["shiftleft(1L, cast(h & 63 as int))", *(f"shiftleft(1L, cast(shiftright(h, {64 - 6 * k}) & 63 as int))" for k in range(1, PROBES))])
+    got = hashed.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("i")).agg(F.bit_or(F.expr(marks)).alias("w")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[got["i"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
-    return Filter(words)
+    return Filter(words, PROBES)
+
+
+def _named(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, c) of runs (ids, c). A frequent word is in many of them: it is dealt to the salts that ask for it."""
+    parts = runs.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).select("ids", "c", "salt", F.posexplode("ids").alias("i", "a"))
+    asked = parts.select("a", "salt").distinct().join(words.select("a", "lang", "word"), "a")
+    told = parts.join(asked, ["a", "salt"]).groupBy("ids", "c").agg(F.sort_array(F.collect_list(F.struct("i", "word", "lang"))).alias("w"))
+    return told.select(F.col("w")[0]["lang"].alias("lang"), F.array_join(F.col("w.word"), " ").alias("phrase"), "c")
 
 
 def count_runs(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = SHARD) -> DataFrame:
     """(lang, phrase, c) of all runs of up to depth words (space-joined) that are held at least so often
     in texts of a language, and with an empty phrase the number of all words of each language."""
-    spark = docs.sparkSession
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    send = spark.sparkContext.broadcast
-    filters: list[Broadcast] = [send(make_filter(cut(_hashed(docs, 2, [], least, size))))]
-    if depth > 2:
-        filters.append(send(make_filter(cut(_hashed(docs, 3, filters, least, size)))))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "shortest", "longest", "c"]
-        for shard in shards(batches, size):
-            made, total = shard.automaton(), Counter()
-            for lang, n in zip(shard.langs, made.levels[0].count.tolist(), strict=True):
-                total[lang] += n
-            none = pa.array([0] * len(total), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([""] * len(total)), none, none, pa.array(list(total.values()), pa.int64())], names)
-            for k in range(1, depth):
-                if k <= 3:  # words and triples by the last filter, pairs by the first
-                    made.prune(filters[0 if k == 2 else -1].value)
-                made.deepen()
-            if depth <= 3:
-                made.prune(filters[depth > 2].value)
-            for longest, shortest, place, count in made.states():
-                for lo in range(0, len(place), 100_000):
-                    own = slice(lo, lo + 100_000)
-                    runs = np.stack([made.ids[place[own] - d] for d in range(longest - 1, -1, -1)], axis=1).tolist()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([shard.langs[run[-1]] for run in runs], pa.string()), pa.array([b" ".join([shard.words[w] for w in run]).decode() for run in runs], pa.string()),
-                        pa.array(shortest[own].astype(np.int32)), pa.array(np.full(len(runs), longest, np.int32)), pa.array(count[own].astype(np.int64))], names)
-        release()
-
-    states = docs.mapInArrow(each, "lang string, phrase string, shortest int, longest int, c long")
-    runs = states.withColumn("m", F.explode(F.sequence("shortest", "longest")))
-    phrase = F.when(F.col("m") < F.col("longest"), F.expr("substring_index(phrase, ' ', -m)")).otherwise(F.col("phrase"))
-    return runs.select("lang", phrase.alias("phrase"), "c").groupBy("lang", "phrase").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("phrase") == ""))
+    send = docs.sparkSession.sparkContext.broadcast
+    for seed in count():
+        first = cut(_words_and_pairs(docs, depth, least, size, seed))
+        every = first.where("b is null")
+        if every.groupBy("a").count().where("count > 1").isEmpty():  # else two words have one number
+            break
+    words = every.where(F.col("c") >= least)
+    runs = first.where("b is not null").select(F.array("a", "b").alias("ids"), "c")
+    filters, last = [send(make_filter(words.select(F.array("a").alias("ids")).unionByName(runs.select("ids"))))], runs
+    for shortest, longest in ((3, 3), (4, depth)):
+        if depth >= shortest:
+            if shortest > 3:
+                filters.append(send(make_filter(last)))
+            last = cut(_longer(docs, shortest, longest, filters, least, size, seed))
+            runs = runs.unionByName(last)
+    totals = every.groupBy("lang").agg(F.sum("c").alias("c")).select("lang", F.lit("").alias("phrase"), "c")
+    return words.select("lang", F.col("word").alias("phrase"), "c").unionByName(_named(runs, words)).unionByName(totals)
 
 
 def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, size: int = SHARD) -> DataFrame:

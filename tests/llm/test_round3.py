@@ -33,3 +33,41 @@ def test_members_of_a_hot_signature_that_meet_in_a_bucket_come_with_their_first(
         members.setdefault(r["a"], []).append(r)
     assert any(len(own) == 20 for own in members.values())
     assert all(r["first"] == min(x["b"] for x in own) for own in members.values() for r in own)
+
+
+def test_words_of_two_languages_have_numbers_of_their_own():
+    from tessera.llm.phrase_automata import Shard
+
+    shard = Shard()
+    shard.add([b"de x en", b"en x de"], ["en", "de"])
+    assert len(set(shard.automaton().word_hashes.tolist())) == len(shard.words) == 6
+
+
+def test_runs_are_counted_in_one_reading_and_again_if_numbers_clash(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import phrase_automata as p
+
+    texts = ["a b c d e f", "x a b c d", "a b c d e", "b c b c b c", "q"]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(2)
+    plain, longer, seeds, lengths = p._words_and_pairs, p._longer, [], []
+
+    def clash(docs, depth, least, size, seed):
+        seeds.append(seed)
+        out = plain(docs, depth, least, size, seed)
+        return out.withColumn("a", F.when(F.col("b").isNull(), F.lit(7).cast("long")).otherwise(F.col("a"))) if seed == 0 else out
+
+    def spied(*args):
+        out = longer(*args)
+        lengths.append({len(r["ids"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(p, "_words_and_pairs", clash)
+    monkeypatch.setattr(p, "_longer", spied)
+    got = {r["phrase"]: r["c"] for r in p.count_runs(docs, least=2, size=4).collect()}
+    words = [t.split() for t in texts]
+    expected = Counter(" ".join(w[i : i + m]) for w in words for m in range(1, 6) for i in range(len(w) - m + 1))
+    assert got == {k: c for k, c in expected.items() if c >= 2} | {"": sum(map(len, words))}
+    assert seeds == [0, 1] and lengths == [{3}, {4, 5}]
