@@ -6,10 +6,12 @@ knows at how many places it ends (endpos), its suffix link (the run without its
 hash. A state is a chain of nodes along suffix links that end at the same places.
 
 Phrases that all shards together hold at least LEAST times are wanted, and every part of such a phrase
-is held as often. So shards are read three times: the first reading counts all words and pairs, the
-second the triples whose pairs are frequent, and the third the states of four words and more whose
-triples are. What is frequent is told by a filter of bits over hashes; it errs only by letting too much
-pass. Counts are summed over shards, by Spark, in each reading, and no run is counted in a second one.
+is held as often. So shards are read three times. The first reading counts all words and pairs. The
+second adds the counts of the longer runs whose pairs are frequent to counters, one of which many runs
+may share; Spark sums them over the shards. The third enumerates the states of three words and more and
+counts those of their runs whose counters reach LEAST; a task sums them over its shards, and Spark over
+tasks. What is frequent is told by filters of bits over hashes, which err only by letting too much pass,
+and each run's own count decides in the end. No run is counted in two readings.
 
 A run is named by the numbers of its words, 64 bits each. Words come with their text from the first
 reading, every one of the table; should two of them have the same number, all is read again with
@@ -27,8 +29,10 @@ Defined results:
 - A very long text is read as a whole, in the shard that it fills.
 - An empty table gives an empty result. Columns other than text and lang are ignored.
 
-The filter has 16 bits for each frequent run, of which PROBES are set, MAX_BITS (16 MB) at most, whatever
-the data. Beyond 8 million frequent runs more of the rare ones pass; that costs time and changes no result.
+The filter of words and pairs has 16 bits for each frequent one, of which PROBES are set, MAX_BITS (16 MB)
+at most, whatever the data. Beyond 8 million of them more of the rare ones pass. There is a counter for each
+16 words of the table, MAX_BITS at most. Beyond 2 billion words more runs share one, and more rare ones are
+counted. Both cost time and change no result.
 """
 
 from __future__ import annotations
@@ -53,6 +57,15 @@ TOP = 2000
 #: Words in a shard, about: some 400 MB while its automaton is built. Fewer shards report a phrase fewer times.
 SHARD = 5_000_000
 MAX_BITS = 1 << 27
+#: Words of the table for each counter of runs, about.
+SHARED = 16
+#: Ranges that the counters are summed in.
+RANGES = 1024
+#: Words that a task of the last reading reads at least, if that leaves TASKS of them for each core.
+READ = 50_000_000
+TASKS = 2
+#: Runs that a task of the last reading holds before it reports them.
+HELD = 1_000_000
 #: Bits that a run sets, in one word of 64.
 PROBES = 4
 #: Salts of what is dealt by a word or a language.
@@ -106,9 +119,8 @@ class Level:
 
     def keep(self, which: np.ndarray) -> Level:
         """The nodes of which alone; the others end nowhere."""
-        new = np.where(which, np.cumsum(which) - 1, -1).astype(np.int32)
-        at = np.where(self.at >= 0, new[self.at], -1)
-        return Level(at, self.count[which], self.link[which], self.hashes[which], self.place[which])
+        new = np.append(np.where(which, np.cumsum(which) - 1, -1), -1).astype(np.int32)  # -1 names the last: no node
+        return Level(new[self.at], self.count[which], self.link[which], self.hashes[which], self.place[which])
 
 
 class SuffixAutomaton:
@@ -233,35 +245,118 @@ def _words_and_pairs(docs: DataFrame, depth: int, least: int, size: int, seed: i
     return counted.groupBy("a", "b", "lang", "word").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | F.col("b").isNull())
 
 
-def _longer(docs: DataFrame, shortest: int, longest: int, filters: list[Broadcast], least: int, size: int, seed: int) -> DataFrame:
-    """(ids, c): the runs of these lengths, by their words' numbers, that are held at least so often. Words
-    and pairs are those of the first filter, triples those of the second, if there is one."""
+def _deepened(shard: Shard, depth: int, seed: int, pairs: Filter, runs: Filter | None = None) -> SuffixAutomaton:
+    """The shard's automaton of the runs whose words and pairs the first filter holds, and whose parts of
+    three words and more, itself included, the second one does."""
+    made = shard.automaton(seed)
+    for k in range(1, depth + 1):
+        if only := pairs if k < 3 else runs:
+            made.prune(only)
+        if k < depth:
+            made.deepen()
+    return made
+
+
+def count_shared(docs: DataFrame, depth: int, pairs: Broadcast, n: int, least: int, size: int, seed: int) -> Filter:
+    """The filter of the runs of three words and more whose counters, of n (a power of 2), reach least.
+
+    A run adds its count to the counter that its hash names, so a counter is never less than any run's count.
+    """
+    ranges = min(RANGES, n)
+    width = n // ranges
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
-            made = shard.automaton(seed)
-            for k in range(1, longest):
-                if k < shortest:
-                    made.prune(filters[k > 2].value)
-                made.deepen()
+            levels = _deepened(shard, depth, seed, pairs.value).levels[2:]
+            own = (np.concatenate([lv.hashes for lv in levels]) & np.uint64(n - 1)).astype(np.int64)
+            order = np.argsort(own)
+            own, times = own[order], np.concatenate([lv.count for lv in levels])[order].astype(np.int64)
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            own, times = own[begin], np.minimum(np.add.reduceat(times, begin), least) if len(begin) else times
+            begin = np.flatnonzero(np.diff(own // width, prepend=-1))
+            ends = np.append(begin, len(own)).astype(np.int64)
+            for lo in range(0, len(begin), 64):
+                part = ends[lo : lo + 65]
+                inside, offsets = slice(part[0], part[-1]), pa.array((part - part[0]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own[part[:-1]] // width), pa.ListArray.from_arrays(offsets, pa.array((own[inside] % width).astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(times[inside].astype(np.int32)))], ["range", "at", "c"])
+        release()
+
+    def reached(number: int, total: np.ndarray) -> pa.RecordBatch:
+        at = number * width + np.flatnonzero(total >= least)
+        return pa.RecordBatch.from_arrays([pa.array(at)], ["h"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = None, np.zeros(width, np.int64)
+        for batch in batches:
+            for j, found in enumerate(batch["range"].to_pylist()):
+                if found != number:
+                    if number is not None:
+                        yield reached(number, total)
+                    number, total = found, np.zeros(width, np.int64)
+                total[batch["at"][j].values.to_numpy()] += batch["c"][j].values.to_numpy()  # a row has a counter once
+        if number is not None:
+            yield reached(number, total)
+
+    counters = docs.mapInArrow(each, "range long, at array<int>, c array<int>").repartition(partitions(docs.sparkSession), "range")
+    return Filter(_bits(counters.sortWithinPartitions("range").mapInArrow(summed, "h long"), n, 1))
+
+
+def _merged(ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ids, and the sums of their times."""
+    names, inverse = np.unique(ids.view(np.dtype((np.void, 8 * ids.shape[1]))).ravel(), return_inverse=True)
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, inverse, times)
+    return names.view(np.int64).reshape(-1, ids.shape[1]), total
+
+
+def _counted(docs: DataFrame, depth: int, pairs: Broadcast, runs: Broadcast, size: int, seed: int) -> DataFrame:
+    """(ids, c): the runs of three words and more that pass the filters, by their words' numbers, as each task counts them."""
+
+    def told(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for m, (ids, times) in held.items():
+            for lo in range(0, len(times), 100_000):
+                own, c = ids[lo : lo + 100_000], times[lo : lo + 100_000]
+                ends = pa.array(np.arange(0, own.size + 1, m, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(own.ravel())), pa.array(c)], ["ids", "c"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for shard in shards(batches, size):
+            made = _deepened(shard, depth, seed, pairs.value, runs.value)
             for most, fewest, place, times in made.states():
-                for lo in range(0, len(place) if most >= shortest else 0, 100_000):
-                    own = slice(lo, lo + 100_000)
-                    ids = np.stack(made.numbers(place[own], most), axis=1).view(np.int64)
-                    ends = pa.array(np.arange(0, ids.size + 1, most, dtype=np.int32))
-                    fewer = np.maximum(fewest[own], shortest).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids.ravel())), pa.array(fewer), pa.array(times[own].astype(np.int64))], ["ids", "shortest", "c"])
+                for m in range(3, most + 1):  # all runs of a state
+                    own = fewest <= m
+                    ids = np.stack(made.numbers(place[own], m), axis=1).view(np.int64)
+                    before = held.get(m, (ids[:0], times[:0]))
+                    held[m] = _merged(np.concatenate([before[0], ids]), np.concatenate([before[1], times[own]]))
+            if sum(len(c) for _, c in held.values()) > HELD:
+                yield from told(held)
+                held = {}
+        yield from told(held)
         release()
 
-    states = docs.mapInArrow(each, "ids array<long>, shortest int, c long")
-    if longest > shortest:  # all runs of a state
-        states = states.withColumn("m", F.explode(F.sequence("shortest", F.size("ids")))).select(F.expr("slice(ids, -m, m)").alias("ids"), "c")
-    counted = states.select("ids", "c").repartition(partitions(docs.sparkSession), "ids").groupBy("ids").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= least)
+    return docs.mapInArrow(each, "ids array<long>, c long")
+
+
+def _longer(counted: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
+    """(ids, c): the runs of these lengths that all tasks together count at least so often."""
+    rows = counted.where(F.size("ids").between(shortest, longest)).repartition(partitions(counted.sparkSession), "ids")
+    return rows.groupBy("ids").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+
+
+def _bits(hashed: DataFrame, bits: int, probes: int) -> np.ndarray:
+    """The words of the filter that has the hashes (h). At most MAX_BITS bits come to the driver."""
+    marks = " | ".join(["shiftleft(1L, cast(h & 63 as int))", *(f"shiftleft(1L, cast(shiftright(h, {64 - 6 * k}) & 63 as int))" for k in range(1, probes))])
+    got = hashed.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("i")).agg(F.bit_or(F.expr(marks)).alias("w")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got["i"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
+    return words
 
 
 def make_filter(runs: DataFrame) -> Filter:
-    """The filter of the runs (ids). At most MAX_BITS bits come to the driver."""
+    """The filter of the runs (ids)."""
     n = runs.count()
     bits = min(MAX_BITS, max(1 << 16, 1 << (16 * n - 1).bit_length() if n else 0))
 
@@ -274,11 +369,7 @@ def make_filter(runs: DataFrame) -> Filter:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
     hashed = runs.select("ids").mapInArrow(each, "h long")
-    marks = " | ".join(["shiftleft(1L, cast(h & 63 as int))", *(f"shiftleft(1L, cast(shiftright(h, {64 - 6 * k}) & 63 as int))" for k in range(1, PROBES))])
-    got = hashed.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("i")).agg(F.bit_or(F.expr(marks)).alias("w")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[got["i"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
-    return Filter(words, PROBES)
+    return Filter(_bits(hashed, bits, PROBES), PROBES)
 
 
 def _named(runs: DataFrame, words: DataFrame) -> DataFrame:
@@ -301,13 +392,17 @@ def count_runs(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: in
             break
     words = every.where(F.col("c") >= least)
     runs = first.where("b is not null").select(F.array("a", "b").alias("ids"), "c")
-    filters, last = [send(make_filter(words.select(F.array("a").alias("ids")).unionByName(runs.select("ids"))))], runs
-    for shortest, longest in ((3, 3), (4, depth)):
-        if depth >= shortest:
-            if shortest > 3:
-                filters.append(send(make_filter(last)))
-            last = cut(_longer(docs, shortest, longest, filters, least, size, seed))
-            runs = runs.unionByName(last)
+    if depth > 2:
+        pairs = send(make_filter(words.select(F.array("a").alias("ids")).unionByName(runs.select("ids"))))
+        n = every.agg(F.sum("c")).first()[0] or 0
+        shared = min(MAX_BITS, max(1 << 16, 1 << (n // SHARED).bit_length()))
+        may = send(count_shared(docs, depth, pairs, shared, least, size, seed))
+        # few tasks, as each reports the frequent runs once
+        tasks = max(TASKS * docs.sparkSession.sparkContext.defaultParallelism, n // READ)
+        counted = cut(_counted(docs.coalesce(tasks), depth, pairs, may, size, seed))
+        for shortest, longest in ((3, 3), (4, depth)):
+            if depth >= shortest:
+                runs = runs.unionByName(cut(_longer(counted, shortest, longest, least)))
     totals = every.groupBy("lang").agg(F.sum("c").alias("c")).select("lang", F.lit("").alias("phrase"), "c")
     return words.select("lang", F.col("word").alias("phrase"), "c").unionByName(_named(runs, words)).unionByName(totals)
 

@@ -71,3 +71,33 @@ def test_runs_are_counted_in_one_reading_and_again_if_numbers_clash(spark, monke
     expected = Counter(" ".join(w[i : i + m]) for w in words for m in range(1, 6) for i in range(len(w) - m + 1))
     assert got == {k: c for k, c in expected.items() if c >= 2} | {"": sum(map(len, words))}
     assert seeds == [0, 1] and lengths == [{3}, {4, 5}]
+
+
+def test_rare_runs_of_frequent_pairs_are_not_reported(spark, monkeypatch):
+    """All pairs are frequent and hardly a triple is: what shards report follows the frequent runs, not the triples there are."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm import phrase_automata as p
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(400)) + " ." + " one two three four" * (i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+    frame, rows = type(docs), []
+    plain = frame.mapInArrow
+
+    def spied(self, f, schema, *more, **named):
+        out = plain(self, f, schema, *more, **named)
+        if schema.startswith("ids "):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    got = {r["phrase"]: r["c"] for r in p.count_runs(docs, least=25, size=2000).where(F.col("phrase") != "").collect()}
+    words = [[piece.split() for piece in t.split(".")] for t in texts]
+    expected = Counter(" ".join(w[i : i + m]) for t in words for w in t for m in range(1, 6) for i in range(len(w) - m + 1))
+    assert got == {k: c for k, c in expected.items() if c >= 25}
+    long = [k for k in got if k.count(" ") > 1]
+    assert long and sum(k.count(" ") == 2 for k in expected) > 7000
+    assert sum(rows) <= 2 * 3 * len(long)  # each of three tasks reports a frequent run once, and few others
